@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webspark.functions.binding import case, each, let, matches, struct, sub, tidy_lines, tokens
+from webspark.functions.binding import case, each, let, lit, matches, struct, sub, tidy_lines, tokens
 from webspark.functions.urls import robots_path, robots_url, site_root, tidy_path_sql
 from webspark.operators.fetched import failed_records
 
 # The agent's name, the failure text, and the line forms of a robots file.
 AGENT = "Smith"
 BLOCKED = "Blocked by robots"
-GROUPS = r"(?i)((?:user-?agent:[^\n]*\n)+(?:(?:dis)?allow:[^\n]*\n)*)"
+GROUPS = r"(?i)((?:user-?agent:[^\n]*\n)++(?:(?:dis)?allow:[^\n]*\n)*+)"
 AGENT_LINE = r"(?i)user-?agent:([^\n]*)\n"
 RULE_LINE = r"(?i)((?:dis)?allow:[^\n]*)\n"
 MEANT_LINES = r"(?i)^(?:user-?agent|allow|disallow)\s*:"
@@ -46,18 +46,18 @@ def parse_robots(bodies: DataFrame, site: str = "site", body: str = "body") -> D
         tokens("ws_g", RULE_LINE),
         "ws_r",
         lambda r: struct(
-            pattern=let(
-                f"trim({sub(r, '^[^:]*:', '')})",
-                "ws_p",
-                lambda p: tidy_path_sql(p),
-            ),
+            pattern=tidy_path_sql(f"trim({sub(r, '^[^:]*:', '')})"),
             allow=f"NOT startswith(lower({r}), 'd')",
         ),
     )
-    shadow = f"array({struct(pattern=chr(39) * 2, allow='true')})"
+    none = f"array({struct(pattern=lit(''), allow='true')})"
     group = struct(
         agents=agents,
-        rules=f"concat(filter({rules}, ws_x -> ws_x.pattern != ''), {shadow})",
+        rules=let(
+            f"filter({rules}, ws_x -> ws_x.pattern != '')",
+            "ws_found",
+            lambda found: f"if(size({found}) = 0, {none}, {found})",
+        ),
     )
     unreadable = struct(
         agents="array('*')",
@@ -78,21 +78,18 @@ def _site_rules(rules: DataFrame, agent: str) -> DataFrame:
     """(site, site_rules): rules of the group for ``agent``, best match first. A site's rules are
     one file's, so the array is bounded by the file."""
     name = agent.lower()
-    mine = rules.filter(F.startswith(F.lit(name), F.col("agent")) | (F.col("agent") == "*"))
-    rank = F.when(F.col("agent") == "*", 0).otherwise(F.length("agent"))
+    mine = rules.filter(
+        (F.col("agent") == "*") | ((F.col("agent") != "") & F.startswith(F.lit(name), F.col("agent")))
+    )
     rule = F.struct(
+        F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")).alias("rank"),
         F.coalesce(F.length("pattern"), F.lit(0)).alias("size"),
         F.col("allow"),
         F.col("pattern"),
     )
-    return (
-        mine.withColumn("rank", rank)
-        .groupBy("site", "rank")
-        .agg(F.collect_set(rule).alias("found"))
-        .groupBy("site")
-        .agg(F.max_by("found", "rank").alias("found"))
-        .select("site", F.sort_array("found", asc=False).alias("site_rules"))
-    )
+    return mine.groupBy("site").agg(
+        F.sort_array(F.collect_set(rule), asc=False).alias("found")
+    ).select("site", F.expr("filter(found, ws_r -> ws_r.rank = found[0].rank)").alias("site_rules"))
 
 
 def _rule_matches(path: str) -> str:
