@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webspark.functions.binding import case, let
 from webspark.schemas import PAGE_RECORD
 
 # Fields of records as the fetcher writes them.
@@ -71,9 +72,18 @@ def failed_records(
 
 
 def limit_body(pages: DataFrame, n: int, html: str = "html") -> DataFrame:
-    """Bodies cut to their first ``n`` bytes; ``n`` of 0 or less is no limit. A character that the
-    cut splits becomes the replacement mark."""
+    """Bodies cut to their first ``n`` bytes; ``n`` of 0 or less is no limit. Of a character that the
+    cut splits, every byte left becomes a replacement mark."""
     if n <= 0:
         return pages
-    cut = F.make_valid_utf8(F.substring(F.encode(html, "UTF-8"), 1, n).cast("string"))
-    return pages.withColumn(html, F.when(F.octet_length(html) <= n, F.col(html)).otherwise(cut))
+    cut = f"cast(substring(encode({html}, 'UTF-8'), 1, {n}) AS string)"
+    whole = let(
+        f"make_valid_utf8({cut})", "ws_v", lambda v: f"substr({v}, 1, length({v}) - 1)"
+    )
+    split = let(
+        whole, "ws_w", lambda w: f"concat({w}, repeat('\ufffd', {n} - octet_length({w})))"
+    )
+    body = case(
+        (f"octet_length({html}) <= {n}", html), (f"is_valid_utf8({cut})", cut), default=split
+    )
+    return pages.withColumn(html, F.expr(body))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ class FrontierStore:
         bases = [f for f in folders if f[0] == "base"]
         if bases:
             _, since, label, name = bases[-1]
-            base = self._base_table(name, int(label))
+            base = self._base_table(name, int(label.split(".")[0]))
         else:
             since, base = 0, self.spark.createDataFrame([], FRONTIER)
         changes = None
@@ -122,9 +123,9 @@ class FrontierStore:
     def compact(self) -> int:
         """Write a new base that holds all changes up to now and return its version."""
         version = self.version()
-        name = f"base-{version:08d}-{self.buckets}"
-        if any(f[3] == name for f in self._folders()):
+        if any(f[:2] == ("base", version) for f in self._folders()):
             return version
+        name = f"base-{version:08d}-{self.buckets}.{uuid4().hex[:8]}"
         table = f"webspark_{md5(f'{self.path}/{name}'.encode()).hexdigest()[:16]}"
         (
             self.load()
@@ -132,7 +133,6 @@ class FrontierStore:
             .write.format("parquet")
             .bucketBy(self.buckets, "url")
             .option("path", f"{self.path}/{name}")
-            .mode("overwrite")
             .saveAsTable(table)
         )
         return version
