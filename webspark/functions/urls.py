@@ -51,19 +51,42 @@ PLAIN_PATH = rf"^(?:/[{UNRESERVED}:@!$&'()*+,;=]*)*$"
 DOT_OR_EMPTY_SEGMENT = r"(?:^|/)(?:\.|/)"
 
 
+# A URL that is canonical as it stands but for one trailing slash: rooted path, lower-case host
+# without port, no query, nothing to encode, no dot segment.
+PLAIN_URL = (
+    r"^(?:https?://[a-z0-9.\-]+)?"
+    r"(?:/[A-Za-z0-9_~:@!$&'()*+,;=\-][A-Za-z0-9._~:@!$&'()*+,;=\-]*+)*+/?\z"
+)
+
+
 # --- splitting ---------------------------------------------------------------------------------
 
 
 def raw_sql(url: str) -> str:
     """Struct of the text as written, scheme lower-cased. A URL may not hold control characters
-    nor, in path or fragment, malformed escapes."""
-    return struct(
+    nor, in path or fragment, malformed escapes.
+
+    Most URLs are plain; one test finds them, cheap text functions split them, and ``done`` lets them
+    pass the later steps as they are.
+    """
+    origin = f"if(startswith({url}, '/'), '', substring_index({url}, '/', 3))"
+    plain = struct(
+        scheme=f"if(startswith({url}, 'h'), substring_index({url}, ':', 1), '')",
+        authority=f"substr({origin}, instr({origin}, '//') + 2)",
+        path=f"trim(TRAILING '/' FROM substr({url}, length({origin}) + 1))",
+        query="''",
+        malformed="false",
+        done="true",
+    )
+    parts = struct(
         scheme=f"lower({group(url, PARTS, 1)})",
         authority=group(url, PARTS, 2),
         path=group(url, PARTS, 3),
         query=group(url, PARTS, 4),
         malformed=f"{matches(url, CONTROL)} OR {matches(sub(url, UNREAD, ''), BAD_ESCAPE)}",
+        done="false",
     )
+    return case((matches(url, PLAIN_URL), plain), default=parts)
 
 
 def _host(authority: str) -> str:
@@ -156,8 +179,10 @@ def normal_sql(p: str) -> str:
         authority=f"if({p}.authority = '', '', {_normal_authority(p)})",
         path=f"if({p}.path = '' OR {_is_opaque(p)}, {p}.path, {_normal_path(p)})",
         query=f"{p}.query",
+        done="false",
     )
-    return case((valid, parts))
+    as_is = struct(**{f: f"{p}.{f}" for f in ("scheme", "authority", "path", "query", "done")})
+    return case((f"{p}.done", as_is), (valid, parts))
 
 
 def _is_readable(p: str) -> str:
@@ -174,7 +199,7 @@ def compose_sql(p: str) -> str:
     slashes = f"{p}.authority != '' OR ({p}.scheme != '' AND startswith({p}.path, '/'))"
     return (
         f"concat({_scheme_prefix(p)}, if({slashes}, concat('//', {p}.authority), ''), "
-        f"{p}.path, {sub(f'{p}.query', '^(?=.)', '?')})"
+        f"{p}.path, if({p}.query = '', '', concat('?', {p}.query)))"
     )
 
 
@@ -238,9 +263,10 @@ def canonical_query_sql(query: str) -> str:
         ),
     )
     pairs = f"sort_array(transform(split({query}, '&'), (ws_q, ws_i) -> {pair}))"
-    plain = rf"^(?:[{UNRESERVED}+]+=[{UNRESERVED}+]*)?$"
+    plain = rf"^[{UNRESERVED}+]+=[{UNRESERVED}+]*$"
     return case(
-        (matches(query, plain), query), default=f"array_join({pairs}.text, '&')"
+        (f"{query} = '' OR {matches(query, plain)}", query),
+        default=f"array_join({pairs}.text, '&')",
     )
 
 
@@ -262,7 +288,8 @@ def canonical_sql(p: str) -> str:
         path=case((surfaced, sub(f"{p}.path", SCHEME, "")), default=f"{p}.path"),
         query=canonical_query_sql(f"{p}.query"),
     )
-    return case((_is_readable(p), parts))
+    as_is = struct(**{f: f"{p}.{f}" for f in ("scheme", "authority", "path", "query")})
+    return case((f"{p}.done", as_is), (_is_readable(p), parts))
 
 
 def canonical_of_sql(url: str) -> str:
@@ -356,17 +383,21 @@ def robots_path(url: str) -> Column:
 def resolved_sql(base: str, ref: str) -> str:
     """RFC 3986 section 5.2 on two canonical structs, as text. Canonical paths hold no dot
     segments, so merging them makes none."""
-    merged = sub(
-        case(
-            (f"{ref}.path = ''", f"{base}.path"),
-            (f"startswith({ref}.path, '/')", f"{ref}.path"),
-            default=f"concat({group(f'{base}.path', '^(.*/)')}, {ref}.path)",
+    merged = case(
+        (f"startswith({ref}.path, '/')", f"{ref}.path"),
+        (f"{ref}.path = '' AND startswith({base}.path, '/')", f"{base}.path"),
+        default=sub(
+            f"if({ref}.path = '', {base}.path, "
+            f"concat({group(f'{base}.path', '^(.*/)')}, {ref}.path))",
+            "^(?=[^/])",
+            "/",
         ),
-        "^(?=[^/])",
-        "/",
     )
-    query = f"if({ref}.query = '' AND {ref}.path = '', {base}.query, {ref}.query)"
-    query_text = sub(query, "^(?=.)", "?")
+    query_text = case(
+        (f"{ref}.query != ''", f"concat('?', {ref}.query)"),
+        (f"{ref}.path = '' AND {base}.query != ''", f"concat('?', {base}.query)"),
+        default="''",
+    )
     slashes = (
         f"{base}.authority != '' OR "
         f"({base}.scheme != '' AND ({base}.path != '' OR {ref}.path != ''))"
