@@ -5,6 +5,7 @@ from conftest import column
 from webspark.functions.domains import SuffixRules, has_domain, load_suffix_rules, registered_domain
 from webspark.functions.html import anchor_hrefs, decode_entities
 from webspark.operators import links
+from webspark.operators.fetched import to_page_records
 
 MARKUP = [
     ("""<a href='/1'>x</a><A HREF=/2>y<a data-href="/n"><abbr href="/n"><a title="x>y" href="/3">""", ["/1", "/2", "/3"]),
@@ -128,7 +129,7 @@ def _page(spark):
     )
 
 
-def test_link_pipeline(spark):
+def test_links_of_a_page(spark):
     page = _page(spark)
     all_links = [x[1] for x in LINKS if x[1]]
     assert column(links.resolve_links(page), "link") == all_links
@@ -145,6 +146,14 @@ def test_link_pipeline(spark):
     assert stats["http://bad host/"] == (0, 0)
 
 
+def test_links_of_page_records(spark):
+    page = _page(spark)
+    records = to_page_records(page, "url")
+    got = links.extract_links(records, "Data.Url", "Data.Body")
+    assert got.columns == ["url", "link"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, links.extract_links(page).collect()))
+
+
 def test_reject_reasons(spark):
     df = spark.createDataFrame([x[1:] for x in LINKS if x[1]], "link string, want string")
     for r in df.withColumn("got", links.link_reject_reason("link")).collect():

@@ -4,7 +4,6 @@ from webspark.operators import frontier as fr
 from webspark.operators import links
 from webspark.plans import inputs
 from webspark.sources.frontier_store import FrontierStore
-from webspark.sources.lines import trimmed_lines
 from webspark.sources.shared import fresh_path
 from webspark.streaming import streams
 
@@ -44,11 +43,15 @@ def test_frontier_stream_equals_batch_and_replays_do_nothing(spark, pages):
     base = fresh_path(spark, "frontier-stream")
     store = FrontierStore(spark, f"{base}/frontier", buckets=4)
     found = streams.stream_extract(_source(pages, f"{base}/in"))
+    new = []
+
+    def emit(rows, batch_id):
+        new.extend(column(rows, "url"))
 
     def run(checkpoint):
         _run(
             streams.run_frontier(
-                found, streams.links_op("link"), store, checkpoint, "links", compact_every=2
+                found, streams.links_op("link"), store, checkpoint, "links", 2, emit
             )
         )
 
@@ -58,6 +61,7 @@ def test_frontier_stream_equals_batch_and_replays_do_nothing(spark, pages):
         spark.createDataFrame([], store.load().schema), links.extract_links(pages), "link"
     )
     assert sorted(column(store.load(), "url")) == sorted(column(batch, "url"))
+    assert sorted(new) == sorted(column(batch, "url"))
     # A lost checkpoint makes the stream start over with the same batches: all are known.
     run(f"{base}/cp2")
     assert store.version() == version
@@ -73,9 +77,7 @@ def test_page_and_queue_streams(spark, pages):
     lines.write.text(f"{base}/queue")
     _run(
         streams.run_frontier(
-            trimmed_lines(spark.readStream.text(f"{base}/queue")).selectExpr(
-                "concat(value, '\t') AS value"
-            ),
+            spark.readStream.text(f"{base}/queue"),
             streams.queue_op(inputs_time()),
             store,
             f"{base}/cp1",

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def lit(text: str) -> str:
     """SQL literal of a text."""
@@ -70,3 +73,12 @@ def tidy_lines(text: str, meant: str) -> str:
     kept = f"filter({lines}, ws_line -> {matches('ws_line', meant)})"
     spaced = each(kept, "ws_line", lambda x: f"concat({sub(x, '^([A-Za-z-]+)[ ]*:', '$1:')}, '\\n')")
     return f"array_join({spaced}, '')"
+
+
+def present(value: str, name: str) -> Column:
+    """Generator of the rows whose ``value`` is neither null nor empty, as column ``name``.
+
+    A filter on a computed column is pushed below the projection and computes the column a second
+    time; exploding an array of one or no element computes it once.
+    """
+    return F.expr(f"explode(filter(array({value}), ws_e -> ws_e != ''))").alias(name)

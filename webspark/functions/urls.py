@@ -344,7 +344,11 @@ def robots_url(url: str) -> Column:
 
 def strip_query(url: str) -> Column:
     """:func:`normalize_url` without the query."""
-    return F.expr(sub(normalize_sql(url), r"\?.*$", ""))
+    return F.expr(strip_query_sql(url))
+
+
+def strip_query_sql(url: str) -> str:
+    return sub(normalize_sql(url), r"\?.*$", "")
 
 
 def url_host_sql(url: str) -> str:
@@ -358,9 +362,13 @@ def url_host(url: str) -> Column:
     return F.expr(url_host_sql(url))
 
 
+def url_hostname_sql(url: str) -> str:
+    return sub(url_host_sql(url), r":[0-9]*$", "")
+
+
 def url_hostname(url: str) -> Column:
     """:func:`url_host` without port."""
-    return F.expr(sub(url_host_sql(url), r":[0-9]*$", ""))
+    return F.expr(url_hostname_sql(url))
 
 
 def authority_host_sql(url: str) -> str:

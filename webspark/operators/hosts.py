@@ -34,7 +34,7 @@ def group_by_address(requests: DataFrame, order: str, ip: str = "ip") -> DataFra
 
 
 def _sliced(requests: DataFrame, order: str, width: int) -> DataFrame:
-    return requests.withColumn("ws_slice", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    return requests.withColumn("ws_slice", F.call_function("div", F.col(order), F.lit(width)))
 
 
 def politeness_plan(

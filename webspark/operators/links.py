@@ -21,6 +21,7 @@ from webspark.functions.urls import (
     canonical_of_sql,
     resolved_root_sql,
     resolved_sql,
+    strip_query_sql,
     url_scheme_sql,
 )
 
@@ -85,6 +86,12 @@ def filter_links(links: DataFrame, url: str = "link", rules: SuffixRules = BUILT
     return links.filter(link_reject_reason(url, rules).isNull())
 
 
+def strip_queries(urls: DataFrame, url: str = "url", into: str = "stripped") -> DataFrame:
+    """Rows with the normalised URL without its query; texts that are no URL are dropped."""
+    one_or_none = f"filter(array({strip_query_sql(url)}), ws_e -> ws_e IS NOT NULL)"
+    return urls.select("*", F.expr(f"explode({one_or_none})").alias(into))
+
+
 # --- array forms -------------------------------------------------------------------------------
 
 

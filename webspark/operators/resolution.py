@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webspark.functions.urls import url_hostname
+from webspark.functions.binding import present
+from webspark.functions.urls import url_hostname, url_hostname_sql
 
 # How long an observation serves, and the message of an empty answer.
 TTL_SECONDS = 20 * 60
@@ -80,9 +81,9 @@ def attach_address_asof(
     kept = [c for c in requests.columns if c not in ("ip", "cname", "message")]
 
     def slice_of(micros: Column) -> Column:
-        return F.floor(micros / F.lit(width)).cast("bigint")
+        return F.call_function("div", micros, F.lit(width))
 
-    observed = dns.filter(F.col("error").isNull()).select(
+    observed = dns.filter(F.col("error").isNull() & F.col("host").isNotNull()).select(
         F.col("host").alias("ws_host"),
         F.unix_micros("observed_at").alias("ws_at"),
         F.struct(
@@ -106,40 +107,29 @@ def attach_address_asof(
         )
         .filter(F.col("ws_slice") > slice_of(F.col("ws_at")))
     )
+    # A request without a time meets no observation; such rows are spread over negative slices.
     asked = _with_host(requests, url).select(
         "ws_host",
         F.unix_micros(F.col(as_of).cast("timestamp")).alias("ws_at"),
         F.struct(*kept).alias("ws_request"),
+        F.coalesce(
+            slice_of(F.unix_micros(F.col(as_of).cast("timestamp"))),
+            -1 - F.pmod(F.xxhash64(url), F.lit(1024)),
+        ).alias("ws_slice"),
     )
-    placed = asked.filter(F.col("ws_host").isNotNull() & F.col("ws_at").isNotNull())
-    unplaced = asked.filter(F.col("ws_host").isNull() | F.col("ws_at").isNull())
-    events = (
-        own.unionByName(carried)
-        .unionByName(
-            placed.withColumn("ws_slice", slice_of(F.col("ws_at"))), allowMissingColumns=True
-        )
-    )
+    events = own.unionByName(carried).unionByName(asked, allowMissingColumns=True)
     # At one instant observations come before requests.
     so_far = (
         Window.partitionBy("ws_host", "ws_slice")
         .orderBy("ws_at", F.col("ws_request").isNotNull(), "ws_found")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    served = (
+    in_time = F.col("ws_last.at") >= F.col("ws_at") - F.lit(ttl_seconds * 1_000_000)
+    return (
         events.withColumn("ws_last", F.last("ws_found", ignorenulls=True).over(so_far))
         .filter(F.col("ws_request").isNotNull())
-        .withColumn(
-            "ws_last",
-            F.when(
-                F.col("ws_last.at") >= F.col("ws_at") - F.lit(ttl_seconds * 1_000_000),
-                F.col("ws_last"),
-            ),
-        )
-        .select("ws_request", "ws_last")
-    )
-    none = F.lit(None).cast(served.schema["ws_last"].dataType).alias("ws_last")
-    return served.unionByName(unplaced.select("ws_request", none)).select(
-        "ws_request.*", *_answer(F.col("ws_last"))
+        .withColumn("ws_last", F.when(in_time, F.col("ws_last")))
+        .select("ws_request.*", *_answer(F.col("ws_last")))
     )
 
 
@@ -158,7 +148,5 @@ def hosts_to_resolve(
         & (F.col("observed_at") <= now)
         & (F.col("observed_at") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
     ).select("host")
-    hosts = (
-        requests.select(url_hostname(url).alias("host")).filter(F.col("host") != "").distinct()
-    )
+    hosts = requests.select(present(url_hostname_sql(url), "host")).distinct()
     return hosts.join(valid, "host", "left_anti")

@@ -139,10 +139,7 @@ def _on_forms(column: Callable[[str], Column], name: str) -> Query:
 
 
 def strip_query(spark: SparkSession, d: str) -> DataFrame:
-    stripped = inputs.url_forms(spark, d).select(
-        "page_id", "form", U.strip_query("u").alias("stripped")
-    )
-    return stripped.filter(F.col("stripped").isNotNull())
+    return links.strip_queries(inputs.url_forms(spark, d), "u").select("page_id", "form", "stripped")
 
 
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -446,9 +443,7 @@ def stream_stats(spark: SparkSession, d: str) -> DataFrame:
 def stream_address(spark: SparkSession, d: str) -> DataFrame:
     asked = _page_stream(spark, d).selectExpr(*inputs.REQUEST_COLUMNS).drop("ip")
     observed = _page_stream(spark, d).selectExpr(*inputs.DNS_COLUMNS)
-    joined = _run(
-        streams.stream_address(asked, observed, "asked_at", "page_id"), "stream-address"
-    )
+    joined = _run(streams.stream_address(asked, observed, "asked_at"), "stream-address")
     return streams.newest_observation(joined, "page_id").select("page_id", "url", "ip")
 
 

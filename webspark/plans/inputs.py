@@ -155,8 +155,8 @@ def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url): all extracted links and all page URLs."""
-    found = pages(spark, sf_dir)
-    return extract_links(found).select(F.col("link").alias("url")).unionByName(found.select("url"))
+    found = extract_links(pages(spark, sf_dir)).select(F.col("link").alias("url"))
+    return found.unionByName(page_urls(spark, sf_dir).select("url"))
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,11 @@ class FrontierStore:
         scan, which filters such as ``NOT visited`` reach."""
         return self._stored().filter(F.col("deleted_at").isNull())
 
+    def changes(self, label: str) -> DataFrame:
+        """The rows a labelled commit has written."""
+        names = [f[3] for f in self._folders() if f[0] == "changes" and f[2] == label]
+        return self.spark.read.schema(FRONTIER).parquet(f"{self.path}/{names[-1]}")
+
     # --- writing ---
 
     def commit(self, touched: DataFrame, label: str = "manual") -> int:

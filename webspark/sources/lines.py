@@ -40,3 +40,8 @@ def parse_fetch_hints(lines: DataFrame, value: str = "value") -> DataFrame:
         .withColumn("ip", F.when(two, hint))
         .withColumn("ip", F.when(is_ip("ip"), F.col("ip")))
     )
+
+
+def read_queue_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines ``id<TAB>url<TAB>ip``. Tabs are kept, as the last field may be empty."""
+    return spark.read.text(path).filter(F.trim("value") != "")

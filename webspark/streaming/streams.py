@@ -67,7 +67,6 @@ def stream_address(
     requests: DataFrame,
     observations: DataFrame,
     asked_at: str,
-    request_key: str,
     url: str = "url",
     ttl_seconds: int = TTL_SECONDS,
     late: str = "10 minutes",
@@ -76,8 +75,8 @@ def stream_address(
     them.
 
     Both sides carry watermarks, so state is dropped once its TTL is over. A request that several
-    observations serve comes out several times; the sink keeps the newest per ``request_key`` (see
-    :func:`newest_observation`). Failed observations serve nobody.
+    observations serve comes out several times; the sink keeps the newest
+    per request (see :func:`newest_observation`). Failed observations serve nobody.
     """
     asked = requests.withColumn("ws_host", url_hostname(url)).withWatermark(asked_at, late)
     served = (
@@ -143,20 +142,24 @@ def run_frontier(
     checkpoint: str,
     name: str,
     compact_every: int = 20,
+    emit: Callable[[DataFrame, int], None] | None = None,
 ) -> DataStreamWriter:
     """Apply ``op`` to the stored frontier per micro-batch; add a trigger and start it.
 
     A commit is labelled with ``name`` and the batch's number, so a batch that is replayed after a
-    failure changes nothing. One stream at a time may write a store.
+    failure changes nothing. One stream at a time may write a store. ``emit`` gets the rows each
+    batch has added or changed, for links the new ones, and its number; a replay hands it the same
+    rows again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         own = FrontierStore(batch.sparkSession, store.path, store.buckets)
         label = f"{name}-{batch_id}"
-        if own.committed(label):
-            return
-        version = own.commit(op(own.load(), batch), label)
-        if version % compact_every == 0:
-            own.compact()
+        if not own.committed(label):
+            version = own.commit(op(own.load(), batch), label)
+            if version % compact_every == 0:
+                own.compact()
+        if emit is not None:
+            emit(own.changes(label), batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
