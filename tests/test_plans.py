@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from webspark.operators import frontier as fr
 from webspark.operators import hosts, links, resolution, robots
@@ -86,6 +87,60 @@ def test_stored_frontier_joins_in_place(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_uncompacted_frontier_joins_in_place(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4)
+        store.commit(fr.new_sites(spark.range(50).selectExpr("concat('http://x.com/', id) AS url")))
+        store.compact()
+        store.commit(fr.new_sites(spark.range(9).selectExpr("concat('http://z.com/', id) AS url")))
+        batch = spark.range(9).selectExpr("concat('http://y.com/', id) AS url")
+        text = plan(fr.import_links(store.load(), batch, touched_only=True)[0])
+        # The batch and the changes, the latter once per branch; never the base.
+        assert text.count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_site_is_split(spark):
+    """A site with nearly all requests: the adaptive skew join splits its partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        urls = spark.range(0, 20000, 1, 8).selectExpr(
+            "if(id % 10 = 0, concat('http://h', id % 500, '.com/'), concat('http://hot.com/', id)) AS url"
+        )
+        bodies = spark.range(500).selectExpr(
+            "if(id = 1, 'http://hot.com', concat('http://h', id, '.com')) AS site",
+            "'User-agent: *\nDisallow: /1' AS body",
+        )
+        dns = spark.range(500).selectExpr(
+            "if(id = 1, 'hot.com', concat('h', id, '.com')) AS host",
+            "array('1.1.1.1') AS ips",
+            "'' AS cname",
+            "timestamp'2024-01-01 00:00:00' AS observed_at",
+            "cast(NULL AS string) AS error",
+        )
+        timed = urls.withColumn("at", F.expr("timestamp'2024-01-01 00:10:00'"))
+        for df, rows in (
+            (robots.robots_allowed(urls, robots.parse_robots(bodies)), 20000),
+            (resolution.attach_address(urls, dns), 20000),
+            (resolution.attach_address(timed, dns, as_of="at"), 20000),
+        ):
+            assert len(df.collect()) == rows
+            assert "skew=true" in plan(df)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_windows_are_over_slices(spark, sf_dir):
     asked = inputs.requests(spark, sf_dir)
     for df in (

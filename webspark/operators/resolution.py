@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webspark.functions.binding import present
 from webspark.functions.urls import url_hostname, url_hostname_sql
+from webspark.operators.joins import lookup
 
 # How long an observation serves, and the message of an empty answer.
 TTL_SECONDS = 20 * 60
@@ -54,10 +55,8 @@ def attach_address(
         )
     )
     kept = [c for c in requests.columns if c not in ("ip", "cname", "message")]
-    return (
-        _with_host(requests, url)
-        .join(newest, "ws_host", "left")
-        .select(*kept, *_answer(F.col("ws_found")))
+    return lookup(_with_host(requests, url), newest, ["ws_host"]).select(
+        *kept, *_answer(F.col("ws_found"))
     )
 
 
@@ -72,64 +71,68 @@ def attach_address_asof(
     """Requests with the newest address observed at or before their time and not more than the TTL
     before it (both bounds count). Failed observations never serve.
 
-    Time is cut into slices of a fraction of the TTL, and the last observation of a host in a slice
-    is copied into the few slices its TTL still reaches. One window per (host, slice) then sees all
-    it needs: no pairs are formed, and a host that holds a large share of the rows is spread over
-    its slices.
+    Requests are reduced to their different (host, time) first, so any number of requests at one
+    time is one question. Time is cut into slices of a fraction of the TTL, and the last observation
+    of a host in a slice is copied into the few slices its TTL still reaches. One window per (host,
+    slice) then sees all it needs, no pairs are formed, and a host that holds a large share of the
+    rows is spread over its slices. The answers are joined back to the requests.
     """
-    width = max(1, ttl_seconds * 1_000_000 // slices_per_ttl)
+    ttl = ttl_seconds * 1_000_000
+    width = max(1, ttl // slices_per_ttl)
     kept = [c for c in requests.columns if c not in ("ip", "cname", "message")]
 
     def slice_of(micros: Column) -> Column:
         return F.call_function("div", micros, F.lit(width))
 
-    observed = dns.filter(F.col("error").isNull() & F.col("host").isNotNull()).select(
-        F.col("host").alias("ws_host"),
-        F.unix_micros("observed_at").alias("ws_at"),
-        F.struct(
-            F.unix_micros("observed_at").alias("at"), F.col("ips"), F.col("cname"), F.col("error")
-        ).alias("ws_found"),
+    own = (
+        dns.filter(F.col("error").isNull() & F.col("host").isNotNull())
+        .groupBy(F.col("host").alias("ws_host"), F.unix_micros("observed_at").alias("ws_at"))
+        .agg(F.max(F.struct("ips", "cname", "error")).alias("ws_answer"))
+        .select(
+            "ws_host",
+            "ws_at",
+            slice_of(F.col("ws_at")).alias("ws_slice"),
+            F.struct("ws_at", "ws_answer").alias("ws_found"),
+        )
+    )
+    reached = F.sequence(
+        F.col("ws_slice") + 1,
+        F.greatest(slice_of(F.col("ws_newest") + F.lit(ttl)), F.col("ws_slice") + 1),
     )
-    own = observed.withColumn("ws_slice", slice_of(F.col("ws_at")))
     carried = (
         own.groupBy("ws_host", "ws_slice")
-        .agg(F.max("ws_found").alias("ws_found"))
+        .agg(F.max("ws_at").alias("ws_newest"), F.max("ws_found").alias("ws_found"))
         .select(
             "ws_host",
-            F.col("ws_found.at").alias("ws_at"),
+            F.col("ws_newest").alias("ws_at"),
+            F.explode(reached).alias("ws_slice"),
             "ws_found",
-            F.explode(
-                F.sequence(
-                    F.col("ws_slice") + 1,
-                    slice_of(F.col("ws_found.at") + F.lit(ttl_seconds * 1_000_000)),
-                )
-            ).alias("ws_slice"),
         )
-        .filter(F.col("ws_slice") > slice_of(F.col("ws_at")))
     )
-    # A request without a time meets no observation; such rows are spread over negative slices.
-    asked = _with_host(requests, url).select(
-        "ws_host",
-        F.unix_micros(F.col(as_of).cast("timestamp")).alias("ws_at"),
-        F.struct(*kept).alias("ws_request"),
-        F.coalesce(
-            slice_of(F.unix_micros(F.col(as_of).cast("timestamp"))),
-            -1 - F.pmod(F.xxhash64(url), F.lit(1024)),
-        ).alias("ws_slice"),
+    timed = _with_host(requests.select(*kept), url).withColumn(
+        "ws_at", F.unix_micros(F.col(as_of).cast("timestamp"))
+    )
+    asked = (
+        timed.select("ws_host", "ws_at")
+        .distinct()
+        .withColumn("ws_slice", slice_of(F.col("ws_at")))
+        .withColumn("ws_asks", F.lit(True))
     )
-    events = own.unionByName(carried).unionByName(asked, allowMissingColumns=True)
+    events = own.unionByName(carried).withColumn("ws_asks", F.lit(False))
     # At one instant observations come before requests.
     so_far = (
         Window.partitionBy("ws_host", "ws_slice")
-        .orderBy("ws_at", F.col("ws_request").isNotNull(), "ws_found")
+        .orderBy("ws_at", "ws_asks", "ws_found")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    in_time = F.col("ws_last.at") >= F.col("ws_at") - F.lit(ttl_seconds * 1_000_000)
-    return (
-        events.withColumn("ws_last", F.last("ws_found", ignorenulls=True).over(so_far))
-        .filter(F.col("ws_request").isNotNull())
-        .withColumn("ws_last", F.when(in_time, F.col("ws_last")))
-        .select("ws_request.*", *_answer(F.col("ws_last")))
+    served = (
+        events.unionByName(asked, allowMissingColumns=True)
+        .withColumn("ws_last", F.last("ws_found", ignorenulls=True).over(so_far))
+        .filter(F.col("ws_asks") & (F.col("ws_last.ws_at") >= F.col("ws_at") - F.lit(ttl)))
+        .select("ws_host", "ws_at", F.col("ws_last.ws_answer").alias("ws_answer"))
+    )
+    return lookup(timed, served, ["ws_host", "ws_at"]).select(
+        *kept, *_answer(F.col("ws_answer"))
     )
 
 

@@ -1,9 +1,8 @@
 """Robots policy (RFC 9309) as tables: targets, rules and a join.
 
 A site's rules stay together in one row when requests meet them, so the join neither multiplies
-requests by rules nor needs an aggregation after it. The join is a plain left join on the site: the
-optimizer broadcasts the rules only when their measured size is below its threshold, and splits a
-site that holds a large share of the requests (adaptive skew join) otherwise.
+requests by rules nor needs an aggregation after it; a site that holds a large share of the requests
+is split by the join.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from webspark.functions.binding import case, each, let, lit, matches, struct, sub, tidy_lines, tokens
 from webspark.functions.urls import robots_path, robots_url, site_root, tidy_path_sql
 from webspark.operators.fetched import failed_records
+from webspark.operators.joins import lookup
 
 # The agent's name, the failure text, and the line forms of a robots file.
 AGENT = "Smith"
@@ -115,8 +115,7 @@ def with_robots_verdict(
     """
     first = f"try_element_at(filter(site_rules, ws_r -> {_rule_matches('robots_path')}), 1).allow"
     return (
-        requests.withColumn("site", site_root(url))
-        .join(_site_rules(rules, agent), "site", "left")
+        lookup(requests.withColumn("site", site_root(url)), _site_rules(rules, agent), ["site"])
         .withColumn("robots_path", robots_path(url))
         .withColumn("allowed", F.coalesce(F.expr(first), F.lit(True)))
         .drop("site", "site_rules", "robots_path")

@@ -24,6 +24,8 @@ from webspark.sources.frontier_store import FrontierStore
 # Fixed value: seconds between two statistics.
 STATS_INTERVAL = "3 seconds"
 
+SLICES_PER_TTL = 4
+
 
 def stream_extract(
     pages: DataFrame,
@@ -74,14 +76,33 @@ def stream_address(
     """(request columns, ip, cname, observed_at): requests joined with the observations that serve
     them.
 
-    Both sides carry watermarks, so state is dropped once its TTL is over. A request that several
-    observations serve comes out several times; the sink keeps the newest
-    per request (see :func:`newest_observation`). Failed observations serve nobody.
+    Both sides carry watermarks, so state is dropped once its TTL is over. Time slices are part of
+    the join key, each observation stands in every slice it reaches: a busy host's state is spread
+    over its slices. A request that several observations serve comes out several times; the sink
+    keeps the newest per request (see :func:`newest_observation`). Failed observations serve nobody.
     """
-    asked = requests.withColumn("ws_host", url_hostname(url)).withWatermark(asked_at, late)
+    width = max(1, ttl_seconds * 1_000_000 // SLICES_PER_TTL)
+
+    def slice_of(micros: Column) -> Column:
+        return F.call_function("div", micros, F.lit(width))
+
+    asked = (
+        requests.withColumn("ws_host", url_hostname(url))
+        .withColumn("ws_slice", slice_of(F.unix_micros(asked_at)))
+        .withWatermark(asked_at, late)
+    )
+    seen = F.unix_micros("observed_at")
     served = (
         observations.filter(F.col("error").isNull())
-        .select("host", F.try_element_at("ips", F.lit(1)).alias("ip"), "cname", "observed_at")
+        .select(
+            "host",
+            F.try_element_at("ips", F.lit(1)).alias("ip"),
+            "cname",
+            "observed_at",
+            F.explode(
+                F.sequence(slice_of(seen), slice_of(seen + F.lit(ttl_seconds * 1_000_000)))
+            ).alias("ws_reached"),
+        )
         .withWatermark("observed_at", late)
     )
     ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
@@ -89,6 +110,7 @@ def stream_address(
     return asked.join(
         served,
         (F.col("ws_host") == F.col("host"))
+        & (F.col("ws_slice") == F.col("ws_reached"))
         & (F.col("observed_at") <= F.col(asked_at))
         & (F.col(asked_at) <= F.col("observed_at") + ttl),
     ).select(*[asked[c] for c in kept], served["ip"], served["cname"], "observed_at")
