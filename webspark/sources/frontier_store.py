@@ -2,8 +2,8 @@
 
 ``load`` is the base with the newest change of each URL laid over it. A commit writes only new and
 changed rows, so a small batch does not rewrite a large table; ``compact`` folds the changes into a
-new base now and then. The base is bucketed by URL: joins on the URL read it in place, without a
-shuffle of the big side. Files are written to new folders only and count once their ``_SUCCESS``
+new base now and then. The base is bucketed by URL: laying changes over it, and joining it on the URL
+while no changes are pending, read it in place, without a shuffle of the big side. Files are written to new folders only and count once their ``_SUCCESS``
 mark is there, so readers never see half a commit and a lost executor or driver leaves no harm.
 """
 
@@ -94,12 +94,7 @@ class FrontierStore:
             else F.col(c)
             for c in COLUMNS
         ]
-        # A left join and an anti join rather than a full join: both keep the partitioning by URL,
-        # and so does their union, which spares the next join an exchange of the base.
-        added = newest.join(base.select("url"), "url", "left_anti").select(
-            *[F.col(f"ws_new.{c}").alias(c) if c != "url" else F.col(c) for c in COLUMNS]
-        )
-        return base.join(newest, "url", "left").select(*picked).unionByName(added)
+        return base.join(newest, "url", "full").select(*picked)
 
     def load(self) -> DataFrame:
         """The frontier without soft-deleted rows. Straight after :meth:`compact` this is a bare
