@@ -43,6 +43,7 @@ ENTITIES = [
     ("&eacute;&#8364;&#x1F600;&#128;&quot;&#39;", "é€😀€\"'"),
     ("&notit;&notin;&nosuch;", "&notit;∉&nosuch;"),
     ("&#0;&#xD800;&#99999999999999999999;&#;", "���&#;"),
+    ("&#xFFFFFFFFFFFFFFFFFFFFFFFF;&#x0000000000000041;&#x110000;", "\ufffdA\ufffd"),
     ("a&b&&", "a&b&&"),
     ("&ngE;", "≧̸"),
 ]

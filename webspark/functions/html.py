@@ -65,9 +65,13 @@ def decode_entities_sql(text: str) -> str:
     table = "\x1e".join(f"{name}\x1f{html5[name]}" for name in sorted(html5))
     names = f"str_to_map({lit(table)}, {lit(chr(0x1E))}, {lit(chr(0x1F))})"
     digits = sub("ws_x", "[&#xX;]", "")
-    number = (
-        f"if({matches('ws_x', '^&#[xX]')}, try_cast(conv({digits}, 16, 10) AS bigint), "
-        f"try_cast({digits} AS bigint))"
+    # More than eight hexadecimal digits are no character, nor a number conv takes.
+    number = case(
+        (f"NOT {matches('ws_x', '^&#[xX]')}", f"try_cast({digits} AS bigint)"),
+        (
+            f"length(trim(LEADING '0' FROM {digits})) <= 8",
+            f"try_cast(conv({digits}, 16, 10) AS bigint)",
+        ),
     )
     decoded = case(
         ("ws_x = '&' OR NOT startswith(ws_x, '&')", "ws_x"),
