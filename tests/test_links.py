@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 from conftest import column
@@ -75,6 +76,28 @@ def test_anchors_agree_with_a_parser(pages):
         assert r.found == parser.found
 
 
+FRAGMENTS = [
+    '<a href="x">', "<a href='y'>", "<a href=z>", "text & more", "<!-- c <a href=n> -->",
+    '<p title="a>b">', "</a>", "<script>if(a<b){'<a href=n>'}</script>", '<A HREF = "q" >',
+    "<a\nclass=x href=w>", "<br/>", "<a title='\"' href=\"v\">", "<style>a{}</style>",
+    "<a data-href=n x=1>", "< a href=n>", "<a/href=u>", "<div a='<a href=n>'>", "&lt;a href=n&gt;",
+    '<a href="a&amp;b&#233;">', "<img src=x onerror='a>b'><a href=t>", "<abbr href=n>", "<a href>",
+    '<a href="" href=n>', "\n\t", "é<a href=é>", '<a class="k"href="s">', '<b <a href="r">',
+    "<a href=p/>", "<a x=y/ href=o>",
+]
+
+
+def test_anchors_of_random_markup_agree_with_a_parser(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(FRAGMENTS, k=rng.randint(1, 12))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, h string")
+    for r in df.select("i", anchor_hrefs("h").alias("found")).collect():
+        parser = _Anchors()
+        parser.feed(texts[r.i])
+        parser.close()
+        assert r.found == parser.found, texts[r.i]
+
+
 RULES = SuffixRules.parse(["// list", "com", "co.uk", "*.ck", "!www.ck", ""])
 DOMAINS = [
     ("a.b.example.co.uk", "example.co.uk", True),
