@@ -1,9 +1,13 @@
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from conftest import column
 
 from webspark.functions import urls as U
+from webspark.functions.domains import url_domain
+from webspark.plans import checks
 
 NORMAL = [
     ("HTTP://Example.COM:80/a/./b/../c/?#top", "http://example.com/a/c", None),
@@ -21,6 +25,8 @@ NORMAL = [
     ("http://exa mple.com/", None, None),
     ("http://example.com/%zz", None, None),
     ("http://example.com/x#%zz", None, None),
+    ("http://example.com/x#a?%zz", None, None),
+    ("http://example.com/x?%zz#a", "http://example.com/x?%zz", "http://example.com/x"),
     ("http://example.com/\n", None, None),
     ("http://example.com:x/", None, None),
     (":x", None, None),
@@ -82,6 +88,44 @@ def test_normalising_twice_changes_nothing(spark):
     assert [r for r in rows if r.n2 != r.n or r.c2 != r.c] == []
 
 
+PIECES = [
+    "http://", "https://", "HTTP:", "//", "/", "/", "..", ".", "a", "B", "b.com", "Example.co.uk", "ü",
+    "é", "%41", "%2F", "%c3%a9", "%zz", "%", "%2e%2e", ":80", ":443", ":8080", ":", "?", "&", "=", "#",
+    "@", "+", " ", ";", "*", "~", "!", "'", "[", "]", "|", "^", '"', "<", "mailto:", "x:", "1", "%20",
+    "%2B", "%3d", "a=1", "q=2&a=3", "&&", "\t", "[::1]", "u:p@", "ck", "%E9", "localhost", "-", "_", ",",
+]
+BASES = ["http://h.com/a/b?x=1", "https://H.com:443/", "http://u@h.com:81/d/", "http://h.com", "file:///x/y"]
+
+
+@pytest.mark.parametrize("start", ["", "http://h.com/"])
+def test_random_texts_against_sql(spark, start):
+    """The SQL of the checks is a second, separate reading of the same rules."""
+    rng = random.Random(11)
+    texts = [start + "".join(rng.choices(PIECES, k=rng.randint(1, 9))) for _ in range(4000)]
+    forms = pd.DataFrame(
+        {"n": range(len(texts)), "base": [rng.choice(BASES) for _ in texts], "u": texts}
+    )
+    got = spark.createDataFrame(forms).select(
+        "n",
+        U.normalize_url("u").alias("a"),
+        U.canonicalize_url("u").alias("b"),
+        U.resolve_reference("base", "u").alias("c"),
+        url_domain("u").alias("d"),
+    )
+    got = {r.n: (r.a, r.b, r.c, r.d) for r in got.collect()}
+    con = duckdb.connect()
+    con.register("forms", forms)
+    rows = con.sql(
+        f"""WITH {checks._url_steps('b', 'forms', 'base')},{checks._url_steps('r', 'b', 'u')},
+        {checks._resolve_step('z', 'r', 'b', 'r')},
+        hosts AS (SELECT *, CASE WHEN r_ok THEN list_last(string_split(r_a, '@')) END AS h FROM z),
+        {checks._domain_step('dom', 'hosts', 'h')}
+        SELECT n, r_normal, r_canonical, link,
+          CASE WHEN regexp_full_match(h, '{checks.IPV4}') THEN h ELSE effective END FROM dom"""
+    ).fetchall()
+    assert [(texts[n], got[n], x) for n, *x in rows if got[n] != tuple(x)] == []
+
+
 RESOLVED = [
     ("http://example.com/dir/", "b", "http://example.com/b"),
     ("http://example.com/dir/", "/b/", "http://example.com/b"),

@@ -37,7 +37,8 @@ PARTS = (
     r"([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
 # What is not decoded when a URL is read: the query, and all but the fragment of mailto: and the like.
-UNREAD = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!/)[^#]*|\?[^#]*"
+# Group 1 is the text before the query.
+UNREAD = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:(?!/)[^#]*|([^?#]*)\?[^#]*)"
 HOST_CHARACTER = r"(?:[^\x00-\x20#%/:?@\[\\\]^`{|}\x7f]|%[89A-Fa-f][0-9A-Fa-f])"
 AUTHORITY = (
     r"^(?:[A-Za-z0-9._~!$&'()*+,;=:%@\-]*@)?"
@@ -83,7 +84,7 @@ def raw_sql(url: str) -> str:
         authority=group(url, PARTS, 2),
         path=group(url, PARTS, 3),
         query=group(url, PARTS, 4),
-        malformed=f"{matches(url, CONTROL)} OR {matches(sub(url, UNREAD, ''), BAD_ESCAPE)}",
+        malformed=f"{matches(url, CONTROL)} OR {matches(sub(url, UNREAD, '$1'), BAD_ESCAPE)}",
         done="false",
     )
     return case((matches(url, PLAIN_URL), plain), default=parts)

@@ -150,6 +150,6 @@ def hosts_to_resolve(
         & (F.size("ips") > 0)
         & (F.col("observed_at") <= now)
         & (F.col("observed_at") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    ).select("host")
+    ).select("host").distinct()
     hosts = requests.select(present(url_hostname_sql(url), "host")).distinct()
     return hosts.join(valid, "host", "left_anti")

@@ -15,7 +15,7 @@ IN_PATH = r"[A-Za-z0-9._~:/@!$&''()*+,;=\[\]-]"
 REFERENCE = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?:(//)([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
-USERINFO = "[A-Za-z0-9._~!$&''()*+,;=:%-]*"
+USERINFO = "([A-Za-z0-9._~!$&''()*+,;=:-]|%[0-9A-Fa-f]{2})*"
 HOST = r"(\[[0-9A-Fa-f:.%]*\]|([^\x00-\x20#%/:?@\[\\\]^`{|}\x7f]|%[89A-Fa-f][0-9A-Fa-f])*)"
 IPV4 = r"((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)"
 
