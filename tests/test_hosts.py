@@ -40,6 +40,13 @@ def test_against_brute_force(spark, width):
     assert tuple(hosts.pending_totals(df).first()) == (len(seen), len(order))
 
 
+def test_requests_without_order_are_kept(spark):
+    df = spark.createDataFrame([(None, "x"), (3, "x"), (5, None), (-4, "x")], "n bigint, ip string")
+    plan = hosts.politeness_plan(df, "n", slice_width=2).collect()
+    assert {r.n: r.position for r in plan} == {None: 0, -4: 1, 3: 2, 5: 0}
+    assert hosts.run_batches(df, "n", slice_width=2).count() == 4
+
+
 def test_no_requests(spark):
     df = spark.createDataFrame([], "n bigint, ip string")
     assert hosts.run_batches(df, "n").count() == 0

@@ -34,7 +34,9 @@ def group_by_address(requests: DataFrame, order: str, ip: str = "ip") -> DataFra
 
 
 def _sliced(requests: DataFrame, order: str, width: int) -> DataFrame:
-    return requests.withColumn("ws_slice", F.call_function("div", F.col(order), F.lit(width)))
+    """Requests with their slice; those without an order value come first, in a slice of their own."""
+    slice_number = F.call_function("div", F.col(order), F.lit(width))
+    return requests.withColumn("ws_slice", F.coalesce(slice_number, F.lit(-(1 << 62))))
 
 
 def politeness_plan(
