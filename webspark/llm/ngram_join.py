@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webspark.llm.components import components
-from webspark.llm.tables import written
+from webspark.llm.tables import sieved, written
 from webspark.llm.words import shingle_sets
 
 SHINGLE_WORDS = 5
@@ -33,9 +33,11 @@ FREQUENT = 1 << 17
 # A shingle counts as frequent from so many documents.
 FREQUENT_FROM = 8
 # Hashes of a run that is counted at once.
-COUNT_HASHES = 4 << 20
+COUNT_HASHES = 2 << 20
+# Shingles of a batch that goes back to Spark.
+BATCH_SHINGLES = 1 << 18
 # Shingles and sets that one task of the join holds of its slice, and again of the sets it compares.
-SLICE_SHINGLES = 2_000_000
+SLICE_SHINGLES = 1_000_000
 SLICE_SETS = 1024
 # Sets of a block that every slice of it gets, to join the slices' parts.
 PIVOTS = 16
@@ -104,6 +106,24 @@ def _identity(found: np.ndarray) -> int:
         return int(np.bitwise_xor.reduce(found * np.uint64(0xD6E8FEB86659FD93) ^ found >> np.uint64(29)).view(np.int64))
 
 
+def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first text, sets) of runs of texts with about BATCH_SHINGLES shingles."""
+    held, total, first, k = [], 0, 0, 0
+    for k, found in enumerate(shingle_sets(texts, size), 1):
+        held.append(found)
+        total += len(found)
+        if total >= BATCH_SHINGLES:
+            yield first, held
+            held, total, first = [], 0, k
+    if held:
+        yield first, held
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
 def shingle_prefixes(
     docs: DataFrame, frequent: np.ndarray, size: int, percent: int, id_column: str, text_column: str
 ) -> DataFrame:
@@ -112,23 +132,17 @@ def shingle_prefixes(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, identity, prefix = [], [], []
-            for found in shingle_sets(batch.column(1), size):
-                n.append(len(found))
-                identity.append(_identity(found))
-                most = prefix_size(len(found), percent) if len(found) else 0
-                prefix.append(in_order(found, frequent)[:most].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int64), *prefix])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.array(identity, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-                ],
-                names=["doc_id", "n", "hash", "prefix"],
-            )
+            for first, sets in _runs(batch.column(1), size):
+                made = [in_order(s, frequent)[: prefix_size(len(s), percent) if len(s) else 0] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(sets)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([_identity(s) for s in sets], pa.int64()),
+                        _lists(made),
+                    ],
+                    names=["doc_id", "n", "hash", "prefix"],
+                )
 
     return docs.select(id_column, text_column).mapInArrow(
         rows, f"doc_id {key}, n long, hash long, prefix array<long>"
@@ -260,17 +274,17 @@ def candidate_blocks(classes: DataFrame, percent: int) -> DataFrame:
 
 def _with_shingles(members: DataFrame, docs: DataFrame, frequent: np.ndarray, size: int, id_column: str, text_column: str) -> DataFrame:
     """``members(rep, ...)`` with the shingles of the document of that id, in the global order."""
-    texts = docs.select(F.col(id_column).alias("rep"), F.col(text_column).alias("ws_text"))
+    texts = docs.select(F.col(id_column).alias("rep"), F.col(text_column).alias("ws_text")).dropna()
     named = members.columns
-    joined = members.join(texts.dropna(), "rep").select(*named, "ws_text")
+    joined = members.join(sieved(texts, "rep", members, "rep"), "rep").select(*named, "ws_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [in_order(s, frequent).view(np.int64) for s in shingle_sets(batch.column(len(named)), size)]
-            made = pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*named, "shingles"]
-            )
-            yield made.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+            for first, sets in _runs(batch.column(len(named)), size):
+                own = [c.slice(first, len(sets)) for c in batch.columns[:-1]]
+                made = _lists([in_order(s, frequent) for s in sets])
+                full = pa.array([len(s) > 0 for s in sets], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*own, made], names=[*named, "shingles"]).filter(full)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
     return joined.mapInArrow(rows, f"{kinds}, shingles array<long>")

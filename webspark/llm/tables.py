@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from webspark.sources.shared import fresh_path
 
@@ -20,3 +21,24 @@ def without(frame: DataFrame, *names: str) -> list[str]:
     columns of the input."""
     gone = {n.lower() for n in names}
     return [f"`{c}`" for c in frame.columns if c.lower() not in gone]
+
+
+# Bits of a sieve: a bound of its size, whatever the number of keys.
+SIEVE_BITS = 1 << 23
+
+
+def sieved(frame: DataFrame, column: str, keys: DataFrame, key: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows of ``frame`` whose ``column`` may be among ``keys``, to be joined with these afterwards.
+
+    One hash of every key marks a bit. The marks are at most ``bits / 64`` rows of 64 bits, and are
+    broadcast for that bound; rows without a mark go before a shuffle would carry them. Too many keys
+    only let more rows pass. Rows with a null pass never, as in a join.
+    """
+    marks = (
+        keys.select(F.pmod(F.xxhash64(F.col(key)), F.lit(bits)).alias("ws_at"))
+        .groupBy(F.floor(F.col("ws_at") / 64).alias("ws_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(ws_at % 64 as int)))").alias("ws_bits"))
+    )
+    at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    tested = frame.withColumn("ws_at", at).join(F.broadcast(marks), F.floor(F.col("ws_at") / 64) == F.col("ws_word"))
+    return tested.where("(shiftrightunsigned(ws_bits, cast(ws_at % 64 as int)) & 1) = 1").select(*frame.columns)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that one vector step handles; bounds the memory of a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SPACES = tuple([0x20, *range(0x09, 0x0E)])
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
