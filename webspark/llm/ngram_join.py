@@ -2,10 +2,11 @@
 
 A document's set of shingles is written in one global order: shingles known to be frequent last, by
 hash otherwise. Two sets of a Jaccard similarity of at least t share a shingle among the first
-``n - ceil(t * n) + 1`` of each, so a shuffle on those few finds every candidate. Candidates hang
-together in blocks. In a block the sets are stored in a trie: one walk over it meets all its sets,
-what a path has in common with each probing set is counted once and shared by everything below, and
-a probe leaves a subtree as soon as the shingles left can't reach the similarity any more.
+``n - ceil(t * n) + 1`` of each, so a shuffle on those few finds every candidate; how many of them two
+sets share bounds what they can have in common, and drops most candidates. The rest hangs together in
+blocks. In a block the sets are stored in a trie: one walk over it meets all its sets, what a path has
+in common with each probing set is counted once and shared by everything below, and a probe leaves a
+subtree as soon as the shingles left can't reach the similarity any more.
 
 Equal sets are one class from the start, so copies cost nothing. Blocks have no bound, tasks have:
 see :func:`link_classes`.
@@ -29,11 +30,10 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 # Shingles that the order puts last: so many at most, the most frequent. They decide how much work
 # the join is, never its result.
-FREQUENT = 1 << 17
-# A shingle counts as frequent from so many documents.
-FREQUENT_FROM = 8
-# Hashes of a run that is counted at once.
-COUNT_HASHES = 2 << 20
+FREQUENT = 1 << 20
+# Documents that share a shingle: up to so many are compared pair by pair in their counts, more hang
+# together in a chain.
+FEW = 16
 # Shingles of a batch that goes back to Spark.
 BATCH_SHINGLES = 1 << 18
 # Shingles and sets that one task of the join holds of its slice, and again of the sets it compares.
@@ -53,40 +53,27 @@ def prefix_size(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def frequent_shingles(docs: DataFrame, text: str, size: int, most: int = FREQUENT) -> np.ndarray:
-    """The shingles in the most documents, at most ``most``, ascending.
+def frequent_shingles(docs: DataFrame, text: str, size: int, percent: int = PERCENT, most: int = FREQUENT) -> np.ndarray:
+    """The shingles of more than FEW documents, the most frequent ``most`` of them, ascending.
 
-    All documents are counted: a task counts a run of about COUNT_HASHES shingles and passes those on
-    that occur twice in it, so what is shuffled is a small part of all shingles. The driver gets at
-    most ``most`` numbers.
+    Counted are, over all documents, the shingles that stand first by hash, half as many again as a
+    prefix has: the others don't come into a prefix but by way of very many frequent ones. The driver
+    gets at most ``most`` numbers.
     """
 
-    def counted(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
-        return pa.RecordBatch.from_pydict(
-            {"shingle": found[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)}
-        )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in shingle_sets(batch.column(0), size):
-                held.append(found)
-                total += len(found)
-                if total >= COUNT_HASHES:
-                    yield counted(held)
-                    held, total = [], 0
-        yield counted(held)
-
-    counts = docs.select(text).mapInArrow(count, "shingle long, n long")
+            for _, sets in _runs(batch.column(0), size):
+                first = [s[: prefix_size(len(s), percent) * 3 // 2] for s in sets if len(s)]
+                found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *first]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"shingle": found.view(np.int64), "n": n.astype(np.int32)})
+
+    counts = docs.select(text).mapInArrow(lowest, "shingle long, n int")
     top = (
-        counts.groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= FREQUENT_FROM)
-        .orderBy(F.desc("n"), "shingle")
-        .limit(most)
+        counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FEW).orderBy(F.desc("n"), "shingle").limit(most)
     )
-    return np.sort(np.array([r["shingle"] for r in top.collect()], np.int64).view(np.uint64))
+    found = top.select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
 
 def in_order(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -98,6 +85,15 @@ def in_order(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])
 
 
+def _rank(ordered: np.ndarray, frequent: np.ndarray) -> int:
+    """Place of the last shingle in the global order, as a number."""
+    if len(ordered) == 0:
+        return 0
+    last = ordered[-1:]
+    late = len(frequent) > 0 and frequent[min(int(np.searchsorted(frequent, last)[0]), len(frequent) - 1)] == last[0]
+    return int(last[0] >> np.uint64(2)) + (1 << 62) * int(late)
+
+
 def _identity(found: np.ndarray) -> int:
     """Hash of a set; with the set's size it stands for the set."""
     if len(found) == 0:
@@ -127,7 +123,8 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 def shingle_prefixes(
     docs: DataFrame, frequent: np.ndarray, size: int, percent: int, id_column: str, text_column: str
 ) -> DataFrame:
-    """``(doc_id, n, hash, prefix)`` of every row; prefix in the global order."""
+    """``(doc_id, n, hash, last, prefix)`` of every row; prefix in the global order, ``last`` the rank of
+    its last shingle in that order (coarsely: equal ranks may be different shingles)."""
     key = docs.schema[id_column].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +136,14 @@ def shingle_prefixes(
                         batch.column(0).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_identity(s) for s in sets], pa.int64()),
+                        pa.array([_rank(m, frequent) for m in made], pa.int64()),
                         _lists(made),
                     ],
-                    names=["doc_id", "n", "hash", "prefix"],
+                    names=["doc_id", "n", "hash", "last", "prefix"],
                 )
 
     return docs.select(id_column, text_column).mapInArrow(
-        rows, f"doc_id {key}, n long, hash long, prefix array<long>"
+        rows, f"doc_id {key}, n long, hash long, last long, prefix array<long>"
     )
 
 
@@ -254,20 +252,45 @@ def _slice_edges(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "rep": reps, "root": reps[groups.label]})
 
 
-def candidate_blocks(classes: DataFrame, percent: int) -> DataFrame:
-    """``(rep, block)`` of the classes that share a prefix shingle with another one of fitting size.
+def candidate_blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(rep, block)`` of the classes that may link with another one.
 
-    Sets with the same shingle stand in order of size. Neighbours in that order are joined unless one
-    is too small for the other; then it is too small for everything beyond as well. So the classes
-    that could link hang together, with one edge for each row, and no pairs are made.
+    Of two sets, let ``a`` be the one whose prefix ends first. What it has in its prefix the other has in
+    its own prefix or not at all, so they share at most what the prefixes share and what ``a`` has after
+    its prefix. That number is counted for all pairs under a shingle of at most FEW sets; shingles of
+    more sets count as shared. Sets under such a frequent shingle stand in order of size, and
+    neighbours are joined unless one is too small for the other; then it is too small for everything
+    beyond as well. So they hang together with one edge for each row, and no pairs are made of a large
+    group.
     """
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("shingle"))
+    own = rows.join(classes.select("hash", "n", "rep"), ["hash", "n"]).where("doc_id = rep")
+    tokens = own.select("rep", "n", "last", F.explode("prefix").alias("shingle"))
+    held = F.count("*").over(Window.partitionBy("shingle"))
+    shared = written(tokens.withColumn("sets", held).where("sets > 1"), "shared-shingles")
+    few = shared.where(F.col("sets") <= FEW).groupBy("shingle").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
+    pairs = few.select(
+        F.explode(F.flatten(F.transform("reps", lambda a, i: F.transform(F.slice("reps", i + 2, F.lit(FEW)), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("pair")
+    )
+    counted = pairs.groupBy("pair.a", "pair.b").agg(F.count("*").alias("c"))
+    many = F.sum(F.when(F.col("sets") > FEW, 1).otherwise(0)).alias("many")
+    about = shared.groupBy("rep").agg(F.max("n").alias("n"), F.max("last").alias("last"), many)
+
+    def side(x: str) -> DataFrame:
+        return about.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "last", "many")])
+
+    both = counted.join(side("a"), "a").join(side("b"), "b")
+    after = {x: F.ceil(F.lit(percent) * F.col(f"n_{x}") / 100) - 1 for x in "ab"}
+    rest = F.when(F.col("last_a") < F.col("last_b"), after["a"]).when(F.col("last_a") > F.col("last_b"), after["b"]).otherwise(F.greatest(after["a"], after["b"]))
+    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    fit = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    likely = both.where(fit & (F.col("c") + F.least("many_a", "many_b") + rest >= least)).select("a", "b")
     order = Window.partitionBy("shingle").orderBy("n", "rep")
-    chained = tokens.select(
+    chained = shared.where(F.col("sets") > FEW).select(
         F.col("rep").alias("a"), F.lag("rep").over(order).alias("b"), F.lag("n").over(order).alias("m"), "n"
     )
-    edges = chained.where((F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")) & F.col("b").isNotNull())
-    return components(edges.select("a", "b").distinct(), "candidate-blocks").select(
+    chain = chained.where((F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")) & F.col("b").isNotNull())
+    edges = likely.union(chain.select("a", "b").distinct())
+    return components(edges, "candidate-blocks").select(
         F.col("node").alias("rep"), F.col("root").alias("block")
     )
 
@@ -384,16 +407,15 @@ def ngram_join(
     its text, and where the group has no id ``component_id`` is null. An empty table gives an empty
     one. Other columns are not read. Ids are whole numbers.
     """
-    frequent = frequent_shingles(docs, text_column, size)
+    frequent = frequent_shingles(docs, text_column, size, percent)
     rows = written(shingle_prefixes(docs, frequent, size, percent, id_column, text_column), "shingle-prefixes")
     classes = written(
-        rows.where("n > 0").groupBy("hash", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")),
-        "shingle-classes",
+        rows.where("n > 0").groupBy("hash", "n").agg(F.min("doc_id").alias("rep")), "shingle-classes"
     )
     known = classes.where("rep IS NOT NULL")
-    blocks = candidate_blocks(known, percent)
+    blocks = candidate_blocks(rows.where("n > 0"), known, percent)
     linked = link_classes(blocks, known, docs, frequent, size, percent, id_column, text_column)
-    roots = classes.select("hash", "n", "rep").join(linked, "rep", "left").select("hash", "n", F.coalesce("root", "rep").alias("root"))
+    roots = classes.join(linked, "rep", "left").select("hash", "n", F.coalesce("root", "rep").alias("root"))
     # Copies share a class, so this side may be one hot key: a plain join, which Spark can split.
     return rows.select("doc_id", "n", "hash").join(roots, ["hash", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")
