@@ -83,10 +83,11 @@ def _variants(lines: DataFrame) -> DataFrame:
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
         # Without character i: what comes after it moves one place to the left.
         variant = before[:-1] + (before[-1] - before[1:]) * inverse()
+        lengths = np.array([n - 1, n], np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         place = np.arange(1, n + 1, dtype=np.uint64)
         changed = mix(mix(variant + np.uint64(n)) + place * np.uint64(0xA0761D6478BD642F))
-        shorter = mix(variant + np.uint64(n - 1) * np.uint64(0xE7037ED1A0B428DB))
-        own = mix(before[-1:] + np.uint64(n) * np.uint64(0xE7037ED1A0B428DB))
+        shorter = mix(variant + lengths[:1])
+        own = mix(before[-1:] + lengths[1:])
         # A run of one character gives the same variant over and over.
         shorter = np.unique(shorter)
         keys = np.concatenate([changed, own, shorter]).view(np.int64)

@@ -27,14 +27,19 @@ VERDICTS = ("resolved", "changed", "unvalidated", "no_response")
 
 
 def _tidy(headers: Column) -> Column:
-    """Headers with lower-case names; of names that differ in case only, the last one."""
+    """Headers with lower-case names; of names that differ in case only, the greatest value (the entries
+    of a map have no order)."""
     entries = F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>"))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(F.trim(e["key"]))))
     return F.map_from_arrays(
         names,
         F.transform(
             names,
-            lambda n: F.element_at(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), -1)["value"],
+            lambda n: F.array_max(
+                F.transform(
+                    F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n), lambda e: e["value"]
+                )
+            ),
         ),
     )
 

@@ -20,7 +20,7 @@ from webspark.llm.tables import written
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+@-])[\p{L}\p{N}_.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![\w])[0-9A-Fa-f]{32,128}(?![\w])",
-    "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]?\d{4}(?![\w-])",
+    "phone": r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]?\d{4}|\+\d{10,14})(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-])",
     "name": r"(?<=\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?|г-н|г-жа)\.?[ ])"
@@ -64,7 +64,8 @@ def mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """``(doc_id, twin, at, mention, kind, entity)`` of every mention, ``at`` its number in the text.
 
     ``entity`` is what mentions in different writing share: e-mail addresses, secrets and names without
-    case, numbers as their digits. A name of two words is two entities, a given name with the gender of
+    case, numbers as their digits (of a phone number the last ten, so that it may stand with or without a
+    country code). A name of two words is two entities, a given name with the gender of
     the title before it and a surname; so a surname alone meets the full name.
     """
     text = F.col(text_column)
@@ -91,7 +92,8 @@ def mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     ).otherwise("surname")
     return split.select(
         "doc_id", "twin", "at", "part", "mention", sub.alias("kind"),
-        F.when(F.col("kind").isin("phone", "card"), F.regexp_replace("mention", "[^0-9]", ""))
+        F.when(F.col("kind") == "phone", F.expr("right(regexp_replace(mention, '[^0-9]', ''), 10)"))
+        .when(F.col("kind") == "card", F.regexp_replace("mention", "[^0-9]", ""))
         .otherwise(F.lower("mention")).alias("entity"),
     )
 
@@ -172,7 +174,6 @@ def _draw(entities: DataFrame, key: str, draw: int) -> DataFrame:
     tld = F.regexp_extract(entity, r"(\.[^.]*)$", 1)
     octets = [F.pmod(_digit(stream, F.lit(k)), F.lit(254)).cast("string") for k in (3, 4, 5)]
     hexes = F.concat(stream, F.reverse(stream))
-    phone = F.concat(F.expr("substring(entity, 1, length(entity) - 10)"), F.expr("right(ws_shape, 10)"))
     drawn = entities.withColumn("ws_stream", _stream(key, kind, entity, F.lit(draw))).withColumn(
         "ws_shape", _same_shape(entity, stream)
     )
@@ -181,7 +182,7 @@ def _draw(entities: DataFrame, key: str, draw: int) -> DataFrame:
         .when(kind == "ip", F.concat_ws(".", F.lit("10"), *octets))
         .when(kind == "secret", F.substring(hexes, F.lit(1), F.length(entity)))
         .when(kind == "card", F.concat(_card(entity, stream), extra))
-        .when(kind == "phone", F.concat(phone, extra))
+        .when(kind == "phone", F.concat(F.col("ws_shape"), extra))
         .otherwise(_name(kind, entity, stream, F.lit(draw)))
     )
     return drawn.select("kind", "entity", made.alias("surrogate"), F.lit(draw).alias("draw"))
@@ -211,10 +212,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def _as_written(mention: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the writing of the mention: its punctuation, its case."""
-    digits = F.filter(F.split(surrogate, ""), lambda c: c != "")
     chars = F.filter(F.split(mention, ""), lambda c: c != "")
-    # The k-th digit of the mention becomes the k-th digit of the surrogate.
+    # Digits are filled in one by one; a country code that is no part of the entity stays.
     before = F.regexp_replace(mention, "[^0-9]", "")
+    code = F.substring(before, F.lit(1), F.greatest(F.length(before) - F.length(surrogate), F.lit(0)))
+    number = F.concat(code, surrogate)
+    digits = F.filter(F.split(number, ""), lambda c: c != "")
     filled = F.array_join(
         F.transform(
             chars,
@@ -225,7 +228,7 @@ def _as_written(mention: Column, kind: Column, surrogate: Column) -> Column:
         ),
         "",
     )
-    rest = F.substring(surrogate, F.length(before) + 1, F.lit(64))
+    rest = F.substring(number, F.length(before) + 1, F.lit(64))
     upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
     title = F.regexp_like(mention, F.lit(r"^\p{Lu}"))
     cased = F.when(upper & (F.length(mention) > 1), F.upper(surrogate)).when(title & kind.isin("male", "female", "surname"), F.initcap(surrogate))

@@ -46,8 +46,10 @@ _WORD = re.compile(r"\S+")
 _FOLD = {ord(a): b for a, b in LOOK_ALIKES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _ANY_SIGN = re.compile(r"[013457@$!]")
-# A sign within a word, or at its start before two letters.
-_SIGN = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<![^\s])[013457@$](?=[^\W\d_]{2})")
+# Signs within a word, or at its start before two letters (with signs between them or not).
+_SIGN = re.compile(
+    r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<![^\s])[013457@$](?=[^\W\d_][013457@$!]*[^\W\d_])"
+)
 
 
 def fold(text: str | None) -> str:
