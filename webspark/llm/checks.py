@@ -3,6 +3,8 @@ against brute force."""
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from webspark.llm import line_dedup, quality, revisits
 from webspark.plans.checks import _url_steps
 
@@ -88,9 +90,9 @@ FROM m
 """
 
 _LINE_DEDUP = f"""
-WITH l AS (SELECT doc_id, no, lower(trim(line, ' ')) AS line FROM
+WITH l AS (SELECT doc_id, no, translate(trim(line, ' '), '{ascii_uppercase}', '{ascii_lowercase}') AS line FROM
     (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
-  WHERE len(lower(trim(line, ' '))) >= {line_dedup.MIN_CHARS}),
+  WHERE len(trim(line, ' ')) >= {line_dedup.MIN_CHARS}),
 d AS (SELECT line, len(line) AS n, min({{'d': doc_id, 'l': no}}) AS place FROM l GROUP BY line),
 near AS (SELECT a.line, min(b.place) AS place FROM d a JOIN d b
   ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.place < a.place

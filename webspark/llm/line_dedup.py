@@ -10,72 +10,132 @@ the check exact without pairs:
   key the shorter line meets the longer ones; it needs the earliest of them, and they need it.
 
 So a group of lines under a key is an aggregate of two minima, however many lines it has, and each line
-finds the earliest line within one edit. Of all lines only those emit variants that share a half with
-another line: one edit leaves the first or the last characters, up to half of the line, as they are.
+finds the earliest line within one edit. Of all lines only those emit variants that agree with another
+line but for a quarter: cut into four parts, two lines within one edit differ in one of them, and what
+stands before it, counted from the start, and after it, counted from the end, is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webspark.llm.tables import written
-from webspark.llm.words import inverse, mix, powers
+from webspark.llm.tables import sieved, written
+from webspark.llm.words import BYTE_VALUES, LOWER, chunks, inverse, mix, powers, powers_for
 
 # Shorter lines are left alone: short phrases recur by chance.
 MIN_CHARS = 32
 
+_ODD = np.uint64(0xE7037ED1A0B428DB)
+
+
+def _sizes() -> np.ndarray:
+    """Sizes a quarter apart; a line counts with the largest one up to its length."""
+    out = [4]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return np.array(out, np.int64)
 
-def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) -> DataFrame:
-    """Every line that counts: its place, two hashes and its length. Places order by document, then
-    line; documents without an id come last, and a row's text hash keeps apart rows that share an id."""
-    doc, text = F.col(id_column), F.col(text_column)
-    rows = docs.select(
-        doc.isNull().alias("missing"),
-        doc.alias("doc_id"),
-        F.xxhash64(text).alias("twin"),
-        F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
-    )
-    line = F.lower(F.trim("line"))
-    return (
-        rows.select(F.struct("missing", "doc_id", "twin", "line_no").alias("place"), line.alias("line"))
-        .where(F.char_length("line") >= min_chars)
-        .select(
-            "place",
-            F.xxhash64("line").alias("hash"),
-            F.xxhash64(F.lit(1), "line").alias("check"),
-            F.char_length("line").alias("length"),
-            "line",
-        )
-    )
 
+SIZES = _sizes()
 
-def _half_keys(line: str) -> Column:
-    """Hashes of the first and of the last characters, as many as half the power of two at or below the
-    length. A line one short of a power of two also has those of the next power, since one character
-    more would take it there."""
-    column, length = F.col(line), F.char_length(line)
-    whole = F.floor(F.log2(length.cast("double") + 0.5)).cast("int")  # never exact powers: no rounding
 
-    def keys(power: Column) -> Column:
-        half = F.pow(F.lit(2.0), power - 1).cast("int")
-        first = F.substring(column, F.lit(1), half)
-        last = F.substring(column, -half, half)
-        return F.array(F.xxhash64(F.lit(0), power, first), F.xxhash64(F.lit(1), power, last))
+def _quarter_keys(ranges, first: np.ndarray, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Four keys per line, each of all but one quarter of ``size`` characters; the last one leaves out
+    everything beyond three quarters. ``ranges`` hashes runs of characters."""
+    cuts = [np.zeros_like(size), size // 4, size // 2, 3 * size // 4, size]
+    keys = []
+    for k in range(4):
+        before = ranges(first, first + cuts[k])
+        after = ranges(first + chars - (size - cuts[k + 1]), first + chars)
+        keys.append(mix(before * _ODD + after + (size * 4 + k).astype(np.uint64)))
+    return np.stack(keys, 1)
 
-    edge = length + 1 == F.pow(F.lit(2.0), whole + 1)
-    return F.when(edge, F.concat(keys(whole), keys(whole + 1))).otherwise(keys(whole))
+
+def scan_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, line number, hash, second hash, keys, keys per line) of the lines of runs of texts.
+
+    Lines end at a line feed; A-Z are lower-cased, and spaces around a line don't count. All lines of a
+    run are handled at once: a hash of any part of a text is the difference of two prefix sums.
+    """
+    for row, _, data, offsets in chunks(texts):
+        data = LOWER[data]
+        n = len(data)
+        feeds = np.flatnonzero(data == 10)
+        starts = np.concatenate([offsets[:-1], feeds + 1])
+        text = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feeds, "right") - 1])
+        number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[text])
+        ends = np.minimum(np.append(feeds, n)[np.searchsorted(feeds, starts)], offsets[text + 1])
+        solid = np.append(np.flatnonzero(data != 32), n)
+        starts = np.minimum(solid[np.searchsorted(solid, starts)], ends)
+        ends = np.maximum(starts, np.append(-1, solid)[np.searchsorted(solid, ends)] + 1)
+        lead = (data & 0xC0) != 0x80
+        places = np.append(np.flatnonzero(lead), n)
+        before = np.concatenate([[0], np.cumsum(lead)])
+        first, chars = before[starts], before[ends] - before[starts]
+        use = chars >= max(min_chars, int(SIZES[0]))
+        first, chars, text, number = first[use], chars[use], text[use], number[use]
+        power, back = powers_for(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * power[:n], out=total[1:])
+
+        def ranges(a: np.ndarray, b: np.ndarray, places=places, total=total, back=back) -> np.ndarray:
+            x, y = places[a], places[b]
+            return mix((total[y] - total[x]) * back[x] + (y - x).astype(np.uint64))
+
+        whole = ranges(first, first + chars)
+        half = chars // 2
+        check = mix(ranges(first, first + half) * _ODD ^ ranges(first + half, first + chars))
+        size = SIZES[np.searchsorted(SIZES, chars, "right") - 1]
+        keys = _quarter_keys(ranges, first, chars, size)
+        # One character more may take a line to the next size.
+        edge = np.flatnonzero(SIZES[np.searchsorted(SIZES, chars + 1, "right") - 1] != size)
+        more = _quarter_keys(ranges, first[edge], chars[edge], chars[edge] + 1)
+        many = np.full(len(chars), 4)
+        many[edge] = 8
+        flat = np.concatenate([keys.ravel(), more.ravel()])
+        owner = np.concatenate([np.repeat(np.arange(len(chars)), 4), np.repeat(edge, 4)])
+        yield row + text, number, whole, check, flat[np.argsort(owner, kind="stable")], many
+
+
+def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) -> DataFrame:
+    """``(place, hash, check, keys)`` of every line that counts. Places order by document, then line;
+    documents without an id come last, and a hash of the row's text keeps apart rows that share an id."""
+    doc, text = F.col(id_column), F.col(text_column)
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, number, whole, check, keys, many in scan_lines(batch.column(2), min_chars):
+                at = pa.array(row)
+                ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at),
+                        batch.column(1).take(at),
+                        pa.array(number.astype(np.int32)),
+                        pa.array(whole.view(np.int64)),
+                        pa.array(check.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))),
+                    ],
+                    names=["doc_id", "twin", "line_no", "hash", "check", "keys"],
+                )
+
+    made = docs.where(text.isNotNull()).select(doc.alias("doc_id"), F.xxhash64(text).alias("twin"), text).mapInArrow(
+        rows, f"doc_id {kind}, twin long, line_no int, hash long, check long, keys array<long>"
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "twin", "line_no")
+    return made.select(place.alias("place"), "hash", "check", "keys")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """``lines(place, line)`` with ``keys``: (key, role) of every variant. Roles: 0 the place of the
     missing character is part of the key, 1 the line itself, 2 the line without a character."""
-    names = ["place", "length"]
-
     def keys_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         n = len(points)
@@ -83,7 +143,7 @@ def _variants(lines: DataFrame) -> DataFrame:
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
         # Without character i: what comes after it moves one place to the left.
         variant = before[:-1] + (before[-1] - before[1:]) * inverse()
-        lengths = np.array([n - 1, n], np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+        lengths = np.array([n - 1, n], np.uint64) * _ODD
         place = np.arange(1, n + 1, dtype=np.uint64)
         changed = mix(mix(variant + np.uint64(n)) + place * np.uint64(0xA0761D6478BD642F))
         shorter = mix(variant + lengths[:1])
@@ -100,11 +160,11 @@ def _variants(lines: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in made])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in made]])))
             roles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int8), *[r for _, r in made]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], keys, roles], names=["hash", "check", *names, "keys", "roles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], keys, roles], names=["hash", "check", "place", "keys", "roles"])
 
     place = lines.schema["place"].dataType.simpleString()
-    made = lines.select("line", "hash", "check", *names).mapInArrow(
-        rows, f"hash long, check long, place {place}, length int, keys array<long>, roles array<tinyint>"
+    made = lines.select("line", "hash", "check", "place").mapInArrow(
+        rows, f"hash long, check long, place {place}, keys array<long>, roles array<tinyint>"
     )
     return made.select("hash", "check", "place", F.explode(F.arrays_zip("keys", "roles")).alias("v")).select(
         "hash", "check", "place", F.col("v.keys").alias("key"), F.col("v.roles").alias("role")
@@ -117,48 +177,42 @@ def duplicate_lines(
     """``(doc_id, twin, line_no, kept_doc_id, kept_line_no, distance)`` of every line that repeats an
     earlier one.
 
-    Lines end at a line feed, count from 0, and are compared lower-cased and without space around
-    them. A line is a repeat when an earlier line (by document id, then place) equals it or is one edit
+    Lines end at a line feed, count from 0, and are compared with A-Z lower-cased and without spaces
+    around them. A line is a repeat when an earlier line (by document id, then place) equals it or is one edit
     away, whether or not that one is a repeat itself; the earliest such line is named, with its
     distance, 0 or 1. Lines of fewer than ``min_chars`` characters are no repeats, nor are lines of a
     null or empty text. Rows equal in id and text are one document; ``twin``, a hash of the text, tells
     rows apart that share only the id. Documents without an id come last. An empty table gives an empty
     one; other columns are not read.
     """
-    lines = _lines(docs, min_chars, id_column, text_column)
+    lines = written(_lines(docs, min_chars, id_column, text_column), "lines")
     same = ["hash", "check"]
     distinct = written(
-        lines.groupBy(*same).agg(
-            F.min("place").alias("place"),
-            F.count("*").alias("n"),
-            F.first("length").alias("length"),
-            F.first(_half_keys("line")).alias("halves"),
-        ),
-        "distinct-lines",
+        lines.groupBy(*same).agg(F.min("place").alias("place"), F.count("*").alias("n")), "distinct-lines"
     )
-    halves = distinct.select(*same, "place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("ws_n")).where("ws_n > 1").select("half")
-    near = halves.join(shared, "half").select(*same, "place").distinct()
+    keys = lines.select("hash", F.explode("keys").alias("key"))
+    # A key of two different lines; the sieve lets hardly any other key into the shuffle.
+    shared = written(
+        keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key"),
+        "shared-keys",
+    )
+    near = sieved(keys, "key", shared, "key").join(shared, "key").select("hash").distinct()
+    near = written(sieved(distinct, "hash", near, "hash").join(near, "hash").select(*same, "place"), "near-places")
     # Their texts, from the documents that hold their first places.
-    where = near.select(*same, "place", "place.*").drop("missing", "line_no").withColumnRenamed("doc_id", "ws_doc")
+    wanted = near.groupBy(F.col("place.doc_id").alias("ws_doc"), F.col("place.twin").alias("twin")).agg(
+        F.collect_list(F.struct(*same, "place")).alias("ws_lines")
+    )
     texts = docs.select(F.col(id_column).alias("ws_doc"), F.col(text_column).alias("ws_text")).where(
         F.col("ws_text").isNotNull()
     )
-    texts = texts.withColumn("twin", F.xxhash64("ws_text"))
-    wanted = where.groupBy("ws_doc", "twin").agg(F.collect_list(F.struct(*same, "place")).alias("ws_lines"))
+    texts = sieved(texts.withColumn("twin", F.xxhash64("ws_text")), "twin", wanted, "twin")
     meets = F.col("l.ws_doc").eqNullSafe(F.col("r.ws_doc")) & (F.col("l.twin") == F.col("r.twin"))
     placed = texts.alias("l").join(wanted.alias("r"), meets).select(
         F.split("ws_text", "\n").alias("ws_all"), F.explode("ws_lines").alias("ws_at")
     )
+    line = F.translate(F.trim(F.get("ws_all", F.col("ws_at.place.line_no"))), ascii_uppercase, ascii_lowercase)
     near_lines = written(
-        placed.select(
-            "ws_at.hash",
-            "ws_at.check",
-            "ws_at.place",
-            F.lower(F.trim(F.get("ws_all", F.col("ws_at.place.line_no")))).alias("line"),
-        )
-        .dropDuplicates(same)
-        .withColumn("length", F.char_length("line")),
+        placed.select("ws_at.hash", "ws_at.check", "ws_at.place", line.alias("line")).dropDuplicates(same),
         "near-lines",
     )
     variants = _variants(near_lines)
@@ -192,7 +246,8 @@ def duplicate_lines(
         .select(*same, F.col("place").alias("first"), F.coalesce("kept", "place").alias("kept"))
     )
     # A line under a third of all documents is a hot key here; a plain join, which Spark can split.
-    repeats = lines.select(*same, "place").join(named, same).where("kept < place")
+    named = written(named, "named-lines")
+    repeats = sieved(lines.select(*same, "place"), "hash", named, "hash").join(named, same).where("kept < place")
     return repeats.select(
         "place.doc_id",
         "place.twin",

@@ -38,13 +38,20 @@ def inverse(base: np.uint64 = _ODD) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _POWER = powers(CHUNK_BYTES + 1)
 _INVERSE = powers(CHUNK_BYTES + 1, inverse())
 
 
+def powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for a run of ``n`` bytes."""
+    if n <= CHUNK_BYTES:
+        return _POWER, _INVERSE
+    return powers(n + 1), powers(n + 1, inverse())
+
+
 def separators(keep_symbols: bool) -> np.ndarray:
     """Table of the bytes that end a word: ASCII white space, or every ASCII byte that is neither a
     letter nor a digit."""
@@ -78,7 +85,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts of a run, A-Z lower-cased, in order, and the number of words
     per text. ``table`` names the bytes that end a word."""
-    data = _LOWER[data]
+    data = LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~table[data]
     # The end of a text ends a word as well.
@@ -90,12 +97,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     broken = np.unique(broken[inside[broken] & inside[broken + 1]])
     starts = np.sort(np.concatenate([starts, broken]))
     ends = np.sort(np.concatenate([ends, broken]))
-    if len(data) <= CHUNK_BYTES:
-        power, back = _POWER, _INVERSE
-    else:
-        power, back = powers(len(data) + 1), powers(len(data) + 1, inverse())
+    power, back = powers_for(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
+    np.cumsum(BYTE_VALUES[data] * power[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, offsets))
     return hashes, counts
