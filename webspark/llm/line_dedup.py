@@ -11,8 +11,9 @@ the check exact without pairs:
 
 So a group of lines under a key is an aggregate of two minima, however many lines it has, and each line
 finds the earliest line within one edit. Of all lines only those emit variants that agree with another
-line but for a quarter: cut into four parts, two lines within one edit differ in one of them, and what
-stands before it, counted from the start, and after it, counted from the end, is the same.
+line but for a small part: cut into equal parts, two lines within one edit differ in one of them, and
+what stands before it, counted from the start, and after it, counted from the end, is the same. Four
+parts sieve all lines, and more and more parts those that are left.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from webspark.llm.words import BYTE_VALUES, LOWER, chunks, inverse, mix, powers,
 
 # Shorter lines are left alone: short phrases recur by chance.
 MIN_CHARS = 32
+# Parts of a line in the sieves, one after the other.
+PARTS = (4, 32, 128)
 
 _ODD = np.uint64(0xE7037ED1A0B428DB)
 
@@ -45,19 +48,19 @@ def _sizes() -> np.ndarray:
 SIZES = _sizes()
 
 
-def _quarter_keys(ranges, first: np.ndarray, chars: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Four keys per line, each of all but one quarter of ``size`` characters; the last one leaves out
-    everything beyond three quarters. ``ranges`` hashes runs of characters."""
-    cuts = [np.zeros_like(size), size // 4, size // 2, 3 * size // 4, size]
+def _part_keys(ranges, first: np.ndarray, chars: np.ndarray, size: np.ndarray, parts: int) -> np.ndarray:
+    """Keys of a line, each of all but one of ``parts`` parts of ``size`` characters; the last one leaves
+    out everything beyond the others. ``ranges`` hashes runs of characters."""
+    cuts = [k * size // parts for k in range(parts + 1)]
     keys = []
-    for k in range(4):
+    for k in range(parts):
         before = ranges(first, first + cuts[k])
         after = ranges(first + chars - (size - cuts[k + 1]), first + chars)
-        keys.append(mix(before * _ODD + after + (size * 4 + k).astype(np.uint64)))
+        keys.append(mix(before * _ODD + after + (size * parts + k).astype(np.uint64)))
     return np.stack(keys, 1)
 
 
-def scan_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
+def scan_lines(texts: pa.Array, min_chars: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, line number, hash, second hash, keys, keys per line) of the lines of runs of texts.
 
     Lines end at a line feed; A-Z are lower-cased, and spaces around a line don't count. All lines of a
@@ -92,14 +95,14 @@ def scan_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ..
         half = chars // 2
         check = mix(ranges(first, first + half) * _ODD ^ ranges(first + half, first + chars))
         size = SIZES[np.searchsorted(SIZES, chars, "right") - 1]
-        keys = _quarter_keys(ranges, first, chars, size)
+        keys = _part_keys(ranges, first, chars, size, parts)
         # One character more may take a line to the next size.
         edge = np.flatnonzero(SIZES[np.searchsorted(SIZES, chars + 1, "right") - 1] != size)
-        more = _quarter_keys(ranges, first[edge], chars[edge], chars[edge] + 1)
-        many = np.full(len(chars), 4)
-        many[edge] = 8
+        more = _part_keys(ranges, first[edge], chars[edge], chars[edge] + 1, parts)
+        many = np.full(len(chars), parts)
+        many[edge] = 2 * parts
         flat = np.concatenate([keys.ravel(), more.ravel()])
-        owner = np.concatenate([np.repeat(np.arange(len(chars)), 4), np.repeat(edge, 4)])
+        owner = np.concatenate([np.repeat(np.arange(len(chars)), parts), np.repeat(edge, parts)])
         yield row + text, number, whole, check, flat[np.argsort(owner, kind="stable")], many
 
 
@@ -111,7 +114,7 @@ def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, whole, check, keys, many in scan_lines(batch.column(2), min_chars):
+            for row, number, whole, check, keys, many in scan_lines(batch.column(2), min_chars, PARTS[0]):
                 at = pa.array(row)
                 ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -133,6 +136,29 @@ def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) ->
     return made.select(place.alias("place"), "hash", "check", "keys")
 
 
+def _sharing(keys: DataFrame) -> DataFrame:
+    """``(hash)`` of the lines of ``keys(hash, key)`` that share a key with a different line. The sieve
+    lets hardly any other key into the shuffle."""
+    keys = keys.select("hash", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
+    shared = written(shared, "shared-keys")
+    return sieved(keys, "key", shared, "key").join(shared, "key").select("hash").distinct()
+
+
+def _finer(lines: DataFrame, parts: int) -> DataFrame:
+    """The lines of ``lines(line, ...)`` that agree with another one but for one of ``parts`` parts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, _, _, keys, many in scan_lines(batch.column(1), 1, parts):
+                ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], names=["hash", "keys"])
+
+    near = _sharing(lines.select("hash", "line").mapInArrow(rows, "hash long, keys array<long>"))
+    return written(lines.join(near, "hash").select(*lines.columns), "near-lines")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """``lines(place, line)`` with ``keys``: (key, role) of every variant. Roles: 0 the place of the
     missing character is part of the key, 1 the line itself, 2 the line without a character."""
@@ -190,13 +216,7 @@ def duplicate_lines(
     distinct = written(
         lines.groupBy(*same).agg(F.min("place").alias("place"), F.count("*").alias("n")), "distinct-lines"
     )
-    keys = lines.select("hash", F.explode("keys").alias("key"))
-    # A key of two different lines; the sieve lets hardly any other key into the shuffle.
-    shared = written(
-        keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key"),
-        "shared-keys",
-    )
-    near = sieved(keys, "key", shared, "key").join(shared, "key").select("hash").distinct()
+    near = _sharing(lines)
     near = written(sieved(distinct, "hash", near, "hash").join(near, "hash").select(*same, "place"), "near-places")
     # Their texts, from the documents that hold their first places.
     wanted = near.groupBy(F.col("place.doc_id").alias("ws_doc"), F.col("place.twin").alias("twin")).agg(
@@ -215,6 +235,8 @@ def duplicate_lines(
         placed.select("ws_at.hash", "ws_at.check", "ws_at.place", line.alias("line")).dropDuplicates(same),
         "near-lines",
     )
+    for parts in PARTS[1:]:
+        near_lines = _finer(near_lines, parts)
     variants = _variants(near_lines)
     plain = F.col("role") != 1
     least = variants.groupBy("key").agg(
