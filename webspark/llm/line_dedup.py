@@ -1,7 +1,7 @@
 """Lines that repeat an earlier line, exactly or within one edit.
 
-Every distinct line emits its variants: itself, and itself without one character, as hashed keys. Two
-lines within one edit (a character changed, added or dropped) share a key, and a key holds what makes
+A line emits its variants: itself, and itself without one character, as hashed keys. Two lines within
+one edit (a character changed, added or dropped) share a key, and a key holds what makes
 the check exact without pairs:
 
 * a changed character: both lines without the character at that place, so the key is (variant, place)
@@ -13,7 +13,8 @@ So a group of lines under a key is an aggregate of two minima, however many line
 finds the earliest line within one edit. Of all lines only those emit variants that agree with another
 line but for a small part: cut into equal parts, two lines within one edit differ in one of them, and
 what stands before it, counted from the start, and after it, counted from the end, is the same. Four
-parts sieve all lines, and more and more parts those that are left.
+parts sieve all lines, more and more parts those that are left, and only within a part that may hold an
+edit are characters left out.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ _ODD = np.uint64(0xE7037ED1A0B428DB)
 
 
 def _sizes() -> np.ndarray:
-    """Sizes a quarter apart; a line counts with the largest one up to its length."""
+    """Sizes a sixteenth apart; a line counts with the largest one up to its length."""
     out = [4]
     while out[-1] < 1 << 31:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(max(out[-1] + 1, out[-1] * 17 // 16))
     return np.array(out, np.int64)
 
 
@@ -137,16 +138,17 @@ def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) ->
 
 
 def _sharing(keys: DataFrame) -> DataFrame:
-    """``(hash)`` of the lines of ``keys(hash, key)`` that share a key with a different line. The sieve
-    lets hardly any other key into the shuffle."""
-    keys = keys.select("hash", F.explode("keys").alias("key"))
+    """``(hash, part)`` of the lines of ``keys(hash, keys)`` and their keys that a different line has too.
+    The sieve lets hardly any other key into the shuffle."""
+    keys = keys.select("hash", F.posexplode("keys").alias("part", "key"))
     shared = keys.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("key")
     shared = written(shared, "shared-keys")
-    return sieved(keys, "key", shared, "key").join(shared, "key").select("hash").distinct()
+    return sieved(keys, "key", shared, "key").join(shared, "key").select("hash", "part")
 
 
 def _finer(lines: DataFrame, parts: int) -> DataFrame:
-    """The lines of ``lines(line, ...)`` that agree with another one but for one of ``parts`` parts."""
+    """The lines of ``lines(line, hash, ...)`` that agree with another one but for one of ``parts`` parts,
+    and which, as ``open``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,40 +158,53 @@ def _finer(lines: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], names=["hash", "keys"])
 
     near = _sharing(lines.select("hash", "line").mapInArrow(rows, "hash long, keys array<long>"))
-    return written(lines.join(near, "hash").select(*lines.columns), "near-lines")
+    near = near.groupBy("hash").agg(F.collect_set("part").alias("open"))
+    return written(lines.drop("open").join(near, "hash").select("hash", "check", "place", "line", "open"), "near-lines")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """``lines(place, line)`` with ``keys``: (key, role) of every variant. Roles: 0 the place of the
-    missing character is part of the key, 1 the line itself, 2 the line without a character."""
-    def keys_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+def open_places(chars: int, parts: list[int], of: int) -> np.ndarray:
+    """Places of the characters within the numbered parts of :func:`scan_lines`' keys; from ``of`` on they
+    are those of a line one character longer."""
+    found = np.zeros(chars, bool)
+    size = int(SIZES[np.searchsorted(SIZES, chars, "right") - 1])
+    for part in parts:
+        whole, k = (size, part) if part < of else (chars + 1, part - of)
+        end = chars if k == of - 1 else (k + 1) * whole // of
+        found[k * whole // of : end] = True
+    return np.flatnonzero(found)
+
+
+def _variants(lines: DataFrame, of: int) -> DataFrame:
+    """``lines(place, line, open)`` with (key, role) of every variant. Roles: 0 the place of the missing
+    character is part of the key, 1 the line itself, 2 the line without a character."""
+
+    def keys_of(text: str, parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         n = len(points)
         value = mix(points + np.uint64(0x632BE59BD9B4E019)) * powers(n)
         before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        at = open_places(n, parts, of)
         # Without character i: what comes after it moves one place to the left.
-        variant = before[:-1] + (before[-1] - before[1:]) * inverse()
+        variant = before[at] + (before[-1] - before[at + 1]) * inverse()
         lengths = np.array([n - 1, n], np.uint64) * _ODD
-        place = np.arange(1, n + 1, dtype=np.uint64)
+        place = at.astype(np.uint64) + np.uint64(1)
         changed = mix(mix(variant + np.uint64(n)) + place * np.uint64(0xA0761D6478BD642F))
-        shorter = mix(variant + lengths[:1])
         own = mix(before[-1:] + lengths[1:])
         # A run of one character gives the same variant over and over.
-        shorter = np.unique(shorter)
+        shorter = np.unique(mix(variant + lengths[:1]))
         keys = np.concatenate([changed, own, shorter]).view(np.int64)
-        roles = np.repeat(np.array([0, 1, 2], np.int8), [n, 1, len(shorter)])
-        return keys, roles
+        return keys, np.repeat(np.array([0, 1, 2], np.int8), [len(at), 1, len(shorter)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [keys_of(t.as_py()) for t in batch.column(0)]
+            made = [keys_of(t.as_py(), o.as_py()) for t, o in zip(batch.column(0), batch.column(1), strict=True)]
             ends = np.concatenate([[0], np.cumsum([len(k) for k, _ in made])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in made]])))
             roles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int8), *[r for _, r in made]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], keys, roles], names=["hash", "check", "place", "keys", "roles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], keys, roles], names=["hash", "check", "place", "keys", "roles"])
 
     place = lines.schema["place"].dataType.simpleString()
-    made = lines.select("line", "hash", "check", "place").mapInArrow(
+    made = lines.select("line", "open", "hash", "check", "place").mapInArrow(
         rows, f"hash long, check long, place {place}, keys array<long>, roles array<tinyint>"
     )
     return made.select("hash", "check", "place", F.explode(F.arrays_zip("keys", "roles")).alias("v")).select(
@@ -216,7 +231,7 @@ def duplicate_lines(
     distinct = written(
         lines.groupBy(*same).agg(F.min("place").alias("place"), F.count("*").alias("n")), "distinct-lines"
     )
-    near = _sharing(lines)
+    near = _sharing(lines).select("hash").distinct()
     near = written(sieved(distinct, "hash", near, "hash").join(near, "hash").select(*same, "place"), "near-places")
     # Their texts, from the documents that hold their first places.
     wanted = near.groupBy(F.col("place.doc_id").alias("ws_doc"), F.col("place.twin").alias("twin")).agg(
@@ -237,7 +252,7 @@ def duplicate_lines(
     )
     for parts in PARTS[1:]:
         near_lines = _finer(near_lines, parts)
-    variants = _variants(near_lines)
+    variants = written(_variants(near_lines, PARTS[-1]), "variants")
     plain = F.col("role") != 1
     least = variants.groupBy("key").agg(
         F.min(F.when(plain, F.col("place"))).alias("others"),
