@@ -173,3 +173,35 @@ def test_store_hides_deleted_and_refuses_repeats(spark):
     assert column(store.load(), "url") == ["http://b.co.uk/2"]
     with pytest.raises(ValueError):
         store.commit(_frontier(spark).unionByName(_frontier(spark)))
+
+
+def test_failed_commit_leaves_nothing(spark):
+    store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4)
+    twice = _frontier(spark).unionByName(_frontier(spark))
+    nameless = fr.new_sites(spark.createDataFrame([(None,)], "url string"))
+    for rows in (twice, nameless, twice):
+        with pytest.raises(ValueError):
+            store.commit(rows, "batch-0")
+        assert store.version() == 0 and store.load().count() == 0
+    assert store.commit(_frontier(spark), "batch-0") == 1 and store.load().count() == 2
+
+
+def test_records_without_url_are_left_out(spark):
+    store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4)
+    store.commit(_frontier(spark))
+    rows = [_record(None, True, "", 1), _record("http://n.com", True, "", 2)]
+    for _ in range(3):
+        batch = spark.createDataFrame(rows, RECORDS)
+        store.commit(fr.import_pages(store.load(), batch, at=T0, touched_only=True))
+        store.compact()
+    assert sorted(column(store.load(), "url")) == ["http://a.com/1", "http://b.co.uk/2", "http://n.com"]
+
+
+def test_compaction_keeps_one_old_generation(spark):
+    store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4)
+    for k in range(4):
+        store.commit(fr.new_sites(_urls(spark, f"http://x{k}.com")), f"b-{k}")
+        store.compact()
+    kinds = [(f[0], f[1]) for f in store._folders()]
+    assert kinds == [("base", 3), ("base", 4), ("changes", 4)] or sorted(kinds) == [("base", 3), ("base", 4), ("changes", 4)]
+    assert store.load().count() == 4 and store.committed("b-3")

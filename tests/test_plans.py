@@ -146,15 +146,26 @@ def test_hot_site_is_split(spark):
 def test_windows_are_over_slices(spark, sf_dir):
     asked = inputs.requests(spark, sf_dir)
     for df in (
-        hosts.politeness_plan(asked, "page_id"),
+        hosts.politeness_plan(asked, "page_id")[0],
         resolution.attach_address(asked, inputs.dns(spark, sf_dir), as_of="asked_at"),
     ):
         text = plan(df)
         assert "Exchange SinglePartition" not in text and "ws_slice" in text
     # Runs cross all slices, so one row per slice, and no request, meets in one task.
-    text = plan(hosts.run_batches(asked, "page_id"))
+    text = plan(hosts.run_batches(asked, "page_id")[0])
     assert text.count("Exchange SinglePartition") == 1
 
 
 def test_session_setting_is_the_shared_folder(spark):
     assert fresh_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_html_stays_where_it_is_read(spark, sf_dir):
+    """No exchange of a registered query carries the bodies of pages."""
+    from webspark.plans.catalog import QUERIES
+
+    for name in ("extract_links", "links_per_site", "import_links", "pages_with_links", "dedup_stats"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        for block in text.splitlines():
+            assert not ("Exchange" in block and "html" in block), name
+        assert "RoundRobinPartitioning" not in text, name

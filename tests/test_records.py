@@ -61,13 +61,14 @@ def test_page_records(spark, tmp_path):
 
 
 def test_record_times(spark):
-    texts = ["2017-03-01 10:11:12 +0000 UTC", "2017-03-01 10:11:12.5 +0130 X", "", "junk"]
+    texts = ["2017-03-01 10:11:12 +0000 UTC", "2017-03-01 10:11:12.5 +0130 X", "", "junk", "2017"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert column(df.select(records.record_time("t").alias("x")), "x") == [
         datetime(2017, 3, 1, 10, 11, 12),
         datetime(2017, 3, 1, 8, 41, 12, 500000),
         None,
         None,
+        None,
     ]
 
 
@@ -108,3 +109,20 @@ def test_body_limit(spark):
             except UnicodeDecodeError:
                 marks += 1
         assert got == text + "�" * marks, n
+
+
+def test_bad_lines_come_out_as_they_were(spark, tmp_path):
+    bad = [
+        '{"Data":{"Url":"u"},"Success":true} trailing',
+        '{"Data":{"Url":"u"}}{"Data":{"Url":"v"}}',
+        '{"Data":{"Url":"u"}}, {"Data":{"Url":"v"}}',
+        '  {"Success":true,"foo":1}',
+        '{"Data":{"Url":"u"},"Success":"maybe"}',
+        "{'Data':{'Url':'u'}}",
+        "[]",
+    ]
+    source = tmp_path / "mixed.json"
+    source.write_text("\n".join([*bad, ' {"Data":{"Url":"ok"},"Success":true} ']))
+    ok, rest = records.read_page_records(spark, str(source))
+    assert [r.Data.Url for r in ok.collect()] == ["ok"]
+    assert sorted(column(rest, "line")) == sorted(bad)

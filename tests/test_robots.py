@@ -18,6 +18,14 @@ CASES = [
     ("User-agent: *\nDisallow: /", "", False),
     ("User-agent: *\nDisallow: /x.y+z", "/xay+z", True),
     ("User-agent: *\nDisallow: /a*b*c", "/a1b2c3", False),
+    ("User-agent: *\nDisallow: /a*b*b$", "/a1b2b", False),
+    ("User-agent: *\nDisallow: /a*b*b$", "/a1b", True),
+    ("User-agent: *\nDisallow: /a*$", "/abc", False),
+    ("User-agent: *\nDisallow: *c", "/abc", False),
+    ("User-agent: *\nDisallow: /**x", "/abx", False),
+    ("User-agent: *\nDisallow: /a$", "/a", False),
+    ("User-agent: *\nDisallow: /a$", "/ab", True),
+    ("User-agent: *\nDisallow: /\\Q.*$", "/xyz", True),
     ("<html>no rules</html>", "/x", True),
     ("", "/x", True),
     (None, "/x", False),
@@ -61,3 +69,16 @@ def test_long_file(spark):
     bodies = spark.createDataFrame([("http://h.com", body + "user-agent: *\ndisallow: /q")], "site string, body string")
     rules = robots.parse_robots(bodies).filter("agent = '*'")
     assert [tuple(r) for r in rules.collect()] == [("http://h.com", "*", "/q", False)]
+
+
+def test_many_stars_take_one_walk(spark):
+    import time
+
+    rules = [("http://h.com", "*", "/" + "a*" * 50 + "z$", False), ("http://g.com", "*", "/" + "*a" * 50, False)]
+    table = spark.createDataFrame(rules, "site string, agent string, pattern string, allow boolean")
+    urls = spark.createDataFrame([("http://h.com/" + "a" * 2000,), ("http://g.com/" + "a" * 2000,)], "url string")
+    asked = robots.robots_allowed(urls, table)
+    asked.collect()
+    start = time.perf_counter()
+    assert {r.url[7]: r.allowed for r in asked.collect()} == {"h": True, "g": False}
+    assert time.perf_counter() - start < 5

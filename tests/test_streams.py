@@ -45,7 +45,8 @@ def test_frontier_stream_equals_batch_and_replays_do_nothing(spark, pages):
     found = streams.stream_extract(_source(pages, f"{base}/in"))
     new = []
 
-    def emit(rows, batch_id):
+    def emit(rows, outputs, batch_id):
+        assert outputs == {}
         new.extend(column(rows, "url"))
 
     def run(checkpoint):
@@ -139,3 +140,23 @@ def test_stats_interval(spark, pages):
     query.processAllAvailable()
     query.stop()
     assert sum(told.values()) == pages.count()
+
+
+def test_replayed_batches_hand_out_the_same_outputs(spark, pages):
+    base = fresh_path(spark, "replay")
+    store = FrontierStore(spark, f"{base}/frontier", buckets=4)
+    store.commit(fr.new_sites(pages.filter("page_id % 2 = 0").select("url").distinct()))
+    found = pages.selectExpr(
+        "page_id AS seq", "url AS Url", "'1.2.3.4' AS IP", "'c' AS Cname", "'' AS Message"
+    )
+    found.repartition(3).write.parquet(f"{base}/ips")
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/ips")
+    told = []
+
+    def emit(rows, outputs, batch_id):
+        told.append((batch_id, sorted(column(rows, "url")), sorted(column(outputs["unmatched"], "Url"))))
+
+    for checkpoint in ("cp1", "cp2"):  # the second one starts over with the same batches
+        _run(streams.run_frontier(stream, streams.resolutions_op(), store, f"{base}/{checkpoint}", "ips", emit=emit))
+    assert len(told) == 6 and told[:3] == told[3:]
+    assert sum(len(t[1]) for t in told[:3]) > 0 and sum(len(t[2]) for t in told[:3]) > 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.functions.addresses import is_ip_sql
@@ -71,12 +71,20 @@ class SuffixRules:
 BUILT_IN = SuffixRules.parse(BUILT_IN_RULES.splitlines())
 
 
-def load_suffix_rules(spark: SparkSession, path: str) -> SuffixRules:
-    """Read a suffix list file; its length is checked before it is held in memory."""
-    lines = spark.read.text(path).limit(MAX_RULES + 1).collect()
-    if len(lines) > MAX_RULES:
-        raise ValueError(f"{path} has more than {MAX_RULES} lines: not a suffix list")
-    return SuffixRules.parse(r.value for r in lines)
+def load_suffix_rules(
+    source: SparkSession | DataFrame, path: str | None = None, most: int = MAX_RULES
+) -> SuffixRules:
+    """Rules of a suffix list: a text file, or a table whose first column has a line per row.
+
+    The published list is not part of the library; :data:`BUILT_IN` knows a few suffixes only, and takes
+    the last label of any other host as its suffix. Rules are literals of every expression that uses
+    them, so a list of more than ``most`` lines is refused, not cut.
+    """
+    table = source if isinstance(source, DataFrame) else source.read.text(path)
+    lines = table.limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"{path or 'the table'} has more than {most} lines: not a suffix list")
+    return SuffixRules.parse(r[0] or "" for r in lines)
 
 
 def _in(text: str, values: frozenset[str]) -> str:

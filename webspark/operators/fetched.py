@@ -46,16 +46,10 @@ def to_page_records(
     return pages.select(*_record(data, True, F.lit("")))
 
 
-def failed_records(
-    requests: DataFrame,
-    reason: Column | str,
-    failed_at: Column | None = None,
-    url: str = "url",
-) -> DataFrame:
-    """Failed page records: empty body, status code -1, no headers, ``failed: `` and the reason.
-
-    A text ``reason`` is the reason of all rows.
-    """
+def failed_columns(
+    reason: Column | str, failed_at: Column | None = None, url: str = "url"
+) -> list[Column]:
+    """The fields of :func:`failed_records`."""
     headers = PAGE_RECORD["Data"].dataType["Header"].dataType
     why = F.lit(reason) if isinstance(reason, str) else reason
     data = F.struct(
@@ -68,7 +62,20 @@ def failed_records(
         F.lit(None).cast(headers).alias("Header"),
         F.lit(None).cast(headers).alias("Trailer"),
     )
-    return requests.select(*_record(data, False, F.concat(F.lit(FAILED_PREFIX), why)))
+    return _record(data, False, F.concat(F.lit(FAILED_PREFIX), why))
+
+
+def failed_records(
+    requests: DataFrame,
+    reason: Column | str,
+    failed_at: Column | None = None,
+    url: str = "url",
+) -> DataFrame:
+    """Failed page records: empty body, status code -1, no headers, ``failed: `` and the reason.
+
+    A text ``reason`` is the reason of all rows.
+    """
+    return requests.select(*failed_columns(reason, failed_at, url))
 
 
 def limit_body(pages: DataFrame, n: int, html: str = "html") -> DataFrame:

@@ -84,9 +84,9 @@ def import_pages(
     """Page records marked in the frontier: visited, no longer queued, success as in the last record.
 
     The message is overwritten by failures only, so the text of an old failure stays after a
-    success. Records apply in the order of ``seq``; unknown URLs are added.
+    success. Records apply in the order of ``seq``; unknown URLs are added, records without a URL are not.
     """
-    record = records.groupBy(F.col("Data.Url").alias("url")).agg(
+    record = records.filter(F.col("Data.Url").isNotNull()).groupBy(F.col("Data.Url").alias("url")).agg(
         F.max_by("Success", seq).alias("r_success"),
         F.expr(f"max_by(Message, {seq}) FILTER (WHERE NOT Success)").alias("r_message"),
         F.lit(True).alias("r_hit"),
@@ -176,8 +176,14 @@ def mark_queued(
     """(frontier, requests, short lines): rows whose id is listed get ``queued_at``; ``requests``
     has a line ``url<TAB>ip`` for every full input line, known or not."""
     queue, short = parse_queue_lines(lines, value)
-    ids = queue.select("id").distinct().withColumn("q_hit", F.lit(True))
-    joined = frontier.join(ids, "id", "inner" if touched_only else "left")
+    # The id is a function of the URL, which is what a stored frontier is laid out by: ids meet the two
+    # narrow columns, and the rows themselves are joined by URL, in place.
+    listed = (
+        frontier.select("id", "url")
+        .join(queue.select("id").distinct(), "id", "left_semi")
+        .select("url", F.lit(True).alias("q_hit"))
+    )
+    joined = frontier.join(listed, "url", "inner" if touched_only else "left")
     stamped = F.when(F.col("q_hit"), _time(queued_at)).otherwise(F.col("queued_at"))
     marked = joined.select(
         *[(stamped if n == "queued_at" else F.col(n)).alias(n) for n in FRONTIER.fieldNames()]

@@ -1,9 +1,11 @@
 """Requests by address: grouping, pacing, runs and statistics.
 
 ``order`` is the name of a unique integer column that gives the order of the requests (a line
-number, ``monotonically_increasing_id``). Work over that order is done in two levels: inside slices
-of ``slice_width`` consecutive order values, which bounds every window group whatever the size of an
-address, and over one summary row per slice.
+number, ``monotonically_increasing_id``, a time). Work over that order is done in two levels: inside
+``slices`` slices of about equal numbers of requests, with bounds at quantiles of the order, and over
+one summary row per slice. So the upper level holds a fixed number of rows, and the lower one a fixed
+part of the requests, whatever the values of the order and the size of an address. Requests without an
+order value have no place; they are handed back apart.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webspark.functions.binding import let
+
 # Name of the group of requests without address, seconds between two requests of one
 # address.
 NO_ADDRESS = "<nil>"
 DELAY_SECONDS = 1
 
-SLICE_WIDTH = 1 << 20
+SLICES = 1024
 
 
 def address_key(ip: str = "ip") -> Column:
@@ -33,10 +37,28 @@ def group_by_address(requests: DataFrame, order: str, ip: str = "ip") -> DataFra
     )
 
 
-def _sliced(requests: DataFrame, order: str, width: int) -> DataFrame:
-    """Requests with their slice; those without an order value come first, in a slice of their own."""
-    slice_number = F.call_function("div", F.col(order), F.lit(width))
-    return requests.withColumn("ws_slice", F.coalesce(slice_number, F.lit(-(1 << 62))))
+def _sliced(requests: DataFrame, order: str, slices: int) -> DataFrame:
+    """Requests with the number of their slice. The bounds are one row of at most ``slices`` numbers.
+    They are looked up in two steps of about a square root of them each."""
+    steps = [k / slices for k in range(1, slices)]
+    accuracy = max(10_000, 10 * slices)
+    found = requests.agg(F.percentile_approx(order, steps, accuracy)).first()[0] if steps else None
+    bounds = sorted(set(found or []))
+    size = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + size] for k in range(0, len(bounds), size)]
+    if not groups:
+        return requests.withColumn("ws_slice", F.lit(0))
+    firsts = ", ".join(f"{g[0]}L" for g in groups)
+    rest = ", ".join("array(" + ", ".join(f"{b}L" for b in g) + ")" for g in groups)
+    group = f"size(filter(array({firsts}), ws_b -> ws_b <= `{order}`))"
+    inside = f"size(filter(element_at(array({rest}), ws_g), ws_b -> ws_b <= `{order}`))"
+    place = let(group, "ws_g", lambda g: f"if({g} = 0, 0, ({g} - 1) * {size} + {inside})")
+    return requests.withColumn("ws_slice", F.expr(place))
+
+
+def _placed(requests: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(requests with an order value, those without)."""
+    return requests.filter(F.col(order).isNotNull()), requests.filter(F.col(order).isNull())
 
 
 def politeness_plan(
@@ -44,11 +66,12 @@ def politeness_plan(
     order: str,
     ip: str = "ip",
     delay: int = DELAY_SECONDS,
-    slice_width: int = SLICE_WIDTH,
-) -> DataFrame:
-    """Requests with ``address``, ``position`` (from 0, in order, within the address) and
+    slices: int = SLICES,
+) -> tuple[DataFrame, DataFrame]:
+    """(planned, requests without an order value). Planned requests have ``address``, ``position`` (from 0, in order, within the address) and
     ``start_after``, the seconds from the start of the group before which the request may not go."""
-    sliced = _sliced(requests.withColumn("address", address_key(ip)), order, slice_width)
+    placed, without = _placed(requests, order)
+    sliced = _sliced(placed, order, slices).withColumn("address", address_key(ip))
     earlier = (
         Window.partitionBy("address")
         .orderBy("ws_slice")
@@ -64,24 +87,26 @@ def politeness_plan(
         )
     )
     inside = Window.partitionBy("address", "ws_slice").orderBy(order)
-    return (
+    planned = (
         sliced.withColumn("ws_row", F.row_number().over(inside) - 1)
         .join(before, ["address", "ws_slice"])
         .withColumn("position", F.col("ws_before") + F.col("ws_row"))
         .withColumn("start_after", F.col("position") * F.lit(delay))
         .select(*requests.columns, "address", "position", "start_after")
     )
+    return planned, without
 
 
 def run_batches(
-    requests: DataFrame, order: str, ip: str = "ip", slice_width: int = SLICE_WIDTH
-) -> DataFrame:
-    """Requests with ``batch``, the number (from 0) of their run of one address in the order.
+    requests: DataFrame, order: str, ip: str = "ip", slices: int = SLICES
+) -> tuple[DataFrame, DataFrame]:
+    """(numbered, requests without an order value). Numbered requests have ``batch``, the number (from 0) of their run of one address in the order.
 
     A new run starts where the previous request has an address and this one has another or none;
     after a request without address nothing starts.
     """
-    sliced = _sliced(requests, order, slice_width)
+    placed, without = _placed(requests, order)
+    sliced = _sliced(placed, order, slices)
     inside = Window.partitionBy("ws_slice").orderBy(order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -91,8 +116,8 @@ def run_batches(
     local = sliced.withColumn(
         "ws_change", breaks(F.lag(ip).over(inside), F.col(ip))
     ).withColumn("ws_local", F.sum("ws_change").over(so_far))
-    # One row per slice: the only rows that meet in one task.
-    slices = Window.orderBy("ws_slice")
+    # One row per slice, at most `slices` of them: the only rows that meet in one task.
+    upper = Window.orderBy("ws_slice")
     start = (
         local.groupBy("ws_slice")
         .agg(
@@ -103,22 +128,23 @@ def run_batches(
         .select(
             "ws_slice",
             (
-                breaks(F.lag(F.col(f"ws_last.{ip}")).over(slices), F.col(f"ws_first.{ip}"))
-                + F.lag("ws_changes", 1, 0).over(slices)
+                breaks(F.lag(F.col(f"ws_last.{ip}")).over(upper), F.col(f"ws_first.{ip}"))
+                + F.lag("ws_changes", 1, 0).over(upper)
             ).alias("ws_step"),
         )
         .select(
             "ws_slice",
             F.sum("ws_step")
-            .over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            .over(upper.rowsBetween(Window.unboundedPreceding, Window.currentRow))
             .alias("ws_start"),
         )
     )
-    return (
+    numbered = (
         local.join(start, "ws_slice")
         .withColumn("batch", F.col("ws_start") + F.col("ws_local"))
         .select(*requests.columns, "batch")
     )
+    return numbered, without
 
 
 def pending_stats(requests: DataFrame, ip: str = "ip") -> DataFrame:

@@ -186,3 +186,13 @@ def pages_with_links(
 ) -> DataFrame:
     """Pages with one more column, the array of their links in document order."""
     return pages.withColumn("links", kept_links(url, html, rules=rules))
+
+
+def extract_records(
+    records: DataFrame, root: bool = False, rules: SuffixRules = BUILT_IN
+) -> DataFrame:
+    """Page records with their ``Links`` filled from URL and body; every other field is passed on. A
+    record without links, a failed one for instance, has an empty array. Works on streams too."""
+    links = kept_links("Data.Url", "Data.Body", root, rules)
+    filled = F.coalesce(links, F.array().cast("array<string>"))
+    return records.select(*[filled.alias(c) if c == "Links" else F.col(c) for c in records.columns])

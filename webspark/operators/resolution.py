@@ -69,7 +69,9 @@ def attach_address_asof(
     slices_per_ttl: int = 4,
 ) -> DataFrame:
     """Requests with the newest address observed at or before their time and not more than the TTL
-    before it (both bounds count). Failed observations never serve.
+    before it (both bounds count). Failed observations and empty answers never serve, so an older answer
+    goes on serving; where nothing serves and the newest answer within the TTL is empty, the message says
+    ``No results``.
 
     Requests are reduced to their different (host, time) first, so any number of requests at one
     time is one question. Time is cut into slices of a fraction of the TTL, and the last observation
@@ -94,19 +96,30 @@ def attach_address_asof(
             slice_of(F.col("ws_at")).alias("ws_slice"),
             F.struct("ws_at", "ws_answer").alias("ws_found"),
         )
+        .withColumn("ws_good", F.when(F.size("ws_found.ws_answer.ips") > 0, F.col("ws_found")))
     )
-    reached = F.sequence(
-        F.col("ws_slice") + 1,
-        F.greatest(slice_of(F.col("ws_newest") + F.lit(ttl)), F.col("ws_slice") + 1),
+    # The last answer of a slice, and the last one that is not empty, in the slices each still reaches.
+    both = F.when(F.col("ws_any") == F.col("ws_best"), F.array("ws_any")).otherwise(
+        F.array_compact(F.array("ws_any", "ws_best"))
     )
+
+    def reached(found: Column) -> Column:
+        after = F.col("ws_slice") + 1
+        return F.transform(
+            F.sequence(after, F.greatest(slice_of(found["ws_at"] + F.lit(ttl)), after)),
+            lambda at: F.struct(at.alias("at"), found.alias("found")),
+        )
+
     carried = (
         own.groupBy("ws_host", "ws_slice")
-        .agg(F.max("ws_at").alias("ws_newest"), F.max("ws_found").alias("ws_found"))
+        .agg(F.max("ws_found").alias("ws_any"), F.max("ws_good").alias("ws_best"))
+        .select("ws_host", F.explode(F.flatten(F.transform(both, reached))).alias("ws_copy"))
         .select(
             "ws_host",
-            F.col("ws_newest").alias("ws_at"),
-            F.explode(reached).alias("ws_slice"),
-            "ws_found",
+            F.col("ws_copy.found.ws_at").alias("ws_at"),
+            F.col("ws_copy.at").alias("ws_slice"),
+            F.col("ws_copy.found").alias("ws_found"),
+            F.when(F.size("ws_copy.found.ws_answer.ips") > 0, F.col("ws_copy.found")).alias("ws_good"),
         )
     )
     timed = _with_host(requests.select(*kept), url).withColumn(
@@ -125,11 +138,17 @@ def attach_address_asof(
         .orderBy("ws_at", "ws_asks", "ws_found")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+
+    def in_time(found: str) -> Column:
+        return F.when(F.col(f"{found}.ws_at") >= F.col("ws_at") - F.lit(ttl), F.col(f"{found}.ws_answer"))
+
     served = (
         events.unionByName(asked, allowMissingColumns=True)
         .withColumn("ws_last", F.last("ws_found", ignorenulls=True).over(so_far))
-        .filter(F.col("ws_asks") & (F.col("ws_last.ws_at") >= F.col("ws_at") - F.lit(ttl)))
-        .select("ws_host", "ws_at", F.col("ws_last.ws_answer").alias("ws_answer"))
+        .withColumn("ws_serves", F.last("ws_good", ignorenulls=True).over(so_far))
+        .filter(F.col("ws_asks"))
+        .select("ws_host", "ws_at", F.coalesce(in_time("ws_serves"), in_time("ws_last")).alias("ws_answer"))
+        .filter(F.col("ws_answer").isNotNull())
     )
     return lookup(timed, served, ["ws_host", "ws_at"]).select(
         *kept, *_answer(F.col("ws_answer"))

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webspark.functions.binding import case, each, let, lit, matches, struct, sub, tidy_lines, tokens
+from webspark.functions.binding import case, each, let, lit, struct, sub, tidy_lines, tokens
 from webspark.functions.urls import robots_path, robots_url, site_root, tidy_path_sql
-from webspark.operators.fetched import failed_records
+from webspark.operators.fetched import failed_columns, failed_records
 from webspark.operators.joins import lookup
 
 # The agent's name, the failure text, and the line forms of a robots file.
@@ -93,15 +93,43 @@ def _site_rules(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def _rule_matches(path: str) -> str:
-    """SQL test of one rule ``ws_r`` on a path: ``*`` stands for any text, a last ``$`` for the end."""
-    quoted = r"concat('^\\Q', replace({p}, '*', '\\E.*\\Q'), '\\E')"
-    body = sub("ws_r.pattern", r"\$$", "")
-    anchored = f"concat({quoted.format(p=body)}, if(endswith(ws_r.pattern, '$'), '$', ''))"
+    """SQL test of one rule ``ws_r`` on a path: ``*`` stands for any text, a last ``$`` for the end.
+
+    Patterns come from strangers, so they are no regular expressions: the pieces between the stars are
+    looked for one after the other, each at the first place after the one before, which decides such
+    patterns exactly in one walk along the path.
+    """
+    body = "if(endswith(ws_r.pattern, '$'), left(ws_r.pattern, length(ws_r.pattern) - 1), ws_r.pattern)"
+
+    def after(piece: str, place: str) -> str:
+        """Place after the first ``piece`` from ``place`` on, 0 without one."""
+        found = let(
+            f"locate({piece}, {path}, {place})",
+            "ws_at",
+            lambda at: f"if({at} = 0, 0, {at} + length({piece}))",
+        )
+        return case((f"{place} = 0", "0"), (f"{piece} = ''", place), default=found)
+
+    def walked(pieces: str) -> str:
+        start = f"if(startswith({path}, {pieces}[0]), length({pieces}[0]) + 1, 0)"
+        middle = f"slice({pieces}, 2, greatest(size({pieces}) - 2, 0))"
+        last = f"{pieces}[size({pieces}) - 1]"
+        place = f"aggregate({middle}, {start}, (ws_p, ws_q) -> {after('ws_q', 'ws_p')})"
+        ends = "endswith(ws_r.pattern, '$')"
+        fits = f"endswith({path}, {last}) AND length({path}) - length({last}) + 1 >= "
+        return case(
+            (f"size({pieces}) = 1", f"if({ends}, {path} = {last}, {start} > 0)"),
+            default=let(
+                place,
+                "ws_e",
+                lambda e: f"{e} > 0 AND if({ends}, {fits} {e}, {after(last, e)} > 0)",
+            ),
+        )
+
     return case(
         ("ws_r.pattern IS NULL", "true"),
         ("ws_r.pattern = ''", "false"),
-        (f"NOT {matches('ws_r.pattern', r'[*]|[$]$')}", f"startswith({path}, ws_r.pattern)"),
-        default=f"rlike({path}, {anchored})",
+        default=let(f"split({body}, '[*]')", "ws_pieces", walked),
     )
 
 
@@ -129,6 +157,20 @@ def robots_allowed(
     return with_robots_verdict(requests.select(url), rules, agent, url)
 
 
+def judge_robots(
+    requests: DataFrame,
+    rules: DataFrame,
+    agent: str = AGENT,
+    url: str = "url",
+    failed_at: Column | None = None,
+) -> DataFrame:
+    """Requests with ``allowed`` and ``record``, the failed record of a blocked request, null of any
+    other. One table, so that a sink that splits it judges once."""
+    judged = with_robots_verdict(requests, rules, agent, url)
+    record = F.struct(*failed_columns(BLOCKED, failed_at, url))
+    return judged.withColumn("record", F.when(~F.col("allowed"), record))
+
+
 def apply_robots(
     requests: DataFrame,
     rules: DataFrame,
@@ -137,11 +179,12 @@ def apply_robots(
     url: str = "url",
     failed_at: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(requests that may be fetched, failed records of the blocked ones); ``ignore`` passes all."""
+    """(requests that may be fetched, failed records of the blocked ones); ``ignore`` passes all. Whoever
+    needs both should write :func:`judge_robots` and split that."""
     if ignore:
         return requests, failed_records(requests.limit(0), BLOCKED, failed_at, url)
-    judged = with_robots_verdict(requests, rules, agent, url)
+    judged = judge_robots(requests, rules, agent, url, failed_at)
     return (
-        judged.filter("allowed").drop("allowed"),
-        failed_records(judged.filter("NOT allowed"), BLOCKED, failed_at, url),
+        judged.filter("allowed").drop("allowed", "record"),
+        judged.filter("NOT allowed").select("record.*"),
     )

@@ -22,13 +22,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-01 02:00:00"
 QUEUED_AT = "2024-02-01 00:00:00"
 BODY_LIMIT = 333
-# Narrow slices, so that small tables exercise the two-level numbering as well.
-SLICE_WIDTH = 64
 SEED = "seed"
+# Distance of two values of a request order.
+SPARSE = 1 << 21
+# Files, and so micro-batches, of a stream that is made from derived records.
+STREAM_FILES = 3
+
+
+# A page's data as a record holds it, in JSON.
+PAGE_DATA_TEXT = '{"Url":"x"}'
+
+
+def _text_of(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
 
 
 def _text(time: str) -> Column:
-    return F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias(time)
+    return _text_of(F.col(time)).alias(time)
 
 
 # --- sources and sinks -------------------------------------------------------------------------
@@ -57,44 +67,61 @@ def parse_fetch_hints(spark: SparkSession, d: str) -> DataFrame:
     return lines.parse_fetch_hints(hints).select("page_id", "url", "ip")
 
 
+# Lines that are no records, made from the number of a page: broken text, text after a record, a record
+# without what it must have, fields that no record knows.
+BAD_LINES = [
+    "'{{broken ' || {id}",
+    "'{{\"{key}\":{ok},\"Success\":true}} trailing ' || {id}",
+    "'{{\"Success\":true,\"foo\":' || {id} || '}}'",
+    "'[] ' || {id}",
+]
+
+
+def bad_lines(key: str, ok: str) -> list[str]:
+    """SQL texts of the bad lines of a page, for Spark and for the check."""
+    number = "cast(page_id AS varchar(20))"
+    return [t.format(key=key, ok=ok, id=number) for t in BAD_LINES]
+
+
+def _with_bad_lines(good: DataFrame, pages: DataFrame, key: str, ok: str) -> DataFrame:
+    bad = pages.select(F.explode(F.array(*map(F.expr, bad_lines(key, ok)))).alias("value"))
+    return records.to_json_lines(good).unionByName(bad)
+
+
 def read_page_records(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "page-records")
-    broken = inputs.page_urls(spark, d)
-    (
-        records.to_json_lines(inputs.page_records(spark, d))
-        .unionByName(broken.select(F.concat(F.lit("{broken "), "url").alias("value")))
-        .write.text(path)
-    )
-    ok, bad = records.read_page_records(spark, path)
-    return ok.select(
-        F.lit("record").alias("kind"),
-        F.col("Data.Url").alias("text"),
-        F.md5("Data.Body").alias("body_md5"),
-        F.col("Data.StatusCode").alias("status_code"),
-        F.date_format(records.record_time("Data.Timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time"),
-        F.col("Success").alias("success"),
-        F.col("Message").alias("message"),
-    ).unionByName(
-        bad.select(F.lit("bad").alias("kind"), F.col("line").alias("text")),
-        allowMissingColumns=True,
+    numbers = inputs.page_urls(spark, d)
+    _with_bad_lines(inputs.page_records(spark, d), numbers, "Data", PAGE_DATA_TEXT).write.text(path)
+    judged = records.judged_page_records(spark.read.text(path))
+    bad = F.col(records.CORRUPT).isNotNull()
+
+    def of_record(value: Column) -> Column:
+        return F.when(~bad, value)
+
+    return judged.select(
+        F.when(bad, "bad").otherwise("record").alias("kind"),
+        F.coalesce(F.col(records.CORRUPT), F.col("Data.Url")).alias("text"),
+        of_record(F.md5("Data.Body")).alias("body_md5"),
+        of_record(F.col("Data.StatusCode")).alias("status_code"),
+        of_record(_text_of(records.record_time("Data.Timestamp"))).alias("time"),
+        of_record(F.col("Success")).alias("success"),
+        of_record(F.col("Message")).alias("message"),
     )
 
 
 def read_resolutions(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "resolutions")
-    broken = inputs.page_urls(spark, d)
-    (
-        records.to_json_lines(inputs.resolutions(spark, d).drop("seq"))
-        .unionByName(broken.select(F.concat(F.lit("[] "), "url").alias("value")))
-        .write.text(path)
+    numbers = inputs.page_urls(spark, d)
+    good = inputs.resolutions(spark, d).drop("seq")
+    _with_bad_lines(good, numbers, "Url", '"x"').write.text(path)
+    judged = records.judged_resolutions(spark.read.text(path))
+    bad = F.col(records.CORRUPT).isNotNull()
+    return judged.select(
+        F.coalesce(F.col(records.CORRUPT), F.col("Url")).alias("text"),
+        F.when(~bad, F.col("IP")).alias("ip"),
+        F.when(~bad, F.col("Cname")).alias("cname"),
+        F.when(~bad, F.col("Message")).alias("message"),
     )
-    ok, bad = records.read_resolutions(spark, path)
-    return ok.select(
-        F.col("Url").alias("text"),
-        F.col("IP").alias("ip"),
-        F.col("Cname").alias("cname"),
-        F.col("Message").alias("message"),
-    ).unionByName(bad.select(F.col("line").alias("text")), allowMissingColumns=True)
 
 
 def page_record_json(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +217,31 @@ def pages_with_links(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _record_links(extracted: DataFrame) -> DataFrame:
+    return extracted.select(
+        F.col("Data.Url").alias("url"),
+        F.md5("Data.Body").alias("body_md5"),
+        F.col("Success").alias("success"),
+        F.array_join("Links", " ").alias("links"),
+    )
+
+
+def record_links(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines of page records to page records with their links."""
+    path = fresh_path(spark, "records-in")
+    records.write_records(inputs.page_records(spark, d), path)
+    return _record_links(links.extract_records(records.read_page_records(spark, path)[0]))
+
+
+def stream_record_links(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`record_links` on a stream of files."""
+    path = fresh_path(spark, "records-in")
+    records.write_records(inputs.page_records(spark, d).repartition(STREAM_FILES), path)
+    lines_in = spark.readStream.option("maxFilesPerTrigger", 1).text(path)
+    ok, _ = records.split_records(records.judged_page_records(lines_in))
+    return _run(_record_links(links.extract_records(ok)), "record-links")
+
+
 def links_per_site(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: pages to links to the number of different links of every linked site."""
     return (
@@ -233,10 +285,8 @@ def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_robots(spark: SparkSession, d: str) -> DataFrame:
-    passed, blocked = robots.apply_robots(inputs.requests(spark, d), _rules(spark, d))
-    return passed.select("url", F.lit(None).cast("string").alias("message")).unionByName(
-        blocked.select(F.col("Data.Url").alias("url"), F.col("Message").alias("message"))
-    )
+    judged = robots.judge_robots(inputs.requests(spark, d), _rules(spark, d))
+    return judged.select("url", F.col("record.Message").alias("message"))
 
 
 # --- addresses and hosts -----------------------------------------------------------------------
@@ -261,19 +311,21 @@ def group_by_address(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_batches(spark: SparkSession, d: str) -> DataFrame:
-    # Addresses in runs of a few requests, some missing.
+    # Addresses in runs of a few requests, some missing; order values far apart, some below zero.
     asked = inputs.page_urls(spark, d).select(
-        "page_id",
+        ((F.col("page_id") - 100) * SPARSE).alias("place"),
         F.expr(
             "if(page_id % 11 = 0, NULL, '10.0.0.' || cast(floor(page_id / 3) % 7 AS string))"
         ).alias("ip"),
     )
-    return hosts.run_batches(asked, "page_id", slice_width=SLICE_WIDTH)
+    return hosts.run_batches(asked, "place")[0]
 
 
 def politeness_plan(spark: SparkSession, d: str) -> DataFrame:
-    asked = inputs.requests(spark, d).select("page_id", "url", "ip")
-    return hosts.politeness_plan(asked, "page_id", slice_width=SLICE_WIDTH).drop("ip")
+    asked = inputs.requests(spark, d).select(
+        ((F.col("page_id") - 100) * SPARSE).alias("place"), "url", "ip"
+    )
+    return hosts.politeness_plan(asked, "place")[0].drop("ip")
 
 
 def pending_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -362,6 +414,10 @@ def frontier_store(spark: SparkSession, d: str) -> DataFrame:
         store.load(), inputs.numbered_records(spark, d), at=inputs.START, touched_only=True
     )
     store.commit(visited)
+    gone = store.load().filter("startswith(url, 'http:')").withColumn(
+        "deleted_at", F.lit(QUEUED_AT).cast("timestamp")
+    )
+    store.commit(gone)
     return _shown(store.load())
 
 
@@ -369,8 +425,40 @@ def frontier_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The pages, a file each micro-batch."""
     # The pattern matches a single file as well as a folder of files.
-    return spark.readStream.schema(inputs.PAGES_SCHEMA).parquet(f"{d}/pages.parquet*")
+    return (
+        spark.readStream.schema(inputs.PAGES_SCHEMA)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{d}/pages.parquet*")
+    )
+
+
+def _derived_stream(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """Derived rows as a stream of a few files, a file each micro-batch. Rows of a key share a file, so
+    their order does not depend on the order of files."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.repartition(STREAM_FILES, key).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _stream_into_frontier(
+    known: DataFrame, batches: DataFrame, op: streams.FrontierOp, name: str
+) -> tuple[FrontierStore, Callable[[str, str], DataFrame]]:
+    """The store after the stream, and a reader of an output of the operation, which every micro-batch
+    wrote to a folder of its own, so that a replay overwrites it."""
+    spark = known.sparkSession
+    out = fresh_path(spark, name)
+    store = FrontierStore(spark, f"{out}/frontier")
+    store.commit(known)
+
+    def emit(rows: DataFrame, outputs: dict[str, DataFrame], batch_id: int) -> None:
+        for output, table in outputs.items():
+            table.write.mode("overwrite").parquet(f"{out}/{output}/n={batch_id}")
+
+    run = streams.run_frontier(batches, op, store, f"{out}/checkpoint", name, emit=emit)
+    run.trigger(availableNow=True).start().awaitTermination()
+    return store, lambda output, schema: spark.read.schema(schema).parquet(f"{out}/{output}/*")
 
 
 def _run(stream: DataFrame, name: str) -> DataFrame:
@@ -408,6 +496,44 @@ def stream_frontier(spark: SparkSession, d: str) -> DataFrame:
     return store.load().select("url", "visited", "tld")
 
 
+def stream_import_pages(spark: SparkSession, d: str) -> DataFrame:
+    known = (
+        inputs.frontier(spark, d)
+        .withColumn("message", F.lit("failed: before"))
+        .withColumn("queued_at", F.lit(QUEUED_AT).cast("timestamp"))
+    )
+    found = inputs.numbered_records(spark, d).withColumn("url", F.col("Data.Url"))
+    batches = _derived_stream(found, "page-records-in", "url").drop("url")
+    op = streams.pages_op(at=inputs.START)
+    return _shown(_stream_into_frontier(known, batches, op, "pages")[0].load())
+
+
+def stream_import_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """The frontier's rows, and the records that no row matched."""
+    known = inputs.frontier(spark, d).withColumn("message", F.lit("failed: before"))
+    batches = _derived_stream(inputs.resolutions(spark, d), "resolutions-in", "Url")
+    op = streams.resolutions_op(at=inputs.START)
+    store, read = _stream_into_frontier(known, batches, op, "resolutions")
+    unmatched = read("unmatched", "seq BIGINT, Url STRING, IP STRING, Cname STRING, Message STRING")
+    rows = store.load().select(F.lit("row").alias("kind"), "url", "ip", "message")
+    return rows.unionByName(
+        unmatched.select(F.lit("unmatched").alias("kind"), F.col("Url").alias("url"), F.col("IP").alias("ip"), F.col("Message").alias("message"))
+    )
+
+
+def stream_mark_queued(spark: SparkSession, d: str) -> DataFrame:
+    """The frontier's rows that are queued, the requests, and the lines that are too short."""
+    short = inputs.page_urls(spark, d).select(F.concat(F.lit("short "), "url").alias("value"))
+    batches = _derived_stream(inputs.queue_lines(spark, d).unionByName(short), "queue-in", "value")
+    store, read = _stream_into_frontier(
+        inputs.frontier(spark, d), batches, streams.queue_op(QUEUED_AT), "queue"
+    )
+    queued = store.load().filter("queued_at IS NOT NULL").select(F.lit("row").alias("kind"), F.col("url").alias("value"))
+    return queued.unionByName(
+        read("requests", "value STRING").select(F.lit("request").alias("kind"), "value")
+    ).unionByName(read("short", "line STRING").select(F.lit("short").alias("kind"), F.col("line").alias("value")))
+
+
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     seen = _page_stream(spark, d).select(
         "url", "html", F.col("_metadata.file_modification_time").alias("seen_at")
@@ -475,6 +601,7 @@ QUERIES: dict[str, Query] = {
     "page_dedup": _on_pages(links.dedup_links),
     "dedup_stats": _on_pages(links.dedup_stats),
     "pages_with_links": pages_with_links,
+    "record_links": record_links,
     "failed_records": failed_records,
     "limit_body": limit_body,
     "apply_robots": apply_robots,
@@ -502,6 +629,10 @@ QUERIES: dict[str, Query] = {
     "frontier_store": frontier_store,
     "stream_extract": stream_extract,
     "stream_frontier": stream_frontier,
+    "stream_record_links": stream_record_links,
+    "stream_import_pages": stream_import_pages,
+    "stream_import_resolutions": stream_import_resolutions,
+    "stream_mark_queued": stream_mark_queued,
     "stream_dedup": stream_dedup,
     "stream_stats": stream_stats,
     "stream_address": stream_address,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from webspark.functions.domains import BUILT_IN
 from webspark.plans import inputs
-from webspark.plans.catalog import AS_OF, BODY_LIMIT, QUEUED_AT, SEED
+from webspark.plans.catalog import AS_OF, BODY_LIMIT, PAGE_DATA_TEXT, QUEUED_AT, SEED, SPARSE, bad_lines
 
 UNRESERVED = "[A-Za-z0-9._~-]"
 IN_PATH = r"[A-Za-z0-9._~:/@!$&''()*+,;=\[\]-]"
@@ -231,8 +231,9 @@ SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 PATH = "regexp_extract(url, '//[^/?#]*([^?#]*)', 1)"
 # The rules of every robots file of the inputs, read by hand.
 VERDICT = (
-    f"(ends_with({SITE}, 'example.net') OR NOT starts_with({PATH}, '/en/') "
-    f"OR starts_with({PATH}, '/en/4'))"
+    f"CASE WHEN ends_with({SITE}, 'example.net') THEN starts_with(url, 'https') "
+    f"WHEN regexp_matches({PATH}, '^/.*/4.*7$') THEN false "
+    f"ELSE NOT starts_with({PATH}, '/en/') OR starts_with({PATH}, '/en/4') END"
 )
 ADDRESS = "coalesce(ip, '<nil>')"
 ID = "('0x' || left(md5(url), 15))::BIGINT"
@@ -263,8 +264,8 @@ def _records() -> str:
 recs AS (SELECT url, true AS ok, '' AS msg, page_id * 2 + 1 AS seq FROM pages WHERE page_id % 5 <> 0
   UNION ALL SELECT url, false, 'failed: timeout ' || page_id, page_id * 2 FROM pages
     WHERE page_id % 5 = 0 OR page_id % 3 = 0),
-last_recs AS (SELECT url, arg_max(ok, seq) AS ok, arg_max(msg, seq) FILTER (NOT ok) AS msg FROM recs
-  WHERE NOT contains(url, '#') GROUP BY url)"""
+last_recs AS (SELECT regexp_replace(url, '#.*$', '') AS url, arg_max(ok, seq) AS ok,
+  arg_max(msg, seq) FILTER (NOT ok) AS msg FROM recs GROUP BY 1)"""
 
 
 def checks() -> dict[str, str]:
@@ -277,6 +278,26 @@ def checks() -> dict[str, str]:
     raw_m = f"regexp_extract(u, '{REFERENCE}', ['s','l','a','p','q','f'])"
     authority = "CASE WHEN m.s = '' AND starts_with(u, '///') THEN '' ELSE m.a END"
     frontier0 = f"SELECT DISTINCT url FROM pages WHERE {KNOWN}"
+    record_links = f"""{_kept('link')},
+j AS (SELECT page_id, string_agg(link, ' ' ORDER BY first) AS links FROM kept GROUP BY page_id)
+SELECT url, md5(CASE WHEN page_id % 5 = 0 THEN '' ELSE html END) AS body_md5, page_id % 5 <> 0 AS success,
+  CASE WHEN page_id % 5 = 0 THEN '' ELSE coalesce(links, '') END AS links
+FROM pages LEFT JOIN j USING (page_id)"""
+    import_pages = f"""WITH {_records()},
+known AS ({frontier0})
+SELECT {ID} AS id, url, ok IS NOT NULL OR {ENGLISH} AS visited, {TLD} AS tld,
+  CASE WHEN ok IS NULL THEN '{QUEUED_AT}' END AS queued_at, coalesce(ok, false) AS success,
+  coalesce(msg, CASE WHEN url IN ({frontier0}) THEN 'failed: before' ELSE '' END) AS message,
+  NULL::VARCHAR AS ip, '' AS cname FROM known FULL JOIN last_recs USING (url)"""
+    import_resolutions = f"""WITH known AS (SELECT DISTINCT url FROM pages WHERE {KNOWN}),
+res AS (SELECT regexp_replace(url, '[?].*$', '') AS url, max(page_id) AS n FROM pages GROUP BY 1)
+SELECT {ID} AS id, url, {ENGLISH} AS visited, {TLD} AS tld, NULL::VARCHAR AS queued_at,
+  false AS success, CASE WHEN n IS NULL THEN 'failed: before' WHEN n % 7 = 0 THEN 'no such host'
+  ELSE '' END AS message, CASE WHEN n % 7 <> 0 THEN '10.3.0.' || (n % 250) END AS ip, '' AS cname
+FROM known LEFT JOIN res USING (url)"""
+    unmatched = f"""SELECT page_id AS seq, regexp_replace(url, '[?].*$', '') AS url,
+  CASE WHEN page_id % 7 = 0 THEN '' ELSE '10.3.0.' || (page_id % 250) END AS ip
+FROM pages WHERE regexp_replace(url, '[?].*$', '') NOT IN ({frontier0})"""
     return {
         "links_per_site": f"""{_kept('link')}
 SELECT regexp_extract(link, '^([a-z]+://[^/?#]*)', 1) AS site, count(DISTINCT link) AS links
@@ -294,12 +315,13 @@ SELECT page_id, CASE WHEN len(f) = 2 THEN f[1] ELSE v END AS url,
   CASE WHEN page_id % 5 = 0 THEN -1 ELSE 200 END::INT AS status_code,
   '2024-01-01 00:00:00' AS time, page_id % 5 <> 0 AS success,
   CASE WHEN page_id % 5 = 0 THEN 'failed: timeout' ELSE '' END AS message FROM pages
-UNION ALL SELECT 'bad', '{broken ' || url, NULL, NULL, NULL, NULL, NULL FROM pages""",
-        "read_resolutions": """SELECT url AS text,
+UNION ALL SELECT 'bad', unnest([""" + ", ".join(bad_lines("Data", PAGE_DATA_TEXT)) + """]), NULL, NULL, NULL, NULL, NULL
+FROM pages""",
+        "read_resolutions": """SELECT regexp_replace(url, '[?].*$', '') AS text,
   CASE WHEN page_id % 7 <> 0 THEN '10.3.0.' || (page_id % 250) END AS ip, '' AS cname,
   CASE WHEN page_id % 7 = 0 THEN 'no such host' ELSE '' END AS message
-FROM pages WHERE NOT contains(url, '?')
-UNION ALL SELECT '[] ' || url, NULL, NULL, NULL FROM pages""",
+FROM pages
+UNION ALL SELECT unnest([""" + ", ".join(bad_lines("Url", '"x"')) + """]), NULL, NULL, NULL FROM pages""",
         "page_record_json": """SELECT url, md5(CASE WHEN page_id % 5 = 0 THEN '' ELSE html END) AS body_md5,
   CASE WHEN page_id % 5 = 0 THEN -1 ELSE 200 END::INT AS status_code, page_id % 5 <> 0 AS success,
   CASE WHEN page_id % 5 = 0 THEN 'failed: timeout' ELSE '' END AS message, true AS null_links
@@ -352,6 +374,7 @@ FROM pages LEFT JOIN n USING (page_id)""",
         "pages_with_links": f"""{_kept('link')},
 j AS (SELECT page_id, string_agg(link, ' ' ORDER BY first) AS links FROM kept GROUP BY page_id)
 SELECT page_id, url, coalesce(links, '') AS links FROM pages LEFT JOIN j USING (page_id)""",
+        "record_links": record_links,
         "failed_records": """SELECT url, '' AS body, (-1)::INT AS status_code, true AS no_header,
   false AS success, 'failed: timeout' AS message FROM pages""",
         "limit_body": f"""WITH cut AS (SELECT page_id, html,
@@ -360,13 +383,14 @@ SELECT page_id, url, coalesce(links, '') AS links FROM pages LEFT JOIN j USING (
 SELECT page_id, left(html, k) || CASE WHEN strlen(html) > {BODY_LIMIT}
   THEN repeat(chr(65533), {BODY_LIMIT} - strlen(left(html, k))) ELSE '' END AS html FROM cut""",
         "apply_robots": f"""SELECT url,
-  CASE WHEN NOT {VERDICT} THEN 'failed: Blocked by robots' END AS message FROM pages""",
+  CASE WHEN NOT ({VERDICT}) THEN 'failed: Blocked by robots' END AS message FROM pages""",
         "robots_targets": f"""SELECT DISTINCT {SITE} AS site, {SITE} || '/robots.txt' AS robots_url
 FROM pages""",
         "robots_rules": f"""WITH sites AS (SELECT DISTINCT {SITE} AS site FROM pages),
-rules(agent, pattern, allow) AS
-  (VALUES ('*', '/en/', false), ('*', '/en/4', true), ('other', '/', false))
-SELECT site, agent, pattern, allow FROM sites, rules WHERE NOT ends_with(site, 'example.net')""",
+rules(kind, agent, pattern, allow) AS (VALUES (0, '*', '/en/', false), (0, '*', '/en/4', true),
+  (0, '*', '/*/4*7$', false), (0, 'other', '/', false), (1, '*', '', true), (2, '*', NULL, false))
+SELECT site, agent, pattern, allow FROM sites JOIN rules ON kind = CASE
+  WHEN NOT ends_with(site, 'example.net') THEN 0 WHEN starts_with(site, 'https') THEN 1 ELSE 2 END""",
         "robots_allowed": f"SELECT url, {VERDICT} AS allowed FROM pages",
         "attach_address": f"""WITH {_requests()},{_dns()},
 newest AS (SELECT * FROM dns QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC) = 1)
@@ -375,10 +399,14 @@ SELECT page_id, url, CASE WHEN error IS NULL THEN ips[1] END AS ip,
   CASE WHEN error IS NOT NULL THEN error WHEN len(ips) = 0 THEN 'No results' ELSE '' END AS message
 FROM asked LEFT JOIN newest USING (host)""",
         "address_asof": f"""WITH {_requests()},{_dns()},
-good AS (SELECT * FROM dns WHERE error IS NULL),
-served AS (SELECT a.page_id, a.url, g.ips, g.cname,
-    g.observed_at >= a.asked_at - INTERVAL 20 MINUTE AS hit
-  FROM asked a ASOF LEFT JOIN good g ON a.host = g.host AND a.asked_at >= g.observed_at)
+good AS (SELECT * FROM dns WHERE error IS NULL AND len(ips) > 0),
+answers AS (SELECT * FROM dns WHERE error IS NULL),
+s1 AS (SELECT a.*, g.ips AS g_ips, g.cname AS g_cname, g.observed_at >= a.asked_at - INTERVAL 20 MINUTE AS g_hit
+  FROM asked a ASOF LEFT JOIN good g ON a.host = g.host AND a.asked_at >= g.observed_at),
+served AS (SELECT s1.page_id, s1.url, CASE WHEN g_hit THEN g_ips ELSE n.ips END AS ips,
+    CASE WHEN g_hit THEN g_cname ELSE n.cname END AS cname,
+    coalesce(g_hit, false) OR n.observed_at >= s1.asked_at - INTERVAL 20 MINUTE AS hit
+  FROM s1 ASOF LEFT JOIN answers n ON s1.host = n.host AND s1.asked_at >= n.observed_at)
 SELECT page_id, url, CASE WHEN hit THEN ips[1] END AS ip, CASE WHEN hit THEN cname END AS cname,
   CASE WHEN hit THEN CASE WHEN len(ips) = 0 THEN 'No results' ELSE '' END END AS message
 FROM served""",
@@ -389,13 +417,13 @@ SELECT DISTINCT host FROM asked WHERE host NOT IN (SELECT host FROM dns WHERE er
         "group_by_address": f"""WITH {_requests()}
 SELECT {ADDRESS} AS address, count(*) AS requests, min(page_id) AS first, max(page_id) AS last
 FROM asked GROUP BY 1""",
-        "run_batches": """WITH asked AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL
+        "run_batches": f"""WITH asked AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN NULL
   ELSE '10.0.0.' || ((page_id // 3) % 7) END AS ip FROM pages),
 marked AS (SELECT page_id, ip, lag(ip) OVER (ORDER BY page_id) AS before FROM asked)
-SELECT page_id, ip, (sum(CASE WHEN before IS NOT NULL AND ip IS DISTINCT FROM before THEN 1 ELSE 0
+SELECT (page_id - 100) * {SPARSE} AS place, ip, (sum(CASE WHEN before IS NOT NULL AND ip IS DISTINCT FROM before THEN 1 ELSE 0
   END) OVER (ORDER BY page_id))::BIGINT AS batch FROM marked""",
         "politeness_plan": f"""WITH {_requests()}
-SELECT page_id, url, {ADDRESS} AS address,
+SELECT (page_id - 100) * {SPARSE} AS place, url, {ADDRESS} AS address,
   row_number() OVER (PARTITION BY {ADDRESS} ORDER BY page_id) - 1 AS position,
   row_number() OVER (PARTITION BY {ADDRESS} ORDER BY page_id) - 1 AS start_after FROM asked""",
         "pending_stats": f"""WITH {_requests()}
@@ -406,21 +434,9 @@ SELECT count(DISTINCT {ADDRESS}) AS workers, count(*) AS urls FROM asked""",
         "import_links": f"""{_imported()}
 SELECT {_site_row(ENGLISH)} FROM ({frontier0}) UNION ALL SELECT {_site_row()} FROM fresh""",
         "import_links_new": f"{_imported()}\nSELECT url FROM fresh",
-        "import_pages": f"""WITH {_records()},
-known AS ({frontier0})
-SELECT {ID} AS id, url, ok IS NOT NULL OR {ENGLISH} AS visited, {TLD} AS tld,
-  CASE WHEN ok IS NULL THEN '{QUEUED_AT}' END AS queued_at, coalesce(ok, false) AS success,
-  coalesce(msg, CASE WHEN {KNOWN} THEN 'failed: before' ELSE '' END) AS message,
-  NULL::VARCHAR AS ip, '' AS cname FROM known FULL JOIN last_recs USING (url)""",
-        "import_resolutions": f"""WITH known AS (SELECT DISTINCT url FROM pages WHERE {KNOWN}),
-res AS (SELECT url, max(page_id) AS n FROM pages WHERE NOT contains(url, '?') GROUP BY url)
-SELECT {ID} AS id, url, {ENGLISH} AS visited, {TLD} AS tld, NULL::VARCHAR AS queued_at,
-  false AS success, CASE WHEN n IS NULL THEN 'failed: before' WHEN n % 7 = 0 THEN 'no such host'
-  ELSE '' END AS message, CASE WHEN n % 7 <> 0 THEN '10.3.0.' || (n % 250) END AS ip, '' AS cname
-FROM known LEFT JOIN res USING (url)""",
-        "import_resolutions_unmatched": f"""SELECT page_id AS seq, url,
-  CASE WHEN page_id % 7 = 0 THEN '' ELSE '10.3.0.' || (page_id % 250) END AS ip
-FROM pages WHERE NOT contains(url, '?') AND NOT {KNOWN}""",
+        "import_pages": import_pages,
+        "import_resolutions": import_resolutions,
+        "import_resolutions_unmatched": unmatched,
         "next_urls": f"""SELECT url FROM ({frontier0}) WHERE NOT {ENGLISH}
 ORDER BY md5('{SEED}' || url), url LIMIT 10""",
         "mark_queued": f"""WITH listed AS (SELECT DISTINCT url FROM pages WHERE page_id % 10 <> 0)
@@ -435,13 +451,21 @@ known AS ({frontier0} UNION ALL SELECT url FROM fresh)
 SELECT {ID} AS id, url, ok IS NOT NULL OR ({KNOWN} AND {ENGLISH} AND url IN ({frontier0})) AS visited,
   {TLD} AS tld, NULL::VARCHAR AS queued_at, coalesce(ok, false) AS success,
   coalesce(msg, '') AS message, NULL::VARCHAR AS ip, '' AS cname
-FROM known FULL JOIN last_recs USING (url)""",
+FROM known FULL JOIN last_recs USING (url) WHERE NOT starts_with(url, 'http:')""",
         "stream_extract": f"{_kept('link')}\nSELECT url, link FROM kept",
         "stream_frontier": f"""{_kept('link')},
 known AS ({frontier0}),
 fresh AS (SELECT DISTINCT link AS url FROM kept WHERE link NOT IN (SELECT url FROM known))
 SELECT url, {ENGLISH} AS visited, {TLD} AS tld FROM known
 UNION ALL SELECT url, false, {TLD} FROM fresh""",
+        "stream_record_links": record_links,
+        "stream_import_pages": import_pages,
+        "stream_import_resolutions": f"""SELECT 'row' AS kind, url, ip, message FROM ({import_resolutions})
+UNION ALL SELECT 'unmatched', url, ip, CASE WHEN seq % 7 = 0 THEN 'no such host' ELSE '' END FROM ({unmatched})""",
+        "stream_mark_queued": f"""WITH {_requests()}
+SELECT 'row' AS kind, url AS value FROM ({frontier0}) WHERE url IN (SELECT url FROM pages WHERE page_id % 10 <> 0)
+UNION ALL SELECT 'request', url || chr(9) || coalesce(ip, '') FROM asked
+UNION ALL SELECT 'short', 'short ' || url FROM pages""",
         "stream_dedup": f"{_kept('link')}\nSELECT DISTINCT link FROM kept",
         "stream_stats": f"""WITH {_requests()}
 SELECT {ADDRESS} AS address, count(*) AS pending FROM asked GROUP BY 1""",

@@ -48,15 +48,8 @@ URL_FORMS = [
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages table. A scan of fewer splits than there are cores, a small file, is spread over
-    the cores, since link extraction is bound by them; a large table is left as it is split."""
-    table = spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet")
-    return spread(table)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """The pages table."""
+    return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet")
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +95,7 @@ def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path",
     )
     forms = ", ".join(forms_sql())
-    return spread(parts).selectExpr("page_id", "base", f"posexplode(array({forms})) AS (form, u)")
+    return parts.selectExpr("page_id", "base", f"posexplode(array({forms})) AS (form, u)")
 
 
 # Columns of a request, from page_id and url. A request goes out 11 to 27 minutes after its host was
@@ -136,19 +129,29 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site, body): a robots file for every site but those on example.net."""
-    body = "User-Agent: *\\r\\nDisallow: /en/ # no\\nAllow: /en/4\\n\\nSitemap: /s.xml\\nUser-agent: Other\\nDisallow: /\\n"
+    """(site, body): a robots file for every site. Those on example.net are open to all, or could not be
+    read."""
+    body = (
+        "User-Agent: *\\r\\nDisallow: /en/ # no\\nAllow: /en/4\\nDisallow: /*/4*7$\\n\\n"
+        "Sitemap: /s.xml\\nUser-agent: Other\\nDisallow: /\\n"
+    )
     return (
         page_urls(spark, sf_dir)
         .select(F.expr("regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)").alias("site"))
-        .filter("NOT endswith(site, 'example.net')")
         .distinct()
-        .withColumn("body", F.expr(f"'{body}'"))
+        .withColumn(
+            "body",
+            F.expr(
+                f"CASE WHEN NOT endswith(site, 'example.net') THEN '{body}' "
+                "WHEN startswith(site, 'https') THEN 'User-agent: *\\nDisallow:' END"
+            ),
+        )
     )
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known URLs: the https pages, of which those in English are visited."""
+    """Known URLs: the https pages, of which those in English are visited. The one input that is a part
+    of the pages, so that every operation has URLs it knows and URLs that are new."""
     known = page_urls(spark, sf_dir).filter("startswith(url, 'https:')").select("url").distinct()
     return new_sites(known, "url", START).withColumn("visited", F.contains("url", F.lit("/en/")))
 
@@ -168,9 +171,10 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(Data, Success, Message, seq) of the pages without fragment: a failure before the success for
-    every third page, only a failure for every fifth, so that order matters."""
-    table = page_urls(spark, sf_dir).filter("NOT contains(url, '#')")
+    """(Data, Success, Message, seq) of all pages: a failure before the success for every third page, only
+    a failure for every fifth, so that order matters. Records name the URL without its fragment, so known
+    URLs with one have no record, and some records have no known URL."""
+    table = page_urls(spark, sf_dir).withColumn("url", F.expr("regexp_replace(url, '#.*$', '')"))
     good = table.filter("page_id % 5 != 0").select(
         F.struct(F.col("url").alias("Url")).alias("Data"),
         F.lit(True).alias("Success"),
@@ -187,10 +191,11 @@ def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, Url, IP, Cname, Message) of the pages without query: every seventh one failed."""
-    return page_urls(spark, sf_dir).filter("NOT contains(url, '?')").selectExpr(
+    """(seq, Url, IP, Cname, Message) of all pages: every seventh one failed. Records name the URL without
+    its query, so known URLs with one have no record, and some records have no known URL."""
+    return page_urls(spark, sf_dir).selectExpr(
         "page_id AS seq",
-        "url AS Url",
+        "regexp_replace(url, '[?].*$', '') AS Url",
         "if(page_id % 7 = 0, '', '10.3.0.' || cast(page_id % 250 AS string)) AS IP",
         "'' AS Cname",
         "if(page_id % 7 = 0, 'no such host', '') AS Message",

@@ -3,8 +3,10 @@
 ``load`` is the base with the newest change of each URL laid over it. A commit writes only new and
 changed rows, so a small batch does not rewrite a large table; ``compact`` folds the changes into a
 new base now and then. The base is bucketed by URL: laying changes over it, and joining it on the URL
-while no changes are pending, read it in place, without a shuffle of the big side. Files are written to new folders only and count once their ``_SUCCESS``
-mark is there, so readers never see half a commit and a lost executor or driver leaves no harm.
+while no changes are pending, read it in place, without a shuffle of the big side. Files are written to
+new folders only. A commit is written under a name that does not count, checked, and renamed, so readers
+never see half a commit or one that breaks the rules, and a lost executor or driver leaves no harm.
+Compaction removes what is older than the base before the new one, which is kept for readers.
 """
 
 from __future__ import annotations
@@ -34,11 +36,16 @@ class FrontierStore:
 
     # --- folders ---
 
+    def _files(self):
+        """The file system of the store. It takes the JVM of a classic session."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def _folders(self) -> list[tuple[str, int, str, str]]:
         """(kind, version, label, name) of all finished folders, oldest first."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        fs = self._files()
         if not fs.exists(root):
             return []
         found = []
@@ -60,8 +67,11 @@ class FrontierStore:
 
     # --- reading ---
 
+    def _table(self, name: str) -> str:
+        return f"webspark_{md5(f'{self.path}/{name}'.encode()).hexdigest()[:16]}"
+
     def _base_table(self, name: str, buckets: int) -> DataFrame:
-        table = f"webspark_{md5(f'{self.path}/{name}'.encode()).hexdigest()[:16]}"
+        table = self._table(name)
         if not self.spark.catalog.tableExists(table):
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FRONTIER)
             self.spark.sql(
@@ -115,12 +125,18 @@ class FrontierStore:
             return self.version()
         version = self.version() + 1
         target = f"{self.path}/changes-{version:08d}-{label}"
-        touched.select(*COLUMNS).write.mode("overwrite").parquet(target)
-        self._check_unique(self.spark.read.schema(FRONTIER).parquet(target), target)
+        draft = f"{self.path}/draft-{uuid4().hex}"
+        touched.select(*COLUMNS).write.parquet(draft)
+        self._check(self.spark.read.schema(FRONTIER).parquet(draft), target)
+        jvm = self.spark._jvm
+        if not self._files().rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(target)):
+            raise OSError(f"{draft} could not become {target}")
         return version
 
-    def _check_unique(self, rows: DataFrame, target: str) -> None:
-        """A URL stands once in a commit. Checked on the rows as written."""
+    def _check(self, rows: DataFrame, target: str) -> None:
+        """Every row of a commit has a URL, and a URL stands once. Checked on the rows as written."""
+        if not rows.filter(F.col("url").isNull()).isEmpty():
+            raise ValueError(f"{target}: a row has no url")
         twice = duplicate_urls(rows).limit(1).collect()
         if twice:
             raise ValueError(f"{target}: {twice[0].url} is there {twice[0].rows} times")
@@ -131,13 +147,25 @@ class FrontierStore:
         if any(f[:2] == ("base", version) for f in self._folders()):
             return version
         name = f"base-{version:08d}-{self.buckets}.{uuid4().hex[:8]}"
-        table = f"webspark_{md5(f'{self.path}/{name}'.encode()).hexdigest()[:16]}"
         (
             self.load()
             .repartition(self.buckets, "url")
             .write.format("parquet")
             .bucketBy(self.buckets, "url")
             .option("path", f"{self.path}/{name}")
-            .saveAsTable(table)
+            .saveAsTable(self._table(name))
         )
+        self._drop_old()
         return version
+
+    def _drop_old(self) -> None:
+        """Remove what only readers from before the last two bases could need."""
+        folders = self._folders()
+        bases = [f for f in folders if f[0] == "base"]
+        if len(bases) < 2:
+            return
+        kept = bases[-2][1]
+        for kind, version, _, name in folders:
+            if version < kept or (kind == "changes" and version == kept):
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+                self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)

@@ -13,6 +13,7 @@ from webspark.schemas import PAGE_RECORD, RESOLUTION
 from webspark.sources.lines import trimmed_lines
 
 CORRUPT = "_corrupt_record"
+LINE = "ws_line"
 
 # Fixed value: default text form of a timestamp in page records, e.g.
 # "2017-03-01 10:11:12.123456789 -0500 EST m=+0.001": date, time, fraction, offset, zone.
@@ -20,38 +21,64 @@ TIMESTAMP_TEXT = r"^(\d{4}-\d\d-\d\d) (\d\d:\d\d:\d\d)(\.\d{1,6})?\d* ([+-]\d\d)
 
 
 def parse_records(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """One column per field of ``schema`` and ``_corrupt_record``, which holds the line when it is
-    not a record. Works on streams too."""
+    """One column per field of ``schema``, ``_corrupt_record``, which is not null when the line is not
+    one JSON object of that form, and ``ws_line``, the line as it was. Works on streams too."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(
-        "value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "allowSingleQuotes": "false",
+    }
+    # The parser stops at the end of the object; text after it shows in the line as a list of one.
+    alone = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
+    return (
+        lines.select(F.col("value").alias(LINE), "value")
+        .transform(trimmed_lines)
+        .select(LINE, F.from_json("value", with_corrupt, options).alias("record"), alone.alias("ws_alone"))
+        .select(
+            *[f"record.{f.name}" for f in schema.fields],
+            F.when(
+                F.col(f"record.{CORRUPT}").isNotNull() | ~F.coalesce("ws_alone", F.lit(False)), F.col(LINE)
+            ).alias(CORRUPT),
+            LINE,
+        )
     )
-    return trimmed_lines(lines).select(parsed.alias("record")).select("record.*")
 
 
-def split_records(parsed: DataFrame, required: Column) -> tuple[DataFrame, DataFrame]:
-    """(records, lines that are none). ``required`` must hold for a record."""
-    good = F.col(CORRUPT).isNull() & required
-    ok = parsed.filter(good).drop(CORRUPT)
-    bad = parsed.filter(~good).select(
-        F.coalesce(F.col(CORRUPT), F.to_json(F.struct(F.col("*")))).alias("line")
-    )
-    return ok, bad
+def judged_records(lines: DataFrame, schema: T.StructType, required: Column) -> DataFrame:
+    """The columns of :func:`parse_records`, ``_corrupt_record`` null exactly for records; ``required``
+    must hold for a record. One table, so that a sink that splits it parses once."""
+    parsed = parse_records(lines, schema)
+    good = F.col(CORRUPT).isNull() & F.coalesce(required, F.lit(False))
+    return parsed.withColumn(CORRUPT, F.when(~good, F.col(LINE)))
+
+
+def split_records(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, lines that are none, as they were)."""
+    ok = judged.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, LINE)
+    return ok, judged.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+
+
+def judged_page_records(lines: DataFrame) -> DataFrame:
+    """:func:`judged_records` of page records. A record without ``Data`` is a bad line."""
+    return judged_records(lines, PAGE_RECORD, F.col("Data.Url").isNotNull())
+
+
+def judged_resolutions(lines: DataFrame) -> DataFrame:
+    """:func:`judged_records` of resolutions. An empty address reads as null."""
+    judged = judged_records(lines, RESOLUTION, F.col("Url").isNotNull())
+    return judged.withColumn("IP", F.nullif(F.col("IP"), F.lit("")))
 
 
 def read_page_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(page records, bad lines). A record without ``Data`` is a bad line."""
-    return split_records(
-        parse_records(spark.read.text(path), PAGE_RECORD), F.col("Data.Url").isNotNull()
-    )
+    """(page records, bad lines). Whoever needs both should write :func:`judged_page_records` and split
+    that."""
+    return split_records(judged_page_records(spark.read.text(path)))
 
 
 def read_resolutions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(resolution records, bad lines). An empty address reads as null."""
-    ok, bad = split_records(
-        parse_records(spark.read.text(path), RESOLUTION), F.col("Url").isNotNull()
-    )
-    return ok.withColumn("IP", F.nullif(F.col("IP"), F.lit(""))), bad
+    """(resolution records, bad lines)."""
+    return split_records(judged_resolutions(spark.read.text(path)))
 
 
 def to_json_lines(records: DataFrame) -> DataFrame:
@@ -71,6 +98,5 @@ def write_records(records: DataFrame, path: str, mode: str = "errorifexists") ->
 def record_time(text: Column | str) -> Column:
     """Timestamp of a record's ``Timestamp`` text, cut to microseconds; null when it is none."""
     t = F.col(text) if isinstance(text, str) else text
-    # Two-step: rewrite to ISO form, then cast; a text that does not match casts to null.
     iso = F.regexp_replace(t, TIMESTAMP_TEXT + ".*$", r"$1T$2$3$4:$5")
-    return iso.try_cast("timestamp")
+    return F.when(F.regexp_like(t, F.lit(TIMESTAMP_TEXT)), iso.try_cast("timestamp"))

@@ -128,33 +128,49 @@ def newest_observation(joined: DataFrame, request_key: str) -> DataFrame:
 
 # --- frontier ----------------------------------------------------------------------------------
 
-FrontierOp = Callable[[DataFrame, DataFrame], DataFrame]
+# Stored frontier and micro-batch to (rows that are new or changed, further outputs by name). Further
+# outputs depend on the batch and on the URLs known before it, not on what the batch changes in them.
+FrontierOp = Callable[[DataFrame, DataFrame], tuple[DataFrame, dict[str, DataFrame]]]
+Emit = Callable[[DataFrame, dict[str, DataFrame], int], None]
 
 
 def links_op(
     url: str = "url", at: datetime | Column | None = None, rules: SuffixRules = BUILT_IN
 ) -> FrontierOp:
-    return lambda frontier, batch: import_links(
-        frontier, batch, url, at, rules, touched_only=True
-    )[0]
+    """The new rows are the new links; no further outputs."""
+    return lambda frontier, batch: (
+        import_links(frontier, batch, url, at, rules, touched_only=True)[0],
+        {},
+    )
 
 
 def pages_op(
     seq: str = "seq", at: datetime | Column | None = None, rules: SuffixRules = BUILT_IN
 ) -> FrontierOp:
-    return lambda frontier, batch: import_pages(frontier, batch, seq, at, rules, touched_only=True)
+    return lambda frontier, batch: (
+        import_pages(frontier, batch, seq, at, rules, touched_only=True),
+        {},
+    )
 
 
 def resolutions_op(seq: str = "seq", at: datetime | Column | None = None) -> FrontierOp:
-    return lambda frontier, batch: import_resolutions(
-        frontier, batch, seq, at, touched_only=True
-    )[0]
+    """Further output: ``unmatched``, the records of unknown URLs."""
+
+    def op(frontier: DataFrame, batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+        rows, unmatched = import_resolutions(frontier, batch, seq, at, touched_only=True)
+        return rows, {"unmatched": unmatched}
+
+    return op
+
+
+def queue_op(queued_at: datetime | str | Column, value: str = "value") -> FrontierOp:
+    """Further outputs: ``requests``, a line for every full line, and ``short``, the other lines."""
 
+    def op(frontier: DataFrame, batch: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+        rows, requests, short = mark_queued(frontier, batch, queued_at, value, touched_only=True)
+        return rows, {"requests": requests, "short": short}
 
-def queue_op(queued_at: datetime | Column, value: str = "value") -> FrontierOp:
-    return lambda frontier, batch: mark_queued(
-        frontier, batch, queued_at, value, touched_only=True
-    )[0]
+    return op
 
 
 def run_frontier(
@@ -164,24 +180,25 @@ def run_frontier(
     checkpoint: str,
     name: str,
     compact_every: int = 20,
-    emit: Callable[[DataFrame, int], None] | None = None,
+    emit: Emit | None = None,
 ) -> DataStreamWriter:
     """Apply ``op`` to the stored frontier per micro-batch; add a trigger and start it.
 
     A commit is labelled with ``name`` and the batch's number, so a batch that is replayed after a
-    failure changes nothing. One stream at a time may write a store. ``emit`` gets the rows each
-    batch has added or changed, for links the new ones, and its number; a replay hands it the same
-    rows again.
+    failure changes nothing. One stream at a time may write a store. ``emit`` gets the rows each batch
+    has added or changed, the further outputs of ``op``, and the batch's number; a replay hands it the
+    same again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         own = FrontierStore(batch.sparkSession, store.path, store.buckets)
         label = f"{name}-{batch_id}"
+        rows, outputs = op(own.load(), batch)
         if not own.committed(label):
-            version = own.commit(op(own.load(), batch), label)
+            version = own.commit(rows, label)
             if version % compact_every == 0:
                 own.compact()
         if emit is not None:
-            emit(own.changes(label), batch_id)
+            emit(own.changes(label), outputs, batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
