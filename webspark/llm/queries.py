@@ -20,6 +20,7 @@ from webspark.llm import (
     toxicity,
 )
 from webspark.llm.checks import CHECKS as CHECKS
+from webspark.llm.tables import with_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,7 +134,7 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: with_package(f)
     for f in (
         op1_line_frequency,
         op2_surrogates,

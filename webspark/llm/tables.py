@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import webspark
 from webspark.sources.shared import fresh_path
 
 
@@ -16,11 +20,20 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def without(frame: DataFrame, *names: str) -> list[str]:
-    """Quoted columns of the frame but those named (upper or lower case); for results that replace
-    columns of the input."""
-    gone = {n.lower() for n in names}
-    return [f"`{c}`" for c in frame.columns if c.lower() not in gone]
+def with_package(query):
+    """The query, after telling Python workers where the package is, for sessions that were started from
+    another folder without a PYTHONPATH. Where executors have the package installed, or where it was sent
+    with the job, this changes nothing."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest):
+        root = str(Path(webspark.__file__).resolve().parents[1])
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+        return query(spark, *rest)
+
+    return run
 
 
 # Bits of a sieve: a bound of its size, whatever the number of keys.

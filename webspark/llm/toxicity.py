@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -137,28 +137,26 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     """Terms with weights, from (toxic, clean) documents with each beginning.
 
     A beginning counts when its toxic share is no accident and its ratio is high. Of the beginnings of
-    a word the shortest such one is taken, then grown while hardly a toxic document is lost.
+    a word the one that is least an accident is taken: a longer one misses documents, a shorter one takes
+    in other words.
     """
     if not toxic or not clean:
         return {}
     part = toxic / (toxic + clean)
     limit = math.log(SIGNIFICANCE / max(len(counts), 1))
-    good: dict[str, float] = {}
+    good: dict[str, tuple[float, float]] = {}
     for term, (bad, fine) in counts.items():
         ratio = ((bad + 0.5) / (toxic + 1)) / ((fine + 0.5) / (clean + 1))
-        if ratio >= LEAST_RATIO and fine <= 0.05 * bad and _log_tail(bad, bad + fine, part) <= limit:
-            good[term] = math.log(ratio)
-    longer = defaultdict(list)
-    for term in counts:
-        longer[term[:-1]].append(term)
+        accident = _log_tail(bad, bad + fine, part)
+        if ratio >= LEAST_RATIO and accident <= limit:
+            good[term] = (accident, math.log(ratio))
     chosen: dict[str, float] = {}
-    for term in sorted(good, key=lambda t: (len(t), t)):
-        if any(term.startswith(other) or other.startswith(term) for other in chosen):
-            continue
-        grown = term
-        while more := [t for t in longer[grown] if t in good and counts[t][0] >= 0.98 * counts[term][0]]:
-            grown = max(more, key=lambda t: (counts[t][0], t))
-        chosen[grown] = good[grown]
+    taken: set[str] = set()  # the chosen terms and their beginnings
+    for term in sorted(good, key=lambda t: (good[t][0], -len(t), t)):
+        starts = [term[:n] for n in range(SHORTEST, len(term) + 1)]
+        if term not in taken and not any(t in chosen for t in starts):
+            chosen[term] = good[term][1]
+            taken.update(starts)
     return chosen
 
 
