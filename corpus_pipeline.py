@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.llm import decontamination, line_dedup, ngram_join, packing, toxicity
-from webspark.llm.tables import written
+from webspark.llm.tables import with_package, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,11 +62,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("ngram_join", drop_near_duplicates),
-    ("decontamination", drop_test_items),
-    ("best_fit_packing", pack),
+    ("toxicity", with_package(drop_toxic)),
+    ("line_dedup", with_package(drop_repeated_lines)),
+    ("ngram_join", with_package(drop_near_duplicates)),
+    ("decontamination", with_package(drop_test_items)),
+    ("best_fit_packing", with_package(pack)),
 ]
 # Tokens and learned weights are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL: str | None = None
