@@ -27,6 +27,8 @@ SEED = "seed"
 SPARSE = 1 << 21
 # Files, and so micro-batches, of a stream that is made from derived records.
 STREAM_FILES = 3
+# Number of a page whose time is some 150 years after all others.
+END_OF_TIME = 40_000_000
 
 
 # A page's data as a record holds it, in JSON.
@@ -463,8 +465,12 @@ def _stream_into_frontier(
 
 def _run(stream: DataFrame, name: str) -> DataFrame:
     """All the data there is through a file sink, then the sink as a table."""
+    return _drain(stream, fresh_path(stream.sparkSession, name))
+
+
+def _drain(stream: DataFrame, out: str) -> DataFrame:
+    """:func:`_run` with a folder that is gone on with."""
     spark = stream.sparkSession
-    out = fresh_path(spark, name)
     run = (
         stream.writeStream.format("parquet")
         .option("path", f"{out}/data")
@@ -567,10 +573,21 @@ def stream_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_address(spark: SparkSession, d: str) -> DataFrame:
-    asked = _page_stream(spark, d).selectExpr(*inputs.REQUEST_COLUMNS).drop("ip")
-    observed = _page_stream(spark, d).selectExpr(*inputs.DNS_COLUMNS)
-    joined = _run(streams.stream_address(asked, observed, "asked_at"), "stream-address")
-    return streams.newest_observation(joined, "page_id").select("page_id", "url", "ip")
+    """All requests, in whatever order the files come: nothing is late, and a last file, far in the
+    future, lets every slice end."""
+    out = fresh_path(spark, "stream-address")
+    end = inputs.page_urls(spark, d).limit(0)
+    end.write.parquet(f"{out}/end")
+    last = spark.readStream.schema("page_id BIGINT, url STRING").parquet(f"{out}/end")
+    found = _page_stream(spark, d).select("page_id", "url").unionByName(last)
+    asked = found.selectExpr(*inputs.REQUEST_COLUMNS).drop("ip")
+    observed = found.selectExpr(*inputs.DNS_COLUMNS)
+    joined = streams.stream_address(asked, observed, "asked_at", late="36500 days")
+    _drain(joined, out)
+    far = spark.range(1).select(F.lit(END_OF_TIME).cast("bigint").alias("page_id"), F.lit("").alias("url"))
+    far.write.mode("append").parquet(f"{out}/end")
+    rows = _drain(joined, out)
+    return rows.filter(F.col("page_id") < END_OF_TIME).select("page_id", "url", "ip")
 
 
 QUERIES: dict[str, Query] = {

@@ -470,8 +470,8 @@ UNION ALL SELECT 'short', 'short ' || url FROM pages""",
         "stream_stats": f"""WITH {_requests()}
 SELECT {ADDRESS} AS address, count(*) AS pending FROM asked GROUP BY 1""",
         "stream_address": f"""WITH {_requests()},{_dns()},
-pairs AS (SELECT a.page_id, a.url, g.ips, g.observed_at FROM asked a JOIN dns g
-  ON a.host = g.host AND g.error IS NULL
-  AND a.asked_at BETWEEN g.observed_at AND g.observed_at + INTERVAL 20 MINUTE)
-SELECT page_id, url, arg_max(ips, observed_at)[1] AS ip FROM pairs GROUP BY page_id, url""",
+served AS (SELECT a.page_id, arg_max(g.ips, g.observed_at)[1] AS ip FROM asked a JOIN dns g
+  ON a.host = g.host AND g.error IS NULL AND len(g.ips) > 0
+  AND a.asked_at BETWEEN g.observed_at AND g.observed_at + INTERVAL 20 MINUTE GROUP BY a.page_id)
+SELECT page_id, url, served.ip FROM asked LEFT JOIN served USING (page_id)""",
     }

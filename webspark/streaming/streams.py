@@ -6,12 +6,15 @@ through ``foreachBatch`` with labelled commits, and what needs state bounds it w
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from webspark.functions.domains import BUILT_IN, SuffixRules
 from webspark.functions.urls import url_hostname
@@ -73,56 +76,89 @@ def stream_address(
     ttl_seconds: int = TTL_SECONDS,
     late: str = "10 minutes",
 ) -> DataFrame:
-    """(request columns, ip, cname, observed_at): requests joined with the observations that serve
-    them.
-
-    Both sides carry watermarks, so state is dropped once its TTL is over. Time slices are part of
-    the join key, each observation stands in every slice it reaches: a busy host's state is spread
-    over its slices. A request that several observations serve comes out several times; the sink
-    keeps the newest per request (see :func:`newest_observation`). Failed observations serve nobody.
+    """(request columns, ip, cname, observed_at): every request once, with the newest observation at or
+    before its time and within the TTL, or three nulls.
+
+    State is kept per host and slice of time, so a busy host's state is spread over its slices. An
+    observation is handed to every slice it reaches; of those from before a slice only the newest is
+    held. When the watermark has passed a slice, its requests come out and its state is dropped. No pairs
+    are formed. Failed observations and empty answers serve nobody. Rows later than ``late`` are dropped,
+    as by every watermark.
     """
     width = max(1, ttl_seconds * 1_000_000 // SLICES_PER_TTL)
 
     def slice_of(micros: Column) -> Column:
         return F.call_function("div", micros, F.lit(width))
 
-    asked = (
-        requests.withColumn("ws_host", url_hostname(url))
-        .withColumn("ws_slice", slice_of(F.unix_micros(asked_at)))
-        .withWatermark(asked_at, late)
+    kept = [c for c in requests.columns if c not in ("ip", "cname")]
+    asked = requests.select(
+        url_hostname(url).alias("ws_host"),
+        slice_of(F.unix_micros(asked_at)).alias("ws_slice"),
+        F.col(asked_at).alias("ws_at"),
+        F.struct(*kept).alias("request"),
     )
     seen = F.unix_micros("observed_at")
-    served = (
-        observations.filter(F.col("error").isNull())
-        .select(
-            "host",
-            F.try_element_at("ips", F.lit(1)).alias("ip"),
-            "cname",
-            "observed_at",
-            F.explode(
-                F.sequence(slice_of(seen), slice_of(seen + F.lit(ttl_seconds * 1_000_000)))
-            ).alias("ws_reached"),
-        )
-        .withWatermark("observed_at", late)
+    served = observations.filter(F.col("error").isNull() & (F.size("ips") > 0)).select(
+        F.col("host").alias("ws_host"),
+        F.explode(
+            F.sequence(slice_of(seen), slice_of(seen + F.lit(ttl_seconds * 1_000_000)))
+        ).alias("ws_slice"),
+        F.col("observed_at").alias("ws_at"),
+        F.element_at("ips", 1).alias("ip"),
+        "cname",
     )
-    ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
-    kept = [c for c in requests.columns if c not in ("ip", "cname")]
-    return asked.join(
-        served,
-        (F.col("ws_host") == F.col("host"))
-        & (F.col("ws_slice") == F.col("ws_reached"))
-        & (F.col("observed_at") <= F.col(asked_at))
-        & (F.col(asked_at) <= F.col("observed_at") + ttl),
-    ).select(*[asked[c] for c in kept], served["ip"], served["cname"], "observed_at")
-
-
-def newest_observation(joined: DataFrame, request_key: str) -> DataFrame:
-    """One row per request, with its newest observation."""
-    values = [c for c in joined.columns if c != request_key]
-    return (
-        joined.groupBy(request_key)
-        .agg(F.max_by(F.struct(*values), F.struct("observed_at", "ip")).alias("ws_row"))
-        .select(request_key, "ws_row.*")
+    both = asked.unionByName(served, allowMissingColumns=True).withWatermark("ws_at", late)
+    fields = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in kept)
+    columns = [*kept, "ip", "cname", "observed_at"]
+    ttl = pd.Timedelta(seconds=ttl_seconds)
+
+    def answers(asks: list, found: list) -> pd.DataFrame:
+        rows = []
+        for at, request in asks:
+            near = [o for o in found if at is not None and at - ttl <= o[0] <= at]
+            best = max(near, key=lambda o: (o[0], o[1]), default=(None, None, None))
+            rows.append([*request, best[1], best[2], best[0]])
+        return pd.DataFrame(rows, columns=columns, dtype=object)
+
+    def serve(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        asks, found = pickle.loads(state.get[0]) if state.exists else ([], [])
+        if state.hasTimedOut:
+            state.remove()
+            yield answers(asks, found)
+            return
+        for batch in batches:
+            for at, request, ip, cname in zip(
+                batch["ws_at"], batch["request"], batch["ip"], batch["cname"], strict=True
+            ):
+                moment = None if pd.isna(at) else at
+                if request is None:
+                    found.append((moment, ip, cname))
+                else:
+                    asks.append((moment, tuple(request[c] for c in kept)))
+        if key[1] is None:  # a request without a time
+            yield answers(asks, [])
+            return
+        start = pd.Timestamp(int(key[1]) * width, unit="us")
+        older = [o for o in found if o[0] < start]
+        found = [o for o in found if o[0] >= start] + sorted(older, key=lambda o: o[:2])[-1:]
+        end = (int(key[1]) + 1) * width // 1000 + 1
+        if end <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            if asks:
+                yield answers(asks, found)
+            return
+        state.update((pickle.dumps((asks, found)),))
+        state.setTimeoutTimestamp(end)
+
+    return both.groupBy("ws_host", "ws_slice").applyInPandasWithState(
+        serve,
+        f"{fields}, ip string, cname string, observed_at timestamp",
+        "held binary",
+        "append",
+        "EventTimeTimeout",
     )
 
 
