@@ -34,6 +34,8 @@ FREQUENT = 1 << 20
 # Documents that share a shingle: up to so many are compared pair by pair in their counts, more hang
 # together in a chain.
 FEW = 16
+# Parts into which the sets of one size under a frequent shingle are dealt.
+SALTS = 64
 # Shingles of a batch that goes back to Spark.
 BATCH_SHINGLES = 1 << 18
 # Shingles and sets that one task of the join holds of its slice, and again of the sets it compares.
@@ -265,8 +267,9 @@ def candidate_blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataF
     """
     own = rows.join(classes.select("hash", "n", "rep"), ["hash", "n"]).where("doc_id = rep")
     tokens = own.select("rep", "n", "last", F.explode("prefix").alias("shingle"))
-    held = F.count("*").over(Window.partitionBy("shingle"))
-    shared = written(tokens.withColumn("sets", held).where("sets > 1"), "shared-shingles")
+    # Counted by an aggregate and joined back, so that a frequent shingle is no hot key.
+    held = written(tokens.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "shingle-counts")
+    shared = written(sieved(tokens, "shingle", held, "shingle").join(held, "shingle"), "shared-shingles")
     few = shared.where(F.col("sets") <= FEW).groupBy("shingle").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
     pairs = few.select(
         F.explode(F.flatten(F.transform("reps", lambda a, i: F.transform(F.slice("reps", i + 2, F.lit(FEW)), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("pair")
@@ -284,12 +287,20 @@ def candidate_blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataF
     least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     fit = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     likely = both.where(fit & (F.col("c") + F.least("many_a", "many_b") + rest >= least)).select("a", "b")
-    order = Window.partitionBy("shingle").orderBy("n", "rep")
-    chained = shared.where(F.col("sets") > FEW).select(
-        F.col("rep").alias("a"), F.lag("rep").over(order).alias("b"), F.lag("n").over(order).alias("m"), "n"
+    # Chains in two levels: within the sets of one size, dealt over SALTS parts, and along the parts.
+    frequent = shared.where(F.col("sets") > FEW).select(
+        "shingle", "n", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"), "rep"
     )
-    chain = chained.where((F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n")) & F.col("b").isNotNull())
-    edges = likely.union(chain.select("a", "b").distinct())
+    part = ["shingle", "n", "salt"]
+    inside = Window.partitionBy(*part).orderBy("rep")
+    near = frequent.select(F.col("rep").alias("a"), F.lag("rep").over(inside).alias("b"))
+    along = Window.partitionBy("shingle").orderBy("n", "salt")
+    heads = frequent.groupBy(*part).agg(F.min("rep").alias("rep"))
+    far = heads.select(
+        F.col("rep").alias("a"), F.lag("rep").over(along).alias("b"), F.lag("n").over(along).alias("m"), "n"
+    ).where(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
+    chain = near.union(far.select("a", "b")).where("b IS NOT NULL AND a <> b")
+    edges = likely.union(chain.distinct())
     return components(edges, "candidate-blocks").select(
         F.col("node").alias("rep"), F.col("root").alias("block")
     )
