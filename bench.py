@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR names the folder of the tables, BENCH_CPUS the number of local cores. Every query runs
-once to warm up; its figure is the median of the runs after that. Results go to a sink that drops
-them, so the figure holds planning and the whole of the work.
+once to warm up; its figure is the median of the BENCH_RUNS runs after that. Results go to a sink that
+drops them, so the figure holds planning and the whole of the work. Names that end in ``@60x`` run on
+60 copies of the pages, a third of them on one host, where work outweighs planning.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from webspark.plans.catalog import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 HEADLINE = [
     "links_per_site",
     "extract_links",
@@ -30,13 +31,18 @@ HEADLINE = [
     "import_links",
     "import_pages",
     "next_urls",
+    "mark_queued",
     "robots_allowed",
+    "apply_robots",
     "attach_address",
     "address_asof",
     "politeness_plan",
     "run_batches",
     "stream_extract",
+    "stream_frontier",
 ]
+LARGE = ["extract_links@60x", "links_per_site@60x", "robots_allowed@60x", "politeness_plan@60x"]
+COPIES = 60
 
 
 def session() -> SparkSession:
@@ -57,18 +63,37 @@ def session() -> SparkSession:
     return spark
 
 
-def run(spark: SparkSession, name: str) -> float:
+def enlarge(spark: SparkSession, folder: str) -> str:
+    """A folder with the pages copied: other numbers and hosts, every third copy on one host."""
+    host = "if(k % 3 = 0, 'hot.example.org', concat('c', k, '.', regexp_extract(url, '//([^/?#]*)', 1)))"
+    (
+        spark.read.parquet(f"{SF_DIR}/pages.parquet")
+        .crossJoin(spark.range(COPIES).withColumnRenamed("id", "k"))
+        .selectExpr(
+            f"page_id * {COPIES} + k AS page_id",
+            f"regexp_replace(url, '//[^/?#]*', concat('//', {host})) AS url",
+            "html",
+        )
+        .repartition(32)
+        .write.parquet(f"{folder}/pages.parquet")
+    )
+    return folder
+
+
+def run(spark: SparkSession, name: str, large: str) -> float:
+    query, _, copies = name.partition("@")
     start = time.perf_counter()
-    QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    QUERIES[query](spark, large if copies else SF_DIR).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 
 def main() -> None:
     spark = session()
     seconds = {}
-    for name in sys.argv[1:] or HEADLINE:
-        run(spark, name)
-        seconds[name] = round(statistics.median(run(spark, name) for _ in range(RUNS)), 4)
+    large = enlarge(spark, tempfile.mkdtemp(prefix="bench-pages-"))
+    for name in sys.argv[1:] or [*HEADLINE, *LARGE]:
+        run(spark, name, large)
+        seconds[name] = round(statistics.median(run(spark, name, large) for _ in range(RUNS)), 4)
     line = {
         "metric": "total of the median times of the headline queries",
         "value": round(sum(seconds.values()), 4),
