@@ -549,8 +549,9 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_stats(spark: SparkSession, d: str) -> DataFrame:
-    """The last statistics of a request stream. Every trigger writes the addresses that changed; the
-    newest figure of each is the state at the end."""
+    """The statistics of a request stream, summed over its intervals. Every trigger writes the intervals
+    that changed; the newest figure of each is its count at the end. The files come in any order of time,
+    so nothing counts as late."""
     out = fresh_path(spark, "stream-stats")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -560,7 +561,7 @@ def stream_stats(spark: SparkSession, d: str) -> DataFrame:
 
     asked = _page_stream(spark, d).selectExpr(*inputs.REQUEST_COLUMNS)
     run = (
-        streams.stream_stats(asked)
+        streams.stream_stats(asked, "asked_at", late="36500 days")
         .writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", f"{out}/checkpoint")
@@ -568,8 +569,13 @@ def stream_stats(spark: SparkSession, d: str) -> DataFrame:
         .start()
     )
     run.awaitTermination()
-    told = spark.read.schema("address STRING, pending BIGINT, batch INT").parquet(f"{out}/data")
-    return told.groupBy("address").agg(F.max_by("pending", "batch").alias("pending"))
+    told = spark.read.schema("since TIMESTAMP, address STRING, pending BIGINT, batch INT")
+    last = (
+        told.parquet(f"{out}/data")
+        .groupBy("since", "address")
+        .agg(F.max_by("pending", "batch").alias("pending"))
+    )
+    return last.groupBy("address").agg(F.sum("pending").alias("pending"))
 
 
 def stream_address(spark: SparkSession, d: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState
 from webspark.functions.domains import BUILT_IN, SuffixRules
 from webspark.functions.urls import url_hostname
 from webspark.operators.frontier import import_links, import_pages, import_resolutions, mark_queued
-from webspark.operators.hosts import pending_stats
+from webspark.operators.hosts import address_key
 from webspark.operators.links import extract_links
 from webspark.operators.resolution import TTL_SECONDS
 from webspark.sources.frontier_store import FrontierStore
@@ -54,15 +54,28 @@ def stream_dedup(
     )
 
 
-def stream_stats(requests: DataFrame, ip: str = "ip") -> DataFrame:
-    """(address, pending) for update or complete mode."""
-    return pending_stats(requests, ip)
+def stream_stats(
+    requests: DataFrame,
+    event_time: str,
+    ip: str = "ip",
+    every: str = "1 hour",
+    late: str = "10 minutes",
+) -> DataFrame:
+    """(since, address, pending): requests of each address per interval, for update or append mode. State
+    is a count for each address of the intervals that the watermark has not passed. Requests without a
+    time are in no interval."""
+    since = F.window(event_time, every)["start"].alias("since")
+    return (
+        requests.withWatermark(event_time, late)
+        .groupBy(since, address_key(ip).alias("address"))
+        .agg(F.count(F.lit(1)).alias("pending"))
+    )
 
 
-def start_stats(requests: DataFrame, ip: str = "ip") -> DataStreamWriter:
+def start_stats(requests: DataFrame, event_time: str, ip: str = "ip", **options: str) -> DataStreamWriter:
     """:func:`stream_stats` in update mode, every three seconds; add a sink and start it."""
     return (
-        stream_stats(requests, ip)
+        stream_stats(requests, event_time, ip, **options)
         .writeStream.outputMode("update")
         .trigger(processingTime=STATS_INTERVAL)
     )
