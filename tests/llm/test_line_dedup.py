@@ -35,7 +35,7 @@ def brute(rows, least):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_equals_brute_force(spark, texts, seed):
     rng = random.Random(seed)
     bases = ["".join(rng.choices("ab", k=rng.randint(6, 20))) for _ in range(12)]
@@ -52,14 +52,17 @@ def test_equals_brute_force(spark, texts, seed):
     assert got == brute(rows, 6)
 
 
-@pytest.mark.parametrize("n", [32, 33, 63, 64, 65, 127, 128])
-def test_one_edit_at_any_place(spark, texts, n):
-    line = "".join(chr(97 + k * 7 % 26) for k in range(n))
-    rows = [(0, line)]
-    for k in range(n):
-        rows += [(3 * k + 1, line[:k] + "#" + line[k + 1 :]), (3 * k + 2, line[:k] + line[k + 1 :]), (3 * k + 3, line[:k] + "+" + line[k:])]
+def test_one_edit_at_any_place(spark, texts):
+    rows, first = [], {}
+    for n in (32, 33, 63, 64, 65, 127, 128):
+        line = "".join(chr(97 + (k * 7 + n) % 26) for k in range(n))
+        made = [line]
+        for k in range(n):
+            made += [line[:k] + "#" + line[k + 1 :], line[:k] + line[k + 1 :], line[:k] + "+" + line[k:]]
+        first |= {len(rows) + k: len(rows) for k in range(1, len(made))}
+        rows += [(len(rows) + k, t) for k, t in enumerate(made)]
     got = {r["doc_id"]: r["kept_doc_id"] for r in ld.duplicate_lines(texts(*rows), min_chars=31).collect()}
-    assert all(got[i] == 0 for i, _ in rows[1:])
+    assert got == first
 
 
 def test_odd_rows_and_rewriting(spark, texts):
