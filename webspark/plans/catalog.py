@@ -27,6 +27,8 @@ SEED = "seed"
 SPARSE = 1 << 21
 # Files, and so micro-batches, of a stream that is made from derived records.
 STREAM_FILES = 3
+# Files of the pages in a micro-batch.
+BATCH_FILES = 4
 # Number of a page whose time is some 150 years after all others.
 END_OF_TIME = 40_000_000
 
@@ -427,11 +429,11 @@ def frontier_store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The pages, a file each micro-batch."""
+    """The pages, a few files each micro-batch."""
     # The pattern matches a single file as well as a folder of files.
     return (
         spark.readStream.schema(inputs.PAGES_SCHEMA)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", BATCH_FILES)
         .parquet(f"{d}/pages.parquet*")
     )
 
