@@ -29,9 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; ``n_chars`` follows the text."""
-    rest = line_dedup.dedup_lines(docs).where(
-        (F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(r"\S"))
+    """Documents without repeated lines, however short; ``n_chars`` follows the text. A document of which
+    no word is left goes."""
+    rest = line_dedup.dedup_lines(docs, line_dedup.NEAR_CHARS, exact_chars=line_dedup.EXACT_CHARS).where(
+        (F.col("lines_removed") == 0) | F.regexp_like("text", F.lit(r"[A-Za-z0-9]|[^\x00-\x7F]"))
     )
     if "n_chars" in docs.columns:
         changed = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long"))

@@ -81,3 +81,10 @@ def test_odd_rows_and_rewriting(spark, texts):
     assert new[5] == "short\nmine" and new[7] == "" and new[8] == "keep" and new[1] is None and new[4] == rows[3][1]
     assert [r["text"] for r in out.where("doc_id = 9").collect()] == [rows[9][1]] * 2
     assert ld.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines_repeat_exactly(spark, texts):
+    rows = [(1, "All rights reserved.\nyes\n---\nMIT\né"), (2, "all rights reserved\nYES\n---\nyet"), (3, "mit \n é\nx"), (4, None)]
+    got = {tuple(r) for r in ld.duplicate_lines(texts(*rows), ld.NEAR_CHARS, exact_chars=ld.EXACT_CHARS).drop("twin").collect()}
+    assert got == {(2, 0, 1, 0, 1), (2, 1, 1, 1, 0), (3, 0, 1, 3, 0), (3, 1, 1, 4, 0)}
+    assert ld.duplicate_lines(texts(*rows)).count() == 0

@@ -41,3 +41,11 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
     assert Counter(r["doc_id"] for r in at.collect()) == Counter([1, 2, None, None, 3, 4, 5])
     assert cp.STAGES[-1][1](spark, at, sf_dir).count() > 0
     assert cp.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_copies_with_short_lines_leave_nothing(spark, sf_dir):
+    text = "A line of the first document, long enough.\nAll rights reserved.\n---\nEnd"
+    rows = [(1, text), (2, text), (3, text.upper()), (4, "Something else here.\nEnd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in cp.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    assert kept == {1: text, 4: "Something else here."}

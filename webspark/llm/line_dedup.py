@@ -30,8 +30,12 @@ from pyspark.sql import functions as F
 from webspark.llm.tables import sieved, written
 from webspark.llm.words import BYTE_VALUES, LOWER, chunks, inverse, mix, powers, powers_for
 
-# Shorter lines are left alone: short phrases recur by chance.
+# Shorter lines are left alone, unless the caller gives other floors.
 MIN_CHARS = 32
+# Floors for cleaning: exact repeats of every line with a word, and repeats within one edit from so many
+# characters. In the tables (sf0.1) 354 pairs of lines of 4 to 9 characters are within one edit, mostly
+# other words; the 13 pairs of 10 characters or more are mostly one line with another punctuation mark.
+EXACT_CHARS, NEAR_CHARS = 1, 10
 # Parts of a line in the sieves, one after the other.
 PARTS = (4, 32, 128)
 
@@ -47,6 +51,8 @@ def _sizes() -> np.ndarray:
 
 
 SIZES = _sizes()
+# Bytes that make a word of a line.
+WORDLY = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def _part_keys(ranges, first: np.ndarray, chars: np.ndarray, size: np.ndarray, parts: int) -> np.ndarray:
@@ -61,10 +67,13 @@ def _part_keys(ranges, first: np.ndarray, chars: np.ndarray, size: np.ndarray, p
     return np.stack(keys, 1)
 
 
-def scan_lines(texts: pa.Array, min_chars: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+def scan_lines(
+    texts: pa.Array, min_chars: int, parts: int, exact_chars: int | None = None
+) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, line number, hash, second hash, keys, keys per line) of the lines of runs of texts.
 
-    Lines end at a line feed; A-Z are lower-cased, and spaces around a line don't count. All lines of a
+    Lines below ``min_chars``, but not below ``exact_chars``, come without keys if they have a word: an
+    ASCII letter or digit, or anything outside ASCII. Lines end at a line feed; A-Z are lower-cased, and spaces around a line don't count. All lines of a
     run are handled at once: a hash of any part of a text is the difference of two prefix sums.
     """
     for row, _, data, offsets in chunks(texts):
@@ -82,7 +91,11 @@ def scan_lines(texts: pa.Array, min_chars: int, parts: int) -> Iterator[tuple[np
         places = np.append(np.flatnonzero(lead), n)
         before = np.concatenate([[0], np.cumsum(lead)])
         first, chars = before[starts], before[ends] - before[starts]
-        use = chars >= max(min_chars, int(SIZES[0]))
+        floor = max(min_chars, int(SIZES[0]))
+        use = chars >= floor
+        if exact_chars is not None:
+            word = np.concatenate([[0], np.cumsum(WORDLY[data])])
+            use |= (chars >= exact_chars) & (word[ends] > word[starts])
         first, chars, text, number = first[use], chars[use], text[use], number[use]
         power, back = powers_for(n)
         total = np.zeros(n + 1, np.uint64)
@@ -95,19 +108,22 @@ def scan_lines(texts: pa.Array, min_chars: int, parts: int) -> Iterator[tuple[np
         whole = ranges(first, first + chars)
         half = chars // 2
         check = mix(ranges(first, first + half) * _ODD ^ ranges(first + half, first + chars))
-        size = SIZES[np.searchsorted(SIZES, chars, "right") - 1]
-        keys = _part_keys(ranges, first, chars, size, parts)
+        keyed = np.flatnonzero(chars >= floor)
+        first, long = first[keyed], chars[keyed]
+        size = SIZES[np.searchsorted(SIZES, long, "right") - 1]
+        keys = _part_keys(ranges, first, long, size, parts)
         # One character more may take a line to the next size.
-        edge = np.flatnonzero(SIZES[np.searchsorted(SIZES, chars + 1, "right") - 1] != size)
-        more = _part_keys(ranges, first[edge], chars[edge], chars[edge] + 1, parts)
-        many = np.full(len(chars), parts)
-        many[edge] = 2 * parts
+        edge = np.flatnonzero(SIZES[np.searchsorted(SIZES, long + 1, "right") - 1] != size)
+        more = _part_keys(ranges, first[edge], long[edge], long[edge] + 1, parts)
+        many = np.zeros(len(chars), np.int64)
+        many[keyed] = parts
+        many[keyed[edge]] = 2 * parts
         flat = np.concatenate([keys.ravel(), more.ravel()])
-        owner = np.concatenate([np.repeat(np.arange(len(chars)), parts), np.repeat(edge, parts)])
+        owner = np.concatenate([np.repeat(keyed, parts), np.repeat(keyed[edge], parts)])
         yield row + text, number, whole, check, flat[np.argsort(owner, kind="stable")], many
 
 
-def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str, exact_chars: int | None = None) -> DataFrame:
     """``(place, hash, check, keys)`` of every line that counts. Places order by document, then line;
     documents without an id come last, and a hash of the row's text keeps apart rows that share an id."""
     doc, text = F.col(id_column), F.col(text_column)
@@ -115,7 +131,7 @@ def _lines(docs: DataFrame, min_chars: int, id_column: str, text_column: str) ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, whole, check, keys, many in scan_lines(batch.column(2), min_chars, PARTS[0]):
+            for row, number, whole, check, keys, many in scan_lines(batch.column(2), min_chars, PARTS[0], exact_chars):
                 at = pa.array(row)
                 ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -213,7 +229,11 @@ def _variants(lines: DataFrame, of: int) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """``(doc_id, twin, line_no, kept_doc_id, kept_line_no, distance)`` of every line that repeats an
     earlier one.
@@ -222,11 +242,12 @@ def duplicate_lines(
     around them. A line is a repeat when an earlier line (by document id, then place) equals it or is one edit
     away, whether or not that one is a repeat itself; the earliest such line is named, with its
     distance, 0 or 1. Lines of fewer than ``min_chars`` characters are no repeats, nor are lines of a
-    null or empty text. Rows equal in id and text are one document; ``twin``, a hash of the text, tells
+    null or empty text. With ``exact_chars``, lines between the two floors that have a word are repeats of
+    lines that they equal. Rows equal in id and text are one document; ``twin``, a hash of the text, tells
     rows apart that share only the id. Documents without an id come last. An empty table gives an empty
     one; other columns are not read.
     """
-    lines = written(_lines(docs, min_chars, id_column, text_column), "lines")
+    lines = written(_lines(docs, min_chars, id_column, text_column, exact_chars), "lines")
     same = ["hash", "check"]
     distinct = written(
         lines.groupBy(*same).agg(F.min("place").alias("place"), F.count("*").alias("n")), "distinct-lines"
@@ -296,13 +317,17 @@ def duplicate_lines(
 
 
 def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """The documents without the lines that repeat an earlier one (:func:`duplicate_lines`), all columns
     kept, and ``lines_removed``. Lines that stay are joined by line feeds as they were; texts without a
     repeat are untouched, null stays null."""
     gone = (
-        duplicate_lines(docs, min_chars, id_column, text_column)
+        duplicate_lines(docs, min_chars, id_column, text_column, exact_chars)
         .groupBy(F.col("doc_id").alias("ws_doc"), F.col("twin").alias("ws_twin"))
         .agg(F.collect_set("line_no").alias("ws_gone"))
     )
