@@ -54,3 +54,16 @@ def test_equal_rows_count_once(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert quality.line_frequency(docs).where("boilerplate_lines > 0").count() == 0
     assert quality.line_frequency(docs.limit(0)).count() == 0
+
+
+def test_a_large_host_protects_no_line(spark):
+    # 60,000 documents: half a percent of them are 300.
+    docs = spark.range(60000).selectExpr(
+        "id AS doc_id", "'big' AS source",
+        "concat('document ', sha1(cast(id AS string)), ' says a thing of its own in more than ten words', if(id < 250, '\\nread more about us', '')) AS text",
+    )
+    out = quality.line_frequency(docs)
+    assert out.where("boilerplate_lines = 1 AND clean_text NOT LIKE '%read more%'").count() == 250
+    assert out.where("boilerplate_lines = 0").count() == 60000 - 250
+    bounded = quality.line_frequency(docs, share_docs=250)
+    assert bounded.where("boilerplate_lines > 0").count() == 0

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A line is boilerplate when more documents of its host than both limits hold it.
+# A line is boilerplate when more documents of its host than both limits hold it. The share counts up to
+# SHARE_DOCS documents only: a line in more is boilerplate, however many documents the host has.
 MAX_DOCS = 20
 MAX_SHARE = 0.005
+SHARE_DOCS = MAX_DOCS
 # A document is depleted when less than this part of its words is left.
 LEAST_LEFT = 0.5
 # Fixed values of the plain figures.
@@ -122,14 +124,15 @@ def line_frequency(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_text: bool = True,
+    share_docs: int = SHARE_DOCS,
 ) -> DataFrame:
     """The documents with their figures and verdict, and their text without boilerplate lines.
 
     Added are the :func:`base_figures`, ``base_failed``, ``boilerplate_lines``, ``words_left``,
     ``clean_text`` (if ``with_text``) and ``kept``; columns of the input with these names are replaced.
     ``base_failed``: fewer than 10 words, or more than 20 % of them in repeated windows. A line goes
-    when more than ``max_docs`` documents of its host, and more than ``max_share`` of them, hold it
-    (:func:`normalised`). ``kept`` is false for failed documents and for those with less than
+    when more than ``max_docs`` documents of its host, and more than ``max_share`` of them or more than
+    ``share_docs``, hold it (:func:`normalised`); so a host's size protects no line above ``share_docs``. ``kept`` is false for failed documents and for those with less than
     ``least_left`` of their words left.
 
     A null host is a host; a null or empty text has no lines, no words, and fails. Documents are told
@@ -148,13 +151,11 @@ def line_frequency(
         .agg(F.count("*").alias("ws_total"))
     )
     same_host = F.col("c.ws_host").eqNullSafe(F.col("s.ws_host"))
-    frequent = (
-        counts.where(F.col("ws_docs") > max_docs)
-        .alias("c")
-        .join(sizes.alias("s"), same_host)
-        .where(F.col("ws_docs") > F.lit(max_share) * F.col("ws_total"))
-        .select("c.hash", F.col("c.ws_host").alias("ws_of"))
-    )
+    frequent = counts.where(F.col("ws_docs") > max_docs).alias("c")
+    if share_docs > max_docs:
+        share = F.col("ws_docs") > F.lit(max_share) * F.col("ws_total")
+        frequent = frequent.join(sizes.alias("s"), same_host).where(share | (F.col("ws_docs") > share_docs))
+    frequent = frequent.select("c.hash", F.col("c.ws_host").alias("ws_of"))
     # One line may be a third of a host's lines: a plain join, which Spark can split.
     met = lines.join(frequent, ["hash"]).where(F.col("ws_host").eqNullSafe(F.col("ws_of")))
     removed = met.groupBy(*[F.col(c).alias(f"{c}_r") for c in document]).agg(
