@@ -72,3 +72,15 @@ def docs_score():
     from pyspark.sql import functions as F
 
     return F.lit("an older score")
+
+
+@pytest.mark.parametrize(
+    ("text", "folded"),
+    [
+        ("whor3", "whore"), ("a$$", "ass"), ("@$$hole", "asshole"), ('"$tupid" (5tupid) [@ss]', '"stupid" (stupid) [ass]'),
+        ("id1o7", "idiot"), ("m0r0n5.", "morons."), ("455hole", "asshole"), ("12 3rd4 $100 us$ no! 10 km 404", "12 erda $100 us$ no! 10 km 404"),
+        ("15th 30km a1 b2b", "15th 30km a1 b2b"),
+    ],
+)
+def test_fold_at_the_ends_of_words(text, folded):
+    assert tx.fold(text) == folded

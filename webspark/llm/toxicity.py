@@ -46,9 +46,15 @@ _WORD = re.compile(r"\S+")
 _FOLD = {ord(a): b for a, b in LOOK_ALIKES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _ANY_SIGN = re.compile(r"[013457@$!]")
-# Signs within a word, or at its start before two letters (with signs between them or not).
+# Signs within a word; at its start before two letters (with signs between them or not), a run of digits
+# before three; at its end, after two letters (so too) or as a run of signs after one. A word starts after
+# white space, a quote or a bracket. A single $ at the end may be a currency, and ! a mark.
 _SIGN = re.compile(
-    r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|(?<![^\s])[013457@$](?=[^\W\d_][013457@$!]*[^\W\d_])"
+    r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])"
+    r"|(?<![^\s\"'`(\[{<*_~«»„“”‘’¿¡])(?:[013457@$]|[013457]*[@$][013457@$]*|[013457]+(?=[^\W\d_]{3}))"
+    r"(?=[^\W\d_][013457@$!]*[^\W\d_])"
+    r"|(?:(?<=[^\W\d_]{2})|(?<=[^\W\d_][013457@$!][^\W\d_]))[013457@$]*[013457@](?![\w@$])"
+    r"|(?<=[^\W\d_])[@$]{2,}(?![\w@$])"
 )
 
 
