@@ -69,3 +69,23 @@ def test_surrogates_stay_apart_in_a_full_space(spark):
     made = sg.surrogates(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
     assert len(made) == len(rows) and len({(r["kind"], r["surrogate"]) for r in made}) == len(rows)
     assert not {(r["kind"], r["surrogate"]) for r in made} & set(rows)
+
+
+def test_layouts_names_and_untitled_mentions(spark, texts):
+    phones = ["+44 20 7946 0958", "555 123 4567", "+1 555 123 4567", "+49 30 12345678", "+33 1 23 45 67 89", "030/1234567", "5551234567", "020 7946 0958", "01 23 45 67 89"]
+    plain = "On 2024-10-12, 12.10.2024 at 1700000000: 1 000 000 of 10/2024, 3.14159265, 1234567 and 192.168.100 stay."
+    rows = [(k, f"Call {p}, please.") for k, p in enumerate(phones)]
+    rows += [(20, plain), (21, "Mr John Ronald Tolkien and Mr. J. Smith came. Smith said: Tolkien's book, SMITH! a smith, Smithson. Herr Ludwig van Beethoven"), (22, "Smith alone")]
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in sg.replace_private(texts(*rows), "k").collect()}
+    digits = {}
+    for k, p in enumerate(phones):
+        text, n = got[k]
+        assert n == 1 and text != rows[k][1] and re.sub(r"\d", "#", text) == re.sub(r"\d", "#", rows[k][1])
+        digits[p] = re.sub(r"\D", "", text)
+    assert digits["+44 20 7946 0958"][2:] == digits["020 7946 0958"][1:] and digits["+33 1 23 45 67 89"][2:] == digits["01 23 45 67 89"][1:]
+    assert digits["555 123 4567"] == digits["5551234567"] == digits["+1 555 123 4567"][1:]
+    assert got[20] == (plain, 0) and got[22] == ("Smith alone", 0)
+    text, n = got[21]
+    found = re.match(r"Mr (\w+) (\w+) (\w+) and Mr\. ([A-Z])\. (\w+) came\. (\w+) said: (\w+)'s book, (\w+)! a smith, Smithson\. Herr (\w+) (\w+)$", text).groups()
+    assert found[4] == found[5] and found[7] == found[4].upper() and found[6] == found[2] and n == 6
+    assert not {"John", "Ronald", "Tolkien", "Smith", "SMITH", "Ludwig", "Beethoven"} & set(found)

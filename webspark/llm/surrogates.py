@@ -17,14 +17,23 @@ from webspark.llm.tables import written
 
 # Patterns of entities. None begins within a word, and all have bounded parts, so that a
 # long run of letters costs no more than its length.
+_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
+_INITIAL = r"\p{Lu}\."
+PARTICLES = "van|von|vom|zu|zur|der|den|ter|de|del|della|di|da|dos|du|la|le|al|bin|y"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+@-])[\p{L}\p{N}_.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "secret": r"(?<![\w])[0-9A-Fa-f]{32,128}(?![\w])",
-    "phone": r"(?<![\w+.-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]?\d{4}|\+\d{10,14})(?![\w-])",
+    # Joined after a plus; groups after a country code, eight digits at least; groups as in (555) 123-4567;
+    # groups and joined digits after a leading 0; ten joined digits, but no times since 1970.
+    "phone": r"(?<![\w+.-])(?:\+\d{8,15}"
+    r"|(?:\+|00)(?=(?:[ ()./-]{0,2}\d){8})\d{1,3}[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d{1,12}(?:[ ./-]\d{2,8}){0,5}"
+    r"|(?:1[ .-])?(?:(?:\(\d{2,4}\)[ ./-]?|\d{3}[./-])\d{3,4}[ ./-]?\d{4}|\d{3}[ ]\d{3,4}[ ./-]\d{4})"
+    r"|0\d{1,4}[/ -]\d{6,8}|0\d{1,4}[ ./-]\d{3,4}[ ./-]\d{3,5}|0\d(?:[ .-]\d{2}){4}"
+    r"|[2-9]\d{9}|0\d{9,10})(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-])",
     "name": r"(?<=\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra?|г-н|г-жа)\.?[ ])"
-    r"\p{Lu}[\p{L}'’-]{1,40}(?:[ ]\p{Lu}[\p{L}'’-]{1,40})?",
+    rf"(?:(?:{_WORD}|{_INITIAL})[ ]){{0,3}}(?:(?:{PARTICLES})[ ]){{0,2}}{_WORD}",
 }
 FEMALE_TITLES = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа)\.?[ ]$"
 
@@ -40,6 +49,9 @@ NAMES = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # A text without any of this has no entity; the cheap test for most texts.
 HINT = r"[@0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|г-н|г-жа)\b|[A-Fa-f]{32}"
+# A text cut between words, with their apostrophes and hyphens, and what is none; a possessive ending.
+WORD_EDGE = r"(?<![\p{L}'’-])(?=\p{L})|(?<=[\p{L}'’-])(?![\p{L}'’-])"
+POSSESSIVE = r"(['’]s?|-+)$"
 # Draws after which an entity gets a longer surrogate: its own space is too full.
 SAME_LENGTH_DRAWS = 6
 
@@ -65,8 +77,8 @@ def mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     ``entity`` is what mentions in different writing share: e-mail addresses, secrets and names without
     case, numbers as their digits (of a phone number the last ten, so that it may stand with or without a
-    country code). A name of two words is two entities, a given name with the gender of
-    the title before it and a surname; so a surname alone meets the full name.
+    country code, or with a 0 before it). The words of a name are entities of their own, given names with the
+    gender of the title before them and a surname with its particles; so a surname alone meets the full name.
     """
     text = F.col(text_column)
     found = docs.where(F.regexp_like(text, F.lit(HINT))).select(
@@ -84,15 +96,17 @@ def mentions(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     )
     kind = named.withColumn("kind", _kind("mention"))
     # The words of a name are entities of their own; everything else is one part.
-    parts = F.when(F.col("kind") == "name", F.split("mention", " ")).otherwise(F.array("mention"))
+    parts = F.when(F.col("kind") == "name", F.split("mention", rf"(?<!\b(?:{PARTICLES}))[ ]")).otherwise(F.array("mention"))
     gender = F.when(F.regexp_like("before", F.lit(FEMALE_TITLES)), "female").otherwise("male")
     split = kind.select("doc_id", "twin", "at", "kind", gender.alias("gender"), F.size(parts).alias("of"), F.posexplode(parts).alias("part", "mention"))
     sub = F.when(F.col("kind") != "name", F.col("kind")).when(
-        (F.col("part") == 0) & (F.col("of") == 2), F.col("gender")
+        F.col("part") < F.col("of") - 1, F.col("gender")
     ).otherwise("surname")
+    national = F.regexp_replace("mention", r"^(?:\+|00)\d{1,3}(?=[ ./(-])", "")
     return split.select(
         "doc_id", "twin", "at", "part", "mention", sub.alias("kind"),
-        F.when(F.col("kind") == "phone", F.expr("right(regexp_replace(mention, '[^0-9]', ''), 10)"))
+        F.when(F.col("kind") == "phone", F.right(F.regexp_replace(F.regexp_replace(national, "[^0-9]", ""), "^0", ""), F.lit(10)))
+        .when(F.col("kind") == "name", F.lower(F.regexp_extract("mention", r"([^ .]+)\.?$", 1)))
         .when(F.col("kind") == "card", F.regexp_replace("mention", "[^0-9]", ""))
         .otherwise(F.lower("mention")).alias("entity"),
     )
@@ -230,14 +244,31 @@ def _as_written(mention: Column, kind: Column, surrogate: Column) -> Column:
     )
     rest = F.substring(number, F.length(before) + 1, F.lit(64))
     upper = (F.upper(mention) == mention) & (F.lower(mention) != mention)
-    title = F.regexp_like(mention, F.lit(r"^\p{Lu}"))
+    title = F.regexp_like(mention, F.lit(r"^\p{Lu}| \p{Lu}"))
+    initial = F.when(F.regexp_like(mention, F.lit(r"^\p{Lu}\.$")), F.concat(F.upper(F.substring(surrogate, 1, 1)), F.lit(".")))
     cased = F.when(upper & (F.length(mention) > 1), F.upper(surrogate)).when(title & kind.isin("male", "female", "surname"), F.initcap(surrogate))
-    return F.when(kind.isin("phone", "card"), F.concat(filled, rest)).otherwise(F.coalesce(cased, surrogate))
+    return F.when(kind.isin("phone", "card"), F.concat(filled, rest)).otherwise(F.coalesce(initial, cased, surrogate))
+
+
+def _named(gap: Column, names: Column) -> Column:
+    """``(text, known)`` of the words of a text and of what is between them, names of ``names(name, text)``
+    replaced. A name begins with a capital; its possessive ending stays."""
+
+    def word(token: Column) -> Column:
+        bare = F.regexp_replace(token, POSSESSIVE, "")
+        found = F.get(F.filter(names, lambda n: n["name"] == F.lower(bare)), F.lit(0))["text"]
+        found = F.when(F.regexp_like(token, F.lit(r"^\p{Lu}")), found)
+        cased = F.when((F.upper(bare) == bare) & (F.length(bare) > 1), F.upper(found)).otherwise(F.initcap(found))
+        ending = F.substring(token, F.length(bare) + 1, F.lit(8))
+        return F.struct(F.coalesce(F.concat(cased, ending), token).alias("text"), found.isNotNull().alias("known"))
+
+    return F.transform(F.split(gap, WORD_EDGE), word)
 
 
 def replace_private(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with surrogates in place of e-mail addresses, phone and card numbers, IP addresses,
-    secrets and titled names, all columns kept, and ``n_replaced``, the number of mentions.
+    secrets and names after a title, all columns kept, and ``n_replaced``, the number of mentions. In a
+    document with such a name its words are replaced without a title as well.
 
     The same entity has the same surrogate in all documents, different ones have different surrogates.
     Formats stay: punctuation, length, case, the country code of a phone number, a card's first digit and
@@ -252,20 +283,31 @@ def replace_private(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     placed = found.join(made, ["kind", "entity"]).select(
         F.col("doc_id").alias("ws_doc"), F.col("twin").alias("ws_twin"), "at", "part",
         _as_written(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("text"),
+        F.when(F.col("kind").isin("male", "female", "surname") & (F.length("entity") > 1), F.struct(F.col("entity").alias("name"), F.col("surrogate").alias("text"))).alias("name"),
     )
     # Equal rows of the input found their mentions more than once.
-    whole = placed.groupBy("ws_doc", "ws_twin", "at").agg(F.array_sort(F.collect_set(F.struct("part", "text"))).alias("parts"))
+    whole = placed.groupBy("ws_doc", "ws_twin", "at").agg(
+        F.array_sort(F.collect_set(F.struct("part", "text"))).alias("parts"), F.collect_set("name").alias("names")
+    )
     spoken = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    words = whole.groupBy("ws_doc", "ws_twin").agg(F.array_sort(F.collect_list(F.struct("at", spoken.alias("text")))).alias("ws_words"))
+    words = whole.groupBy("ws_doc", "ws_twin").agg(
+        F.array_sort(F.collect_list(F.struct("at", spoken.alias("text")))).alias("ws_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("ws_names"),
+    )
     text = F.col(text_column)
     meets = F.col(id_column).eqNullSafe(F.col("ws_doc")) & (F.xxhash64(text) == F.col("ws_twin"))
     gaps = F.split(text, ANY, -1)
+    # Only documents with names are read word by word.
+    told = F.when(F.size("ws_names") > 0, F.transform(gaps, lambda g: _named(g, F.col("ws_names"))))
+    joined = docs.join(words, meets, "left").withColumn("ws_told", told)
+    said = F.coalesce(F.transform("ws_told", lambda ws: F.array_join(F.transform(ws, lambda w: w["text"]), "")), gaps)
+    untitled = F.coalesce(F.size(F.filter(F.flatten("ws_told"), lambda w: w["known"])), F.lit(0))
     # Every mention has its words, so the k-th of them stand after the k-th gap.
     filled = F.array_join(
-        F.transform(gaps, lambda gap, k: F.concat(gap, F.coalesce(F.get("ws_words", k)["text"], F.lit("")))), ""
+        F.transform(said, lambda gap, k: F.concat(gap, F.coalesce(F.get("ws_words", k)["text"], F.lit("")))), ""
     )
     names = [c for c in docs.columns if c != "n_replaced"]
-    return docs.join(words, meets, "left").select(
+    return joined.select(
         *[F.when(F.col("ws_words").isNull(), text).otherwise(filled).alias(c) if c == text_column else F.col(f"`{c}`") for c in names],
-        F.when(F.col("ws_words").isNull(), 0).otherwise(F.size(gaps) - 1).alias("n_replaced"),
+        F.when(F.col("ws_words").isNull(), 0).otherwise(F.size(gaps) - 1 + F.greatest(untitled, F.lit(0))).alias("n_replaced"),
     )
