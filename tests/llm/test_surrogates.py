@@ -89,3 +89,9 @@ def test_layouts_names_and_untitled_mentions(spark, texts):
     found = re.match(r"Mr (\w+) (\w+) (\w+) and Mr\. ([A-Z])\. (\w+) came\. (\w+) said: (\w+)'s book, (\w+)! a smith, Smithson\. Herr (\w+) (\w+)$", text).groups()
     assert found[4] == found[5] and found[7] == found[4].upper() and found[6] == found[2] and n == 6
     assert not {"John", "Ronald", "Tolkien", "Smith", "SMITH", "Ludwig", "Beethoven"} & set(found)
+
+
+def test_addresses_grow_too(spark):
+    left = spark.range(5000).selectExpr("'ip' AS kind", "concat('1.2.', id div 200, '.', id % 200) AS entity")
+    made = [r["surrogate"] for r in sg._draw(left, "k", sg.SAME_LENGTH_DRAWS).collect()]
+    assert len(set(made)) == 5000 and all(re.fullmatch(r"fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", m) for m in made)

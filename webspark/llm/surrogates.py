@@ -186,6 +186,9 @@ def _draw(entities: DataFrame, key: str, draw: int) -> DataFrame:
     at = F.instr(entity, "@")
     local = F.expr("substring(ws_shape, 1, instr(entity, '@') - 1)")
     tld = F.regexp_extract(entity, r"(\.[^.]*)$", 1)
+    # Of addresses beyond the first draws: 120 bits of the unique local range of IPv6.
+    groups = [F.substring(stream, F.lit(4 * k + 3), F.lit(4)) for k in range(7)]
+    local_v6 = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(stream, F.lit(1), F.lit(2))), *groups)
     octets = [F.pmod(_digit(stream, F.lit(k)), F.lit(254)).cast("string") for k in (3, 4, 5)]
     hexes = F.concat(stream, F.reverse(stream))
     drawn = entities.withColumn("ws_stream", _stream(key, kind, entity, F.lit(draw))).withColumn(
@@ -193,7 +196,7 @@ def _draw(entities: DataFrame, key: str, draw: int) -> DataFrame:
     )
     made = (
         F.when(kind == "email", F.concat(local, extra, F.lit("@example"), tld))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *octets))
+        .when(kind == "ip", local_v6 if draw >= SAME_LENGTH_DRAWS else F.concat_ws(".", F.lit("10"), *octets))
         .when(kind == "secret", F.substring(hexes, F.lit(1), F.length(entity)))
         .when(kind == "card", F.concat(_card(entity, stream), extra))
         .when(kind == "phone", F.concat(F.col("ws_shape"), extra))
@@ -206,8 +209,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``(kind, entity, surrogate)`` for distinct ``(kind, entity)``; one to one, and never an entity.
 
     Draw after draw: of the entities that draw the same surrogate the smallest has it, unless an earlier
-    one or the corpus has it; the others draw again. From the draw SAME_LENGTH_DRAWS on, surrogates grow,
-    so an end is certain. The driver sees the number of those left.
+    one or the corpus has it; the others draw again. From the draw SAME_LENGTH_DRAWS on, surrogates grow
+    (an IP address becomes a unique local one of IPv6), so an end is certain. The driver sees the number of those left.
     """
     entities = written(entities.select("kind", "entity").distinct(), "entities")
     done, left, draw = [], entities, 0
