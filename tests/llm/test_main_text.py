@@ -47,3 +47,23 @@ def test_odd_rows(spark):
     got = sorted((str(r["page_id"]), r["text"]) for r in out.collect())
     assert got == [("1", ""), ("2", ""), ("3", ""), ("4", ""), ("4", ""), ("None", LONG)]
     assert mt.extract(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Il giornale pubblica ogni mattina notizie dalla città, racconti dei lettori e fotografie degli avvenimenti più importanti della settimana. Chi desidera scrivere alla redazione trova gli indirizzi nell'ultima pagina.",
+        "Каждое утро газета публикует новости города, рассказы читателей и фотографии самых важных событий недели. Адреса редакции можно найти на последней странице, письма читателей печатаются каждую субботу без изменений.",
+        "Gazeta publikuje każdego ranka wiadomości z miasta, opowiadania czytelników oraz fotografie najważniejszych wydarzeń tygodnia. Adresy redakcji znajdują się na ostatniej stronie, listy drukujemy w każdą sobotę bez zmian.",
+        "这份报纸每天早上刊登城市新闻、读者的故事以及一周最重要事件的照片。编辑部的地址可以在最后一页找到，读者来信每个星期六都会原样刊登，欢迎大家踊跃投稿，来信请写明姓名和联系方式，谢谢各位读者的支持。",
+    ],
+)
+def test_languages_without_stop_words(text):
+    page = f"<nav><p>{text}</p></nav><div><p>{text}</p><p>{text[:30]}</p><p>{text}</p></div><div><a href=/>{text[:90]}</a></div><footer>{text}</footer>"
+    assert mt.main_text(page) == f"{text}\n{text[:30]}\n{text}"
+    assert mt.main_text(f"<div><p>{LONG} {LONG}</p><p>{text}</p></div>").count("\n") == (1 if mt._other_script(text) else 0)
+
+
+def test_keywords_of_a_known_language_stay_out():
+    words = "shoes jackets hats " * 12
+    assert mt.main_text(f"<div><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p></div><div>{words}</div>") == f"{LONG} {LONG}\n{LONG} {LONG}"

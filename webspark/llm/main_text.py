@@ -3,7 +3,8 @@
 A page is cut into blocks: runs of text between block-level elements. Pass one decides blocks by what
 they stand in (a menu, a footer, an advert), by length, density of links and density of stop words;
 short blocks, and blocks between the limits, stay open. In pass two an open block takes the label of
-its nearest decided neighbours.
+its nearest decided neighbours. Stop words say nothing where a page's text is in none of the languages with a list, or a
+block in another script; there length and density of links decide.
 """
 
 from __future__ import annotations
@@ -22,23 +23,37 @@ SHORT = 70
 LONG = 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
 LINK_DENSITY = 0.5
+# A page is in a known language when this part of the words of its longer blocks is in one list.
+KNOWN = 0.2
+# A character of these scripts says about as much as so many letters.
+DENSE = 3
 
 # Frequent function words of the languages.
-STOP_WORDS = frozenset(
-    """
-    a about after all also an and any are as at be because been but by can could did do for from had has
-    have he her his how i if in into is it its more most no not of on one only or other our out over she
-    so some such than that the their them then there these they this to up was we were what when which
-    who will with would you your
-    aber als am an auch auf aus bei bis da das dass dem den der des die durch ein eine einem einen einer
-    es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so über um und unter von vor war
-    was wenn wie wird wir zu zum zur
-    au aux avec ce ces cette comme dans de des du elle en est et été être il ils je la le les leur lui
-    mais ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tout un une vous
-    al como con cuando de del el ella en entre era es esta este esto están hay la las lo los me mi muy
-    más ni no nos o para pero por que qué se ser si sin sobre son su sus también tiene todo un una y ya
-    """.split()
+STOP_LISTS = tuple(
+    frozenset(words.split())
+    for words in (
+        """
+        a about after all also an and any are as at be because been but by can could did do for from had has
+        have he her his how i if in into is it its more most no not of on one only or other our out over she
+        so some such than that the their them then there these they this to up was we were what when which
+        who will with would you your
+        """,
+        """
+        aber als am an auch auf aus bei bis da das dass dem den der des die durch ein eine einem einen einer
+        es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so über um und unter von vor war
+        was wenn wie wird wir zu zum zur
+        """,
+        """
+        au aux avec ce ces cette comme dans de des du elle en est et été être il ils je la le les leur lui
+        mais ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tout un une vous
+        """,
+        """
+        al como con cuando de del el ella en entre era es esta este esto están hay la las lo los me mi muy
+        más ni no nos o para pero por que qué se ser si sin sobre son su sus también tiene todo un una y ya
+        """,
+    )
 )
+STOP_WORDS = frozenset().union(*STOP_LISTS)
 # Elements whose text is never shown or never part of an article.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "select", "button", "canvas", "audio", "video")
 APART = ("nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset")
@@ -64,6 +79,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+_LETTER = re.compile(r"[^\W\d_]")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -155,25 +172,56 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _words(text: str) -> list[str]:
+    return [w.strip(".,;:!?()\"'") for w in text.lower().split()]
+
+
 def stop_density(text: str) -> float:
-    words = text.lower().split()
-    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words) if words else 0.0
+    words = _words(text)
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def extent(text: str) -> int:
+    """Characters, those of dense scripts counted as :data:`DENSE`."""
+    return len(text) if text.isascii() else len(text) + (DENSE - 1) * len(_DENSE.findall(text))
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether the longer blocks outside the article, without those beside it and lists of links, are in a
+    language with a list of stop words; only they are judged by stop words."""
+    judged = [
+        b.text for b in found
+        if not (b.apart or b.main) and extent(b.text) >= SHORT and b.linked <= LINK_DENSITY * len(b.text)
+    ]
+    words = _words(" ".join(judged))
+    return any(sum(w in known for w in words) >= KNOWN * len(words) for known in STOP_LISTS)
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are beyond the Latin ones."""
+    if text.isascii():
+        return False
+    letters = _LETTER.findall(text)
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
 
 
 GOOD, BAD, SHORT_OPEN, NEAR_GOOD = "good", "bad", "short", "near"
 
 
-def first_pass(block: Block) -> str:
-    """Label of a block by itself."""
+def first_pass(block: Block, known: bool = True) -> str:
+    """Label of a block by itself; ``known`` tells whether the page is in a language with stop words."""
     if block.apart or "\N{COPYRIGHT SIGN}" in block.text[:20]:
         return BAD
     density = block.linked / len(block.text)
     if density > LINK_DENSITY:
         return BAD
-    if len(block.text) < SHORT:
+    size = extent(block.text)
+    if size < SHORT:
         return BAD if block.linked and not block.main else SHORT_OPEN
     if block.main:
         return GOOD
+    if not known or _other_script(block.text):
+        return GOOD if size > LONG else NEAR_GOOD
     stop = stop_density(block.text)
     if stop >= STOP_HIGH:
         return GOOD if len(block.text) > LONG else NEAR_GOOD
@@ -211,7 +259,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 def main_text(html: str | None) -> str:
     """The text blocks of a page, one per line; empty for null."""
     found = blocks(html or "")
-    keep = second_pass(found, [first_pass(b) for b in found])
+    known = known_language(found)
+    keep = second_pass(found, [first_pass(b, known) for b in found])
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
