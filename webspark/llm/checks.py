@@ -6,6 +6,7 @@ from __future__ import annotations
 from string import ascii_lowercase, ascii_uppercase
 
 from webspark.llm import line_dedup, quality, revisits
+from webspark.llm.merkle_check import merkle_sql
 from webspark.plans.checks import _url_steps
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -109,4 +110,5 @@ CHECKS: dict[str, str] = {
     "op4_snapshots": _SNAPSHOTS,
     "op5_revisits": _REVISITS,
     "op10_line_dedup": _LINE_DEDUP,
+    "op11_merkle": merkle_sql(),
 }

@@ -11,6 +11,7 @@ from webspark.llm import (
     decontamination,
     line_dedup,
     main_text,
+    merkle,
     ngram_join,
     packing,
     quality,
@@ -133,6 +134,21 @@ def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.duplicate_lines(_table(spark, d, "documents")).drop("twin")
 
 
+def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    fields = ("source", "lang", "n_chars")
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select(
+        F.col("source").alias("tree"),
+        F.col("doc_id").alias("key"),
+        merkle.row_digest("doc_id", *fields, "text").alias("digest"),
+        F.when(tampered, merkle.row_digest("doc_id", *fields, lowered)).alias("folded"),
+    )
+    made = merkle.proofs(merkle.build(leaves), with_witness=False)
+    return made.withColumnRenamed("key", "doc_id").drop("tree")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: with_package(f)
     for f in (
@@ -146,5 +162,6 @@ QUERIES: dict[str, Query] = {
         op8_best_fit_packing,
         op9_ngram_join,
         op10_line_dedup,
+        op11_merkle,
     )
 }
