@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from webspark.llm import line_dedup, quality, revisits
+from webspark.llm import collocations, line_dedup, quality, revisits
 from webspark.llm.merkle_check import merkle_sql
 from webspark.plans.checks import _url_steps
 
@@ -105,10 +105,37 @@ SELECT doc_id, no::INT AS line_no, kept.d AS kept_doc_id, kept.l::INT AS kept_li
 FROM k WHERE kept < {{'d': doc_id, 'l': no}}
 """
 
+_COLLOCATIONS = rf"""
+WITH w AS MATERIALIZED (SELECT lang, piece, i, word, lead(word) OVER p AS b, lead(word, 2) OVER p AS c FROM (
+    SELECT lang, piece, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (
+      SELECT lang, row_number() OVER () AS piece, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+          unnest(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents))) WINDOW p AS (PARTITION BY piece ORDER BY i)),
+t AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f1 AS (SELECT lang, word AS p, count(*) AS f FROM w GROUP BY ALL),
+f2 AS (SELECT lang, word, b, count(*) AS f FROM w WHERE b IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, word, b, c, count(*) AS f FROM w WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+s AS (SELECT x.lang, x.word || ' ' || x.b AS phrase, x.f AS a, l.f AS l, r.f AS r, 1 AS k
+    FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.p = x.word JOIN f1 r ON r.lang = x.lang AND r.p = x.b
+    WHERE x.f >= {collocations.LEAST} AND NOT EXISTS (SELECT 1 FROM f3 y WHERE y.lang = x.lang
+      AND ((y.word = x.word AND y.b = x.b) OR (y.b = x.word AND y.c = x.b)) AND 100 * y.f >= {collocations.WITHIN_PERCENT} * x.f)
+  UNION ALL SELECT x.lang, x.word || ' ' || x.b || ' ' || x.c, x.f, l.f, r.f, 1
+    FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.p = x.word JOIN f2 r ON r.lang = x.lang AND r.word = x.b AND r.b = x.c
+  UNION ALL SELECT x.lang, x.word || ' ' || x.b || ' ' || x.c, x.f, l.f, r.f, 2
+    FROM f3 x JOIN f2 l ON l.lang = x.lang AND l.word = x.word AND l.b = x.b JOIN f1 r ON r.lang = x.lang AND r.p = x.c),
+v AS (SELECT *, ({collocations.SCALE}::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM s),
+o AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o JOIN t USING (lang))
+WHERE rank <= {collocations.TOP}
+"""
+
 CHECKS: dict[str, str] = {
     "op1_line_frequency": _LINE_FREQUENCY,
     "op4_snapshots": _SNAPSHOTS,
     "op5_revisits": _REVISITS,
     "op10_line_dedup": _LINE_DEDUP,
     "op11_merkle": merkle_sql(),
+    "op12_collocations": _COLLOCATIONS,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webspark.llm import (
+    collocations,
     decontamination,
     line_dedup,
     main_text,
@@ -149,6 +150,11 @@ def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumnRenamed("key", "doc_id").drop("tree")
 
 
+def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
+    best = collocations.top(collocations.collocations(_table(spark, d, "documents")))
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: with_package(f)
     for f in (
@@ -163,5 +169,6 @@ QUERIES: dict[str, Query] = {
         op9_ngram_join,
         op10_line_dedup,
         op11_merkle,
+        op12_collocations,
     )
 }
