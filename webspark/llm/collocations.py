@@ -38,9 +38,9 @@ TOP = 2000
 WITHIN_PERCENT = 50
 SCALE = 1_000_000
 # Suffixes of a group of prefixes: the memory of a subtree.
-GROUP_SUFFIXES = 1 << 20
+GROUP_SUFFIXES = 1 << 18
 # Suffixes that a task gathers before it counts equal ones.
-GATHER = 1 << 21
+GATHER = 1 << 19
 # Parts of the space of first words that groups are made of; bounds what the driver sees.
 BUCKET_BITS = 16
 # A sieve has 16 bits a key up to this bound; more keys only let more suffixes through.
@@ -93,8 +93,8 @@ def _word_ids(batch: pa.RecordBatch, seed: int) -> Iterator[tuple]:
             row = np.searchsorted(offsets, starts, "right") - 1
             lang = codes[first:last][row]
             ids = mix(mix(ids) ^ keys[lang])
-            pieces = np.zeros(len(low) + 1, np.int64)
-            np.cumsum(kind == _END, out=pieces[1:])
+            pieces = np.zeros(len(low) + 1, np.int32)
+            np.cumsum(kind == _END, out=pieces[1:], dtype=np.int32)
             follows = np.zeros(len(ids), bool)
             follows[:-1] = (pieces[ends[:-1]] == pieces[starts[1:]]) & (row[:-1] == row[1:])
             yield ids, follows, starts, ends, low, lang, names
@@ -269,8 +269,9 @@ def _groups(nodes: DataFrame, budget: int) -> _Groups:
 def _suffixes(depth: int, seed: int, sieves, groups) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Suffixes of ``depth`` words whose nodes may be frequent one level up, counted per task."""
 
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
         # Equal keys nearly always mean equal paths; if not, a path only has more than one row.
         order = np.argsort(columns[-1], kind="stable")
         at = _segments(columns[:-1], order)
@@ -278,7 +279,9 @@ def _suffixes(depth: int, seed: int, sieves, groups) -> Callable[[Iterator[pa.Re
         columns = [c[order[at]] for c in columns]
         group = groups.value.of(columns[0], columns[-1])
         arrays = [pa.array(group), *map(_signed, columns[:-1]), pa.array(counts.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, ["g", *_names(depth), "f"])
+        batch = pa.RecordBatch.from_arrays(arrays, ["g", *_names(depth), "f"])
+        for k in range(0, batch.num_rows, 1 << 16):
+            yield batch.slice(k, 1 << 16)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -299,10 +302,10 @@ def _suffixes(depth: int, seed: int, sieves, groups) -> Callable[[Iterator[pa.Re
                     held.append([*(ids[at + k] for k in range(depth)), keys[at]])
                     n += len(at)
                 if n >= GATHER:
-                    yield flush(held)
+                    yield from flush(held)
                     held, n = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return emit
 
