@@ -45,6 +45,8 @@ GATHER = 1 << 19
 BUCKET_BITS = 16
 # A sieve has 16 bits a key up to this bound; more keys only let more suffixes through.
 SIEVE_BITS = 1 << 27
+# Rows of a table by language that may go to every task.
+MANY_LANGUAGES = 1 << 15
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _WHITE, _END = 0, 1, 2
@@ -434,13 +436,28 @@ def collocations(
             frame = frame.join(most, met, "left").where(~within)
         frame = frame.select("lang", "phrase", F.lit(d).alias("words"), F.col("f").alias("a"), "best.*")
         out = frame if out is None else out.unionByName(frame)
-    sizes = totals.select(F.col("lang").alias("ws_lang"), "n")
-    return out.join(sizes, F.col("lang") == F.col("ws_lang")).drop("ws_lang")
+    return _per_language(out, totals)
+
+
+def _per_language(frame: DataFrame, side: DataFrame) -> DataFrame:
+    """``frame`` with the columns of ``side``, a row per language. Languages are few, so their rows go to every
+    task; where a text column passes for a language and they are many, both sides are dealt by it."""
+    side = side.withColumnRenamed("lang", "ws_lang")
+    if side.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES:
+        side = F.broadcast(side)
+    return frame.join(side, F.col("lang") == F.col("ws_lang")).drop("ws_lang")
 
 
 def top(found: DataFrame, count: int = TOP) -> DataFrame:
-    """The first phrases of each language by score, occurrences and text, with their ``rank``. Every task
-    keeps ``count`` rows of a language, so a common language is no hot key."""
+    """The first phrases of each language by score, occurrences and text, with their ``rank``. Phrases are
+    counted per thousandth of the scale first, so that few beyond ``count`` of a language meet in one task."""
+    found = written(found, "collocations")
+    step = F.floor(F.col("score") * 1000 / SCALE)
+    steps = found.groupBy("lang", step.alias("ws_step")).agg(F.count("*").alias("ws_n"))
+    above = F.sum("ws_n").over(Window.partitionBy("lang").orderBy(F.desc("ws_step"))) - F.col("ws_n")
+    needed = steps.withColumn("ws_above", above).where(F.col("ws_above") < count)
+    least = written(needed.groupBy("lang").agg(F.min("ws_step").alias("ws_least")), "collocation-steps")
+    high = _per_language(found, least).where(step >= F.col("ws_least")).drop("ws_least")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+    ranked = high.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
