@@ -17,6 +17,7 @@ from webspark.llm import (
     packing,
     quality,
     revisits,
+    secrets,
     snapshots,
     surrogates,
     toxicity,
@@ -155,6 +156,13 @@ def op12_collocations(spark: SparkSession, d: str) -> DataFrame:
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_secrets(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, d, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    base = F.sha2(secrets.span_text("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.span_text("spans").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: with_package(f)
     for f in (
@@ -170,5 +178,6 @@ QUERIES: dict[str, Query] = {
         op10_line_dedup,
         op11_merkle,
         op12_collocations,
+        op13_secrets,
     )
 }
