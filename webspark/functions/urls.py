@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webspark.functions.binding import case, each, group, let, lit, matches, not_null, struct, sub, tokens
+from webspark.functions.idna import ascii_authority_sql
 
 # Character classes, escapes, default ports and patterns of the URL grammar.
 PATH_LITERALS = r"A-Za-z0-9._~:/@!$&'()*+,;=\[\]\-"
@@ -64,7 +65,7 @@ PLAIN_URL = (
 
 
 def raw_sql(url: str) -> str:
-    """Struct of the text as written, scheme lower-cased. A URL may not hold control characters
+    """Struct of the text as written, scheme lower-cased, host in ASCII. A URL may not hold control characters
     nor, in path or fragment, malformed escapes.
 
     Most URLs are plain; one test finds them, cheap text functions split them, and ``done`` lets them
@@ -81,7 +82,7 @@ def raw_sql(url: str) -> str:
     )
     parts = struct(
         scheme=f"lower({group(url, PARTS, 1)})",
-        authority=group(url, PARTS, 2),
+        authority=ascii_authority_sql(group(url, PARTS, 2)),
         path=group(url, PARTS, 3),
         query=group(url, PARTS, 4),
         malformed=f"{matches(url, CONTROL)} OR {matches(sub(url, UNREAD, '$1'), BAD_ESCAPE)}",
@@ -328,11 +329,12 @@ def _root(p: str) -> str:
 
 def site_root_sql(url: str) -> str:
     scheme = f"lower({group(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?')})"
-    return f"concat({scheme}, {sub(group(url, PARTS, 2), '^(?=.)', '//')})"
+    return f"concat({scheme}, {sub(ascii_authority_sql(group(url, PARTS, 2)), '^(?=.)', '//')})"
 
 
 def site_root(url: str) -> Column:
-    """Scheme, user information and host with port; path, query and fragment dropped."""
+    """Scheme, user information and host with port; path, query and fragment dropped. A host outside ASCII is
+    in its ASCII form."""
     return F.expr(site_root_sql(url))
 
 

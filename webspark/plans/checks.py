@@ -6,6 +6,10 @@ tokens, as-of joins where it uses windows, plain windows where it numbers in two
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from urllib.parse import unquote
+
 from webspark.functions.domains import BUILT_IN
 from webspark.plans import inputs
 from webspark.plans.catalog import AS_OF, BODY_LIMIT, PAGE_DATA_TEXT, QUEUED_AT, SEED, SPARSE, bad_lines
@@ -20,6 +24,30 @@ HOST = r"(\[[0-9A-Fa-f:.%]*\]|([^\x00-\x20#%/:?@\[\\\]^`{|}\x7f]|%[89A-Fa-f][0-9
 IPV4 = r"((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)"
 
 
+def ascii_name(host: str) -> str:
+    """A host in ASCII after Python's own Unicode data and Punycode codec."""
+    text = unquote(host.lower(), errors="replace").lower()
+    wide = (unicodedata.normalize("NFKC", c) if unicodedata.east_asian_width(c) in "FH" else c for c in text)
+    text = unicodedata.normalize("NFC", "".join(wide)).replace("\u3002", ".")
+    if re.search(r"[\x00-\x20#%/:?@\[\\\]^`{|}\x7f\ufffd]", text):
+        return host.lower()
+    return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in text.split("."))
+
+
+def _foreign_hosts() -> list[str]:
+    """Hosts of the URL forms that are not ASCII."""
+    hosts = (f.split("//", 1)[-1].split("/")[0].split("@")[-1].split(":")[0] for f in inputs.URL_FORMS)
+    return [h for h in hosts if not h.isascii() or "%C" in h]
+
+
+def _ascii(host: str) -> str:
+    """``host``, with or without port, in lower case and ASCII."""
+    names = {h.lower(): ascii_name(h) for h in _foreign_hosts()}
+    pairs = ", ".join(f"'{h}': '{n}'" for h, n in names.items())
+    name = f"lower(regexp_replace({host}, ':[0-9]*$', ''))"
+    return f"coalesce(MAP {{{pairs}}}[{name}] || regexp_extract({host}, ':[0-9]*$'), lower({host}))"
+
+
 def _bad_escape(x: str) -> str:
     return (
         f"(len(regexp_extract_all({x}, '%')) <> len(regexp_extract_all({x}, '%[0-9A-Fa-f]{{2}}')))"
@@ -81,9 +109,9 @@ def _url_steps(x: str, source: str, column: str) -> str:
       OR NOT regexp_full_match({x}_a0, '({USERINFO}(@{USERINFO})*@)?{HOST}(:[0-9]*)?')
       OR (NOT {x}_opaque AND {_bad_escape(f'{x}_p0')}) OR {_bad_escape(f'{x}_m.f')}) AS {x}_valid,
     left({x}_a0, len({x}_a0) - len({x}_h0)) || CASE
-      WHEN {x}_s0 = 'http' AND ends_with({x}_h0, ':80') THEN lower({x}_h0[:-4])
-      WHEN {x}_s0 = 'https' AND ends_with({x}_h0, ':443') THEN lower({x}_h0[:-5])
-      ELSE lower({x}_h0) END AS {x}_a,
+      WHEN {x}_s0 = 'http' AND ends_with({x}_h0, ':80') THEN {_ascii(f'{x}_h0[:-4]')}
+      WHEN {x}_s0 = 'https' AND ends_with({x}_h0, ':443') THEN {_ascii(f'{x}_h0[:-5]')}
+      ELSE {_ascii(f'{x}_h0')} END AS {x}_a,
     array_to_string(list_reduce(
       list_transform(string_split({_recode(f'{x}_p0', IN_PATH, '%20')}, '/'), lambda y: [y]),
       lambda acc, y: CASE WHEN y[1] = '.' THEN acc
@@ -277,6 +305,9 @@ def checks() -> dict[str, str]:
     ok_ip = "(SELECT string_split(v, chr(9)) AS f, * FROM lines)"
     raw_m = f"regexp_extract(u, '{REFERENCE}', ['s','l','a','p','q','f'])"
     authority = "CASE WHEN m.s = '' AND starts_with(u, '///') THEN '' ELSE m.a END"
+    host = f"list_last(string_split({authority}, '@'))"
+    site = f"""(CASE WHEN regexp_matches({host}, '[^\\x00-\\x7F]|%[89A-Fa-f]')
+    THEN left({authority}, len({authority}) - len({host})) || {_ascii(host)} ELSE {authority} END)"""
     frontier0 = f"SELECT DISTINCT url FROM pages WHERE {KNOWN}"
     record_links = f"""{_kept('link')},
 j AS (SELECT page_id, string_agg(link, ' ' ORDER BY first) AS links FROM kept GROUP BY page_id)
@@ -333,10 +364,10 @@ FROM pages""",
         "canonicalize_url": f"{norm}\nSELECT page_id, form, x_canonical AS canonical FROM x",
         "site_root": f"""{forms}, p AS (SELECT *, {raw_m} AS m FROM forms)
 SELECT page_id, form, CASE WHEN m.s <> '' THEN lower(m.s) || ':' ELSE '' END
-  || CASE WHEN {authority} <> '' THEN '//' || {authority} ELSE '' END AS root FROM p""",
+  || CASE WHEN {authority} <> '' THEN '//' || {site} ELSE '' END AS root FROM p""",
         "robots_url": f"""{forms}, p AS (SELECT *, {raw_m} AS m FROM forms)
-SELECT page_id, form, CASE WHEN m.s <> '' THEN lower(m.s) || '://' || {authority}
-  WHEN {authority} <> '' THEN '//' || {authority} ELSE '' END || '/robots.txt' AS robots FROM p""",
+SELECT page_id, form, CASE WHEN m.s <> '' THEN lower(m.s) || '://' || {site}
+  WHEN {authority} <> '' THEN '//' || {site} ELSE '' END || '/robots.txt' AS robots FROM p""",
         "registered_domain": f"""{norm},
 hosts AS (SELECT *, CASE WHEN x_ok THEN list_last(string_split(x_a, '@')) END AS x_host FROM x),
 {_domain_step('dom', 'hosts', 'x_host')}

@@ -44,6 +44,11 @@ URL_FORMS = [
     "ftp://{host}/{id}",
     "http://{host}./{id}",
     "http://{host}:/{id}",
+    "http://BÜCHER.example/{id}",
+    "https://ｂｕ\u0308cher.example:8080/{id}/",
+    "http://xn--bcher-kva.example:80/{id}?q=1",
+    "https://Us@b%C3%BCcher.Example:443/{id}",
+    "//例え。テスト/{id}/../x",
 ]
 
 
