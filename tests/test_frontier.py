@@ -202,6 +202,73 @@ def test_compaction_keeps_one_old_generation(spark):
     for k in range(4):
         store.commit(fr.new_sites(_urls(spark, f"http://x{k}.com")), f"b-{k}")
         store.compact()
-    kinds = [(f[0], f[1]) for f in store._folders()]
-    assert kinds == [("base", 3), ("base", 4), ("changes", 4)] or sorted(kinds) == [("base", 3), ("base", 4), ("changes", 4)]
-    assert store.load().count() == 4 and store.committed("b-3")
+    kinds = [(e["kind"], e["version"]) for e in store._entries()]
+    assert kinds == [("base", 3), ("base", 4), ("changes", 4)]
+    assert store.load().count() == 4 and store.committed("b-3") and store.committed("b-0")
+
+
+def test_racing_writers_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    path = fresh_path(spark, "frontier")
+    FrontierStore(spark, path, buckets=4).commit(fr.new_sites(_urls(spark, "http://shared.com"), at=T0))
+
+    def write(k):
+        """New URLs of its own, one that all would add, and a mark on the one that all know."""
+
+        def operation(frontier):
+            fresh, _ = fr.import_links(frontier, _urls(spark, f"http://w{k}.com", "http://all.com"), at=T0, touched_only=True)
+            known = frontier.filter("url = 'http://shared.com'")
+            return fresh.unionByName(known.withColumn("message", F.concat("message", F.lit(f"<{k}>"))))
+
+        return FrontierStore(spark, path, buckets=4, compact_every=5).update(operation, f"writer-{k}")
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(4)))
+    store = FrontierStore(spark, path, buckets=4)
+    rows = _by_url(store.load())
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert set(rows) == {"http://shared.com", "http://all.com", *(f"http://w{k}.com" for k in range(4))}
+    assert sorted(rows["http://shared.com"].message) == sorted("<0><1><2><3>")
+    assert all(store.committed(f"writer-{k}") for k in range(4))
+
+
+def test_conflicts_are_refused(spark):
+    from webspark.sources.frontier_store import Conflict
+
+    store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4)
+    store.commit(_frontier(spark))
+    store.commit(fr.new_sites(_urls(spark, "http://c.com"), at=T0))
+    assert store.commit(fr.new_sites(_urls(spark, "http://d.com"), at=T0), read_version=1) == 3
+    with pytest.raises(Conflict):
+        store.commit(fr.new_sites(_urls(spark, "http://d.com"), at=T0), read_version=2)
+    assert store.version() == 3 and store.load(1).count() == 2 and store.load(2).count() == 3
+
+
+def test_manifest_entries_are_put_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from webspark.sources.manifest import ManifestLog
+
+    log = ManifestLog(spark, fresh_path(spark, "manifest"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: log.put("changes-1", {"k": k}), range(32)))
+    assert won.count(True) == 1 and log.entries() == {"changes-1": {"k": won.index(True)}}
+    # The way of other file systems, on this one.
+    assert log._put_by_rename("changes-2", '{"k": 5}', "draft-a")
+    assert not log._put_by_rename("changes-2", '{"k": 6}', "draft-b")
+    assert log.entries()["changes-2"] == {"k": 5}
+    log.local = None
+    assert log.entries() == {"changes-1": {"k": won.index(True)}, "changes-2": {"k": 5}}
+    log.remove("changes-1")
+    assert set(log.entries()) == {"changes-2"}
+
+
+def test_commits_compact_by_themselves(spark):
+    store = FrontierStore(spark, fresh_path(spark, "frontier"), buckets=4, compact_every=3)
+    for k in range(7):
+        store.commit(fr.new_sites(_urls(spark, f"http://x{k}.com"), at=T0), f"b-{k}")
+    assert len(store._state()[1]) == 1 and store.load().count() == 7
+    assert store.load()._jdf.queryExecution().analyzed().toString().count("Relation") == 2

@@ -2,16 +2,22 @@
 
 ``load`` is the base with the newest change of each URL laid over it. A commit writes only new and
 changed rows, so a small batch does not rewrite a large table; ``compact`` folds the changes into a
-new base now and then. The base is bucketed by URL: laying changes over it, and joining it on the URL
-while no changes are pending, read it in place, without a shuffle of the big side. Files are written to
-new folders only. A commit is written under a name that does not count, checked, and renamed, so readers
-never see half a commit or one that breaks the rules, and a lost executor or driver leaves no harm.
-Compaction removes what is older than the base before the new one, which is kept for readers.
+new base, by itself after ``compact_every`` commits. The base is bucketed by URL: laying changes over it, and
+joining it on the URL while no changes are pending, read it in place, without a shuffle of the big side. All
+pending change sets are one scan, however many there are.
+
+Files are written to folders of random names and count once the manifest names them. An entry of the manifest is
+a version, published only if no other writer has published it. So programs may write side by side: a writer
+that was not first takes the next version, after a check that what came in between holds none of its URLs. Rows
+that were made from an older state of a URL are refused (:class:`Conflict`), not laid over the newer one;
+:meth:`FrontierStore.update` makes them again. Commits are checked before they count, so neither a bad batch
+nor a lost executor or driver leaves anything that readers see. Compaction removes what is older than the base
+before the new one, which is kept for readers, and remembers the labels of what it removes.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from hashlib import md5
 from uuid import uuid4
 
@@ -20,84 +26,85 @@ from pyspark.sql import functions as F
 
 from webspark.operators.frontier import duplicate_urls
 from webspark.schemas import FRONTIER
+from webspark.sources.manifest import ManifestLog
 
-NAMES = re.compile(r"^(?P<kind>base|changes)-(?P<version>\d{8})-(?P<label>.+)$")
 COLUMNS = FRONTIER.fieldNames()
+COMPACT_EVERY = 64
+# Labels of removed commits that a base remembers; a replay is of the last batches.
+LABELS_KEPT = 1000
+
+
+class Conflict(Exception):
+    """Another writer has changed a URL since the state that the rows were made from."""
 
 
 class FrontierStore:
     """Frontier under ``path``. ``buckets`` is fixed when the first base is written; it should be at
     least ``spark.sql.shuffle.partitions``, its default, for joins to keep the base in place."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+    def __init__(
+        self, spark: SparkSession, path: str, buckets: int | None = None, compact_every: int = COMPACT_EVERY
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.compact_every = compact_every
+        self.log = ManifestLog(spark, f"{self.path}/manifest")
+
+    # --- manifest ---
+
+    def _entries(self) -> list[dict]:
+        """Entries ``(kind, version, label, folder, ..)``, by version and kind."""
+        return sorted(self.log.entries().values(), key=lambda e: (e["version"], e["kind"]))
 
-    # --- folders ---
-
-    def _files(self):
-        """The file system of the store. It takes the JVM of a classic session."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _folders(self) -> list[tuple[str, int, str, str]]:
-        """(kind, version, label, name) of all finished folders, oldest first."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = self._files()
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            m = NAMES.match(name)
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-            if m and fs.exists(done):
-                found.append((m["kind"], int(m["version"]), m["label"], name))
-        return sorted(found, key=lambda f: f[1])
+    def _state(self, upto: int | None = None) -> tuple[dict | None, list[dict]]:
+        """The last base and the changes after it."""
+        entries = [e for e in self._entries() if upto is None or e["version"] <= upto]
+        base = max((e for e in entries if e["kind"] == "base"), key=lambda e: e["version"], default=None)
+        since = base["version"] if base else 0
+        return base, [e for e in entries if e["kind"] == "changes" and e["version"] > since]
 
     def version(self) -> int:
         """Newest version, 0 before the first commit."""
-        return max((f[1] for f in self._folders()), default=0)
+        return max((e["version"] for e in self._entries()), default=0)
 
     def committed(self, label: str) -> bool:
         """A commit with this label is there already."""
-        return any(f[2] == label for f in self._folders())
+        return any(e.get("label") == label or label in e.get("labels", ()) for e in self._entries())
 
     # --- reading ---
 
-    def _table(self, name: str) -> str:
-        return f"webspark_{md5(f'{self.path}/{name}'.encode()).hexdigest()[:16]}"
+    def _folder(self, entry: dict) -> str:
+        return f"{self.path}/data/{entry['folder']}"
 
-    def _base_table(self, name: str, buckets: int) -> DataFrame:
-        table = self._table(name)
+    def _table(self, entry: dict) -> str:
+        return f"webspark_{md5(self._folder(entry).encode()).hexdigest()[:16]}"
+
+    def _base_table(self, entry: dict) -> DataFrame:
+        table = self._table(entry)
         if not self.spark.catalog.tableExists(table):
             columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FRONTIER)
             self.spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING parquet "
-                f"CLUSTERED BY (url) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'"
+                f"CLUSTERED BY (url) INTO {entry['buckets']} BUCKETS LOCATION '{self._folder(entry)}'"
             )
         return self.spark.table(table)
 
-    def _stored(self) -> DataFrame:
-        folders = self._folders()
-        bases = [f for f in folders if f[0] == "base"]
-        if bases:
-            _, since, label, name = bases[-1]
-            base = self._base_table(name, int(label.split(".")[0]))
-        else:
-            since, base = 0, self.spark.createDataFrame([], FRONTIER)
-        changes = None
-        for kind, version, _, name in folders:
-            if kind == "changes" and version > since:
-                rows = self.spark.read.schema(FRONTIER).parquet(f"{self.path}/{name}")
-                rows = rows.withColumn("ws_version", F.lit(version))
-                changes = rows if changes is None else changes.unionByName(rows)
-        if changes is None:
+    def _changed(self, entries: list[dict]) -> DataFrame:
+        """Rows of change sets with their version, in one scan."""
+        rows = self.spark.read.schema(FRONTIER).parquet(*[self._folder(e) for e in entries])
+        # As many pairs as there are pending commits, which compaction bounds.
+        pairs = [F.lit(x) for e in entries for x in (e["folder"], e["version"])]
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "/data/([^/]+)/", 1)
+        return rows.withColumn("ws_version", F.element_at(F.create_map(*pairs), folder))
+
+    def _stored(self, upto: int | None = None) -> DataFrame:
+        entry, pending = self._state(upto)
+        base = self._base_table(entry) if entry else self.spark.createDataFrame([], FRONTIER)
+        if not pending:
             return base
         values = [c for c in COLUMNS if c != "url"]
-        newest = changes.groupBy("url").agg(F.max_by(F.struct(*values), "ws_version").alias("ws_new"))
+        newest = self._changed(pending).groupBy("url").agg(F.max_by(F.struct(*values), "ws_version").alias("ws_new"))
         picked = [
             F.when(F.col("ws_new").isNull(), F.col(c)).otherwise(F.col(f"ws_new.{c}")).alias(c)
             if c != "url"
@@ -106,33 +113,68 @@ class FrontierStore:
         ]
         return base.join(newest, "url", "full").select(*picked)
 
-    def load(self) -> DataFrame:
-        """The frontier without soft-deleted rows. Straight after :meth:`compact` this is a bare
-        scan, which filters such as ``NOT visited`` reach."""
-        return self._stored().filter(F.col("deleted_at").isNull())
+    def load(self, version: int | None = None) -> DataFrame:
+        """The frontier without soft-deleted rows, as it is now or was at a version that is still there.
+        Straight after :meth:`compact` this is a bare scan, which filters such as ``NOT visited`` reach."""
+        return self._stored(version).filter(F.col("deleted_at").isNull())
 
     def changes(self, label: str) -> DataFrame:
         """The rows a labelled commit has written."""
-        names = [f[3] for f in self._folders() if f[0] == "changes" and f[2] == label]
-        return self.spark.read.schema(FRONTIER).parquet(f"{self.path}/{names[-1]}")
+        found = [e for e in self._entries() if e["kind"] == "changes" and e["label"] == label]
+        return self.spark.read.schema(FRONTIER).parquet(self._folder(found[-1]))
 
     # --- writing ---
 
-    def commit(self, touched: DataFrame, label: str = "manual") -> int:
+    def commit(self, touched: DataFrame, label: str = "manual", read_version: int | None = None) -> int:
         """Write new and changed rows as the next version and return it. With a ``label`` of its own
-        (other than ``manual``) a commit that is repeated does nothing."""
+        (other than ``manual``) a commit that is repeated does nothing. Rows made from the state of
+        ``read_version`` raise :class:`Conflict` if a later version holds one of their URLs; without it, they
+        are laid over whatever is there."""
         if label != "manual" and self.committed(label):
             return self.version()
-        version = self.version() + 1
-        target = f"{self.path}/changes-{version:08d}-{label}"
-        draft = f"{self.path}/draft-{uuid4().hex}"
-        touched.select(*COLUMNS).write.parquet(draft)
-        self._check(self.spark.read.schema(FRONTIER).parquet(draft), target)
-        jvm = self.spark._jvm
-        if not self._files().rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(target)):
-            raise OSError(f"{draft} could not become {target}")
+        entry = {"kind": "changes", "label": label, "folder": f"changes-{uuid4().hex}"}
+        folder = self._folder(entry)
+        touched.select(*COLUMNS).write.parquet(folder)
+        rows = self.spark.read.schema(FRONTIER).parquet(folder)
+        self._check(rows, folder)
+        seen = read_version
+        while True:
+            version = self.version() + 1
+            if seen is not None:
+                self._refuse_overlap(rows, seen, version)
+                seen = version - 1
+            if label != "manual" and self.committed(label):
+                return self.version()
+            if self.log.put(f"changes-{version:08d}", entry | {"version": version}):
+                break
+        if len(self._state()[1]) >= self.compact_every:
+            self.compact()
         return version
 
+    def _refuse_overlap(self, rows: DataFrame, seen: int, version: int) -> None:
+        """Changes after version ``seen`` and before ``version`` must hold none of the rows' URLs."""
+        base, pending = self._state()
+        between = [e for e in pending if seen < e["version"] < version]
+        # A compaction may have folded in what was pending: then its rows are not apart any more.
+        if base is not None and base["version"] > seen:
+            raise Conflict(f"{self.path} was compacted after version {seen}")
+        if between and not rows.join(self._changed(between).select("url"), "url", "left_semi").isEmpty():
+            raise Conflict(f"{self.path}: a URL was changed after version {seen}")
+
+    def update(
+        self, operation: Callable[[DataFrame], DataFrame], label: str = "manual", attempts: int = 20
+    ) -> int:
+        """Commit what ``operation`` makes of the frontier: its new and changed rows. If another writer has
+        changed one of the URLs meanwhile, it is made again from the newer state, so no change is lost."""
+        for _ in range(attempts - 1):
+            version = self.version()
+            try:
+                return self.commit(operation(self.load(version)), label, version)
+            except Conflict:
+                continue
+        version = self.version()
+        return self.commit(operation(self.load(version)), label, version)
+
     def _check(self, rows: DataFrame, target: str) -> None:
         """Every row of a commit has a URL, and a URL stands once. Checked on the rows as written."""
         if not rows.filter(F.col("url").isNull()).isEmpty():
@@ -142,30 +184,36 @@ class FrontierStore:
             raise ValueError(f"{target}: {twice[0].url} is there {twice[0].rows} times")
 
     def compact(self) -> int:
-        """Write a new base that holds all changes up to now and return its version."""
+        """Write a new base that holds all changes up to now and return its version. Commits that come
+        meanwhile stay changes on top of it."""
         version = self.version()
-        if any(f[:2] == ("base", version) for f in self._folders()):
+        base, pending = self._state(version)
+        if not pending:
             return version
-        name = f"base-{version:08d}-{self.buckets}.{uuid4().hex[:8]}"
+        labels = [*(base["labels"] if base else []), *(e["label"] for e in pending if e["label"] != "manual")]
+        entry = {"kind": "base", "version": version, "folder": f"base-{uuid4().hex}", "buckets": self.buckets}
         (
-            self.load()
+            self.load(version)
             .repartition(self.buckets, "url")
             .write.format("parquet")
             .bucketBy(self.buckets, "url")
-            .option("path", f"{self.path}/{name}")
-            .saveAsTable(self._table(name))
+            .option("path", self._folder(entry))
+            .saveAsTable(self._table(entry))
         )
+        self.log.put(f"base-{version:08d}", entry | {"labels": labels[-LABELS_KEPT:]})
         self._drop_old()
         return version
 
     def _drop_old(self) -> None:
         """Remove what only readers from before the last two bases could need."""
-        folders = self._folders()
-        bases = [f for f in folders if f[0] == "base"]
+        entries = self._entries()
+        bases = [e["version"] for e in entries if e["kind"] == "base"]
         if len(bases) < 2:
             return
-        kept = bases[-2][1]
-        for kind, version, _, name in folders:
-            if version < kept or (kind == "changes" and version == kept):
-                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
-                self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        kept = bases[-2]
+        for e in entries:
+            if e["version"] < kept or (e["kind"] == "changes" and e["version"] == kept):
+                self.log.remove(f"{e['kind']}-{e['version']:08d}")
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(e)}")
+                fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(e))
+                fs.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(fs, True)

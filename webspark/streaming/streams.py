@@ -234,19 +234,23 @@ def run_frontier(
     """Apply ``op`` to the stored frontier per micro-batch; add a trigger and start it.
 
     A commit is labelled with ``name`` and the batch's number, so a batch that is replayed after a
-    failure changes nothing. One stream at a time may write a store. ``emit`` gets the rows each batch
+    failure changes nothing. Other programs may write the store meanwhile: a batch that meets a change of one
+    of its URLs is applied again to the newer state. ``emit`` gets the rows each batch
     has added or changed, the further outputs of ``op``, and the batch's number; a replay hands it the
     same again.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        own = FrontierStore(batch.sparkSession, store.path, store.buckets)
+        own = FrontierStore(batch.sparkSession, store.path, store.buckets, compact_every)
         label = f"{name}-{batch_id}"
-        rows, outputs = op(own.load(), batch)
-        if not own.committed(label):
-            version = own.commit(rows, label)
-            if version % compact_every == 0:
-                own.compact()
+        outputs: dict[str, DataFrame] = {}
+
+        def rows(frontier: DataFrame) -> DataFrame:
+            touched, more = op(frontier, batch)
+            outputs.update(more)
+            return touched
+
+        own.update(rows, label)
         if emit is not None:
             emit(own.changes(label), outputs, batch_id)
 
