@@ -67,3 +67,68 @@ def test_languages_without_stop_words(text):
 def test_keywords_of_a_known_language_stay_out():
     words = "shoes jackets hats " * 12
     assert mt.main_text(f"<div><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p></div><div>{words}</div>") == f"{LONG} {LONG}\n{LONG} {LONG}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar"><article><p>{0}</p></article><div class="sidebar">{1}</div></div>',
+        '<div id="page" class="site no-comments"><p>{0}</p></div>',
+        '<div class="post share-enabled"><p>{0}</p></div>',
+        '<div class="site header-image"><h1></h1><p>{0}</p></div>',
+        '<form id="aspnetForm"><article><p>{0}</p></article><div class=footer>{1}</div></form>',
+        '<form id="aspnetForm"><div><p>{0}</p></div></form>',
+        '<div class="sidebar-layout comments-open"><main><p>{0}</p></main><aside>{1}</aside></div>',
+        '<article><p>{0}</p></article><div class="comments"><article class="comment"><p>{1}</p></article></div>',
+        '<article><p>{0}</p><section id="comments"><article class="comment"><p>{1}</p></article></section></article>',
+        '<div><p>{0}</p></div><div class="comments"><article class="comment"><p>{1}</p></article></div>',
+        '<div class="search-results-open"><article><p>{0}</p></article></div><div class="search-box">{1}</div>',
+        '<article><select><option>x<p>{0}</p></article>',
+        '<article><p title=don\'t>{0}</p></article>',
+        '<article><p title="a > b" data-x=\'c > d\'>{0}</p></article>',
+        '<div class="cookie-wall"><p>{1}</p></div><article><p>{0}</p></article>',
+        '<div class="cookie-wall"><article>{1}</article></div><article><p>{0}</p></article>',
+    ],
+)
+def test_wrappers_and_parts(page):
+    assert mt.main_text(page.format(LONG + " " + LONG, "BESIDE " + LONG)) == LONG + " " + LONG
+
+
+def test_copyright_line_in_an_article_and_short_paragraphs():
+    assert mt.main_text(f"<article><p>© 2024 was the year. {LONG}</p></article>") == f"© 2024 was the year. {LONG}"
+    assert mt.main_text(f"<div><p>{LONG}</p><p>{LONG[:89]}</p></div>") == f"{LONG}\n{LONG[:89]}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<!--", "<a href='", "<select>", '<a x=">"', "<a<a", "</p", "<![CDATA[", "<p x='>' "])
+def test_unclosed_markup_takes_linear_time(unit):
+    from time import perf_counter
+
+    times = []
+    for size in (500_000, 5_000_000):
+        page = f"<article><p>{LONG}</p>" + unit * (size // len(unit))
+        start = perf_counter()
+        text = mt.main_text(page)
+        times.append(perf_counter() - start)
+        assert text.startswith(LONG)
+    assert times[1] < 30 * times[0] + 1
+
+
+LAYOUTS = ["<article>{}</article>", "<main>{}</main>", "<div role='main'>{}</div>", '<div class="content with-sidebar">{}</div>', "<table><tr><td>{}</td></tr></table>"]
+BESIDE = ["<nav><ul><li>{0}</ul></nav>", "<footer><p>{0}</p></footer>", "<aside>{0}</aside>", "<div class='related-posts'><p>{0}</p></div>", "<div id=comments><p>{0}</p></div>", "<header><p>{0}</p></header>"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_layouts(seed):
+    """Pages made of a known article and known parts beside it."""
+    import random
+
+    rng = random.Random(seed)
+    words = LONG.rstrip(".").split()
+    article = [" ".join(rng.choices(words, k=rng.randrange(45, 90))) + "." for _ in range(rng.randrange(2, 6))]
+    parts = [rng.choice(BESIDE).format("Beside " + " ".join(rng.choices(words, k=30))) for _ in range(rng.randrange(5))]
+    body = rng.choice(LAYOUTS).format("".join(f"<p>{p}</p>" for p in article))
+    at = rng.randrange(len(parts) + 1)
+    page = "".join([*parts[:at], body, *parts[at:]])
+    if rng.random() < 0.5:
+        page = f'<div class="{rng.choice(["page has-sidebar", "site no-comments", "wrap search-open", "banner-top"])}">{page}</div>'
+    assert mt.main_text(f"<html><body>{page}</body></html>") == "\n".join(article)

@@ -3,7 +3,12 @@
 A page is cut into blocks: runs of text between block-level elements. Pass one decides blocks by what
 they stand in (a menu, a footer, an advert), by length, density of links and density of stop words;
 short blocks, and blocks between the limits, stay open. In pass two an open block takes the label of
-its nearest decided neighbours. Stop words say nothing where a page's text is in none of the languages with a list, or a
+its nearest decided neighbours; where no block is decided for the text, those near the limit are.
+
+A word in a class names a part beside the article, or only tells of one ("has-sidebar", "share-enabled" on
+a wrapper). So such a word counts as a whole name or the first part of one, and not on an element that holds
+all articles of the page, or, where there is none, nearly all of its text. The same holds for forms and headers.
+Stop words say nothing where a page's text is in none of the languages with a list, or a
 block in another script; there length and density of links decide.
 """
 
@@ -56,7 +61,8 @@ STOP_LISTS = tuple(
 STOP_WORDS = frozenset().union(*STOP_LISTS)
 # Elements whose text is never shown or never part of an article.
 RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "select", "button", "canvas", "audio", "video")
-APART = ("nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset")
+APART = ("nav", "footer", "aside", "menu", "dialog", "head")
+WRAPPING = ("form", "fieldset", "header")
 MAIN = ("article", "main")
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input", "nobr")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -72,12 +78,28 @@ SIDE_WORDS = frozenset(
     """.split()
 )
 HEADER_WORDS = frozenset(["header", "masthead", "topbar", "sitehead"])
+# Of these, words that never stand on a wrapper of the page.
+NEVER_WRAPS = frozenset(
+    """
+    ad ads adv advert advertisement advertising consent cookie cookies disqus gdpr login modal newsletter popup
+    promo promoted promotion signup sponsor sponsored subscribe
+    """.split()
+)
+COMMENT_WORDS = frozenset(["comment", "comments", "commentlist", "replies", "reply"])
+# An element holds nearly all text of a page without articles; one that is named by the first part of a
+# longer name already with less.
+NEARLY_ALL, MOSTLY = 0.95, 0.8
+# Elements at which raw text that is never closed ends; scripts and styles go on to the end.
+_NEXT_BLOCK = re.compile(
+    r"<(?:article|main|section|p|div|h[1-6]|ul|ol|table|blockquote|pre|footer|nav|aside|header)\b", re.IGNORECASE
+)
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)",
     re.DOTALL,
 )
+# The rest of a tag. Only a quote after an equals sign begins a value, and only if it ends.
+_REST = re.compile(r"((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -91,19 +113,76 @@ class Block:
     apart: bool  # inside a part of the page beside the article
     main: bool  # inside the article element
     heading: bool
+    sides: tuple[int, ...] = ()  # elements around it that are named like parts beside the article
+
+
+@dataclass
+class _Side:
+    """An element named like a part beside the article, and how sure that is."""
+
+    limit: float  # part of the page's text that it may hold
 
 
-def _hints(rest: str) -> set[str]:
+def _hints(rest: str) -> tuple[float, set[str]]:
+    """How much text an element so named may hold to count as a part beside the article (0: is none),
+    and its names."""
     if "=" not in rest:
-        return set()
-    values = " ".join("".join(m) for m in _NAMED.findall(rest))
-    return {w.lower() for w in _PART.findall(values)}
+        return 0, set()
+    names = {n.lower(): [p.lower() for p in _PART.findall(n)] for m in _NAMED.findall(rest) for n in "".join(m).split()}
+    limit = 0.0
+    for name, parts in names.items():
+        words = {name, *parts[:1]}
+        if words & NEVER_WRAPS:
+            limit = 2.0
+        elif words & SIDE_WORDS:
+            whole = name in SIDE_WORDS or all(p in SIDE_WORDS for p in parts)
+            limit = max(limit, NEARLY_ALL if whole else MOSTLY)
+    return limit, set(names)
+
+
+class _Tags:
+    """Tags, comments and the like of a page, in time linear in its length."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quoted = html, html.rfind(">"), True
+        self.open: set[str] = set()  # names of raw elements that are never closed from here on
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it ends an element, attributes) of the next one; a comment has no name."""
+        found = _TOKEN.search(self.html, at)
+        if found is None:
+            return None
+        if found["name"] is None:
+            return found.start(), found.end(), "", False, ""
+        if self.last < found.end():
+            return None
+        rest = _REST.match(self.html, found.end()) if self.quoted else None
+        if rest is None:
+            # All signs that could end it stand in quotes, so they count as they are, here and after it.
+            self.quoted = False
+            end = self.html.index(">", found.end())
+            return found.start(), end + 1, found["name"].lower(), bool(found["end"]), self.html[found.end() : end]
+        return found.start(), rest.end(), found["name"].lower(), bool(found["end"]), rest[1]
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where a raw element ends that begins before ``at``."""
+        if name not in self.open:
+            stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(self.html, at)
+            if stop:
+                return stop.end()
+            self.open.add(name)
+        if name in ("script", "style"):
+            return len(self.html)
+        block = _NEXT_BLOCK.search(self.html, at)
+        return block.start() if block else len(self.html)
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order. Elements need not be closed; what is open at the end ends there."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, apart, main)
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # (name, apart, main, sides)
+    sides: list[_Side] = []
+    articles: list[tuple[int, ...]] = []  # elements of ``sides`` around each article
     pieces: list[str] = []
     linked = depth = 0
     heading = False
@@ -112,8 +191,8 @@ def blocks(html: str) -> list[Block]:
         nonlocal pieces, linked, heading
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         if text:
-            apart, main = stack[-1][1:] if stack else (False, False)
-            out.append(Block(text, min(linked, len(text)), apart, main, heading))
+            apart, main, around = stack[-1][1:] if stack else (False, False, ())
+            out.append(Block(text, min(linked, len(text)), apart, main, heading, around))
         pieces, linked = [], 0
 
     def say(text: str) -> None:
@@ -122,22 +201,21 @@ def blocks(html: str) -> list[Block]:
         if depth:
             linked += len(text.strip())
 
-    at, size = 0, len(html)
+    tags, at, size = _Tags(html), 0, len(html)
     while at < size:
-        found = _TOKEN.search(html, at)
+        found = tags.next(at)
         if found is None:
             say(html[at:])
             break
-        if found.start() > at:
-            say(html[at : found.start()])
-        at = found.end()
-        if found["name"] is None:
+        start, end, name, ends, rest = found
+        if start > at:
+            say(html[at:start])
+        at = end
+        if not name:
             continue
-        name, ends = found["name"].lower(), bool(found["end"])
         if name in RAW and not ends:
-            if not found["rest"].endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
-                at = stop.end() if stop else size
+            if not rest.endswith("/"):
+                at = tags.after_raw(name, at)
             pieces.append(" ")
             continue
         if name in INLINE:
@@ -157,21 +235,50 @@ def blocks(html: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if found["rest"].endswith("/"):
+        if rest.endswith("/"):
             continue
-        apart, main = stack[-1][1:] if stack else (False, False)
+        apart, main, around = stack[-1][1:] if stack else (False, False, ())
         if name in ("html", "body"):
-            stack.append((name, False, False))
+            stack.append((name, False, False, ()))
             continue
-        hints = _hints(found["rest"])
-        main = main or name in MAIN or "main" in hints and name == "div"
-        apart = apart or name in APART or (name not in MAIN and bool(hints & SIDE_WORDS))
-        apart = apart or (not main and (name == "header" or bool(hints & HEADER_WORDS)))
-        stack.append((name, apart, main))
+        limit, names = _hints(rest)
+        comment = bool(names & COMMENT_WORDS)
+        if name in MAIN or "main" in names and name == "div":
+            if not (apart or comment):
+                articles.append(around)
+            main, limit = True, NEARLY_ALL if comment else 0
+        elif name in WRAPPING and not (main and name == "header"):
+            limit = max(limit, NEARLY_ALL)
+        elif not main and any(n in HEADER_WORDS or _PART.findall(n)[:1] and _PART.findall(n)[0] in HEADER_WORDS for n in names):
+            limit = max(limit, MOSTLY)
+        if limit:
+            around = (*around, len(sides))
+            sides.append(_Side(limit))
+        stack.append((name, apart or name in APART, main, around))
     close()
+    _settle(out, sides, articles)
     return out
 
 
+def _settle(found: list[Block], sides: list[_Side], articles: list[tuple[int, ...]]) -> None:
+    """Sets the blocks apart that stand in elements named for it, but for elements that wrap the page: those
+    around every article, or, on a page without articles, around more than their limit of its text."""
+    if not sides:
+        return
+    if articles:
+        wraps = set(articles[0]).intersection(*articles)
+        wraps = {k for k in wraps if sides[k].limit <= 1}
+    else:
+        texts = [b for b in found if not b.apart]
+        whole, held = sum(len(b.text) for b in texts), [0] * len(sides)
+        for b in texts:
+            for k in b.sides:
+                held[k] += len(b.text)
+        wraps = {k for k, n in enumerate(held) if n > sides[k].limit * whole}
+    for b in found:
+        b.apart = b.apart or not wraps.issuperset(b.sides)
+
+
 def _words(text: str) -> list[str]:
     return [w.strip(".,;:!?()\"'") for w in text.lower().split()]
 
@@ -210,7 +317,7 @@ GOOD, BAD, SHORT_OPEN, NEAR_GOOD = "good", "bad", "short", "near"
 
 def first_pass(block: Block, known: bool = True) -> str:
     """Label of a block by itself; ``known`` tells whether the page is in a language with stop words."""
-    if block.apart or "\N{COPYRIGHT SIGN}" in block.text[:20]:
+    if block.apart or (not block.main and "\N{COPYRIGHT SIGN}" in block.text[:20]):
         return BAD
     density = block.linked / len(block.text)
     if density > LINK_DENSITY:
@@ -228,25 +335,33 @@ def first_pass(block: Block, known: bool = True) -> str:
     return NEAR_GOOD if stop >= STOP_LOW else BAD
 
 
+def _nearest(found: list[Block], labels: list[str], order: range) -> list[str | None]:
+    """Per block the label of the decided block last met in this order; of a block in the article only
+    blocks in it count, and those set apart there decide nothing."""
+    out: list[str | None] = [None] * len(found)
+    last: dict[bool, str | None] = {False: None, True: None}
+    for k in order:
+        block, label = found[k], labels[k]
+        out[k] = last[block.main]
+        if label in (GOOD, BAD):
+            last[False] = label
+            if block.main:
+                last[True] = None if block.apart else label
+    return out
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is text. An open block takes the label of its nearest decided neighbours. Where
     they differ, or one is missing, a block is text if it stands in the article, or if it was near the
     limit, or is a heading before text. Neighbours beside the article say nothing about a block in it."""
+    backwards = range(len(found) - 1, -1, -1)
+    earlier, later = _nearest(found, labels, range(len(found))), _nearest(found, labels, backwards)
     out = []
     for k, (block, label) in enumerate(zip(found, labels, strict=True)):
         if label in (GOOD, BAD):
             out.append(label == GOOD)
             continue
-
-        def nearest(step: int, k=k, block=block) -> str | None:
-            at = k + step
-            while 0 <= at < len(found):
-                if labels[at] in (GOOD, BAD) and not (block.main and not found[at].main):
-                    return None if block.main and found[at].apart else labels[at]
-                at += step
-            return None
-
-        before, after = nearest(-1), nearest(1)
+        before, after = earlier[k], later[k]
         if before == after and before is not None:
             out.append(before == GOOD)
         elif block.main:
@@ -260,7 +375,10 @@ def main_text(html: str | None) -> str:
     """The text blocks of a page, one per line; empty for null."""
     found = blocks(html or "")
     known = known_language(found)
-    keep = second_pass(found, [first_pass(b, known) for b in found])
+    labels = [first_pass(b, known) for b in found]
+    if GOOD not in labels:
+        labels = [GOOD if x == NEAR_GOOD else x for x in labels]
+    keep = second_pass(found, labels)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
