@@ -92,3 +92,18 @@ def test_odd_rows(spark, texts):
     assert len(spots) == len(packed)
     empty = packing.pack_documents(docs.limit(0))
     assert empty.count() == 0 and "sequence_id" in empty.columns
+
+
+@pytest.mark.parametrize("unit", [" ", " \n", "\t", "\r\n", "!", "a" + " " * 4095, "a" + " " * 4100, "\xa0"])
+def test_long_runs_have_the_ids_of_the_tokenizer_file(unit):
+    text = "x" + unit * (300_000 // len(unit)) + "y"
+    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_two_million_white_spaces(spark, texts):
+    rows = [(1, " " * 2_000_000), (2, " \n" * 1_000_000), (3, "\t" * 2_000_000)]
+    pieces = packing.token_pieces(texts(*rows), keep_ids=False)
+    sums = {r["doc_id"]: r["n"] for r in pieces.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert sums == {1: 2_000_001, 2: 2_000_001, 3: 2_000_001}

@@ -29,6 +29,10 @@ SLICE_ROWS = 4096
 # The pattern of the vocabulary's pre-tokens is in public_tokenizers.PATTERN.
 # Letters for which the rank-based encoder is known to cut like the tokenizer file (see tests).
 _PLAIN = regex.compile(r"^[\x00-ɏ]*$")
+# The rank-based encoder recurses over white space; from so many characters in a row on, the tokenizer file
+# itself encodes a text.
+LONG_GAP = 4096
+_GAP = regex.compile(r"\s{64,}+")
 
 _ENCODERS: dict[tuple[str, str], object] = {}
 
@@ -37,8 +41,8 @@ def _encoder(tokenizer: str, ranks: str | None):
     """A function text -> ids, made once per worker process.
 
     The tokenizer file defines the ids. Its vocabulary as ranks gives the same ids several times
-    faster, and is used for texts of plain Latin characters; every other text goes through the
-    tokenizer file itself.
+    faster, and is used for texts of plain Latin characters without very long white space; every other
+    text goes through the tokenizer file itself.
     """
     if (tokenizer, ranks) in _ENCODERS:
         return _ENCODERS[tokenizer, ranks]
@@ -63,7 +67,7 @@ def _encoder(tokenizer: str, ranks: str | None):
         )
 
         def encode(text: str) -> np.ndarray:
-            if not _PLAIN.match(text):
+            if not _PLAIN.match(text) or any(m.end() - m.start() >= LONG_GAP for m in _GAP.finditer(text)):
                 return slow(text)
             return np.array(quick.encode_ordinary(text), np.uint32)
 
