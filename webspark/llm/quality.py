@@ -156,8 +156,11 @@ def line_frequency(
         share = F.col("ws_docs") > F.lit(max_share) * F.col("ws_total")
         frequent = frequent.join(sizes.alias("s"), same_host).where(share | (F.col("ws_docs") > share_docs))
     frequent = frequent.select("c.hash", F.col("c.ws_host").alias("ws_of"))
-    # One line may be a third of a host's lines: a plain join, which Spark can split.
-    met = lines.join(frequent, ["hash"]).where(F.col("ws_host").eqNullSafe(F.col("ws_of")))
+    # One line may be a third of a host's lines: a plain join on line and host, which Spark can split.
+    met = lines.alias("l").join(
+        frequent.withColumnRenamed("hash", "ws_hash"),
+        (F.col("l.hash") == F.col("ws_hash")) & F.col("l.ws_host").eqNullSafe(F.col("ws_of")),
+    )
     removed = met.groupBy(*[F.col(c).alias(f"{c}_r") for c in document]).agg(
         F.collect_set(F.struct("line_no", "words")).alias("ws_gone")
     )
