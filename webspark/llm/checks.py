@@ -25,11 +25,8 @@ l AS (SELECT r, source, doc_id, line, no, len(list_filter(regexp_split_to_array(
   FROM (SELECT r, source, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM w)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
-h AS (SELECT source, count(DISTINCT (doc_id, text)) AS n FROM documents GROUP BY source),
-f AS (SELECT l.source, norm FROM l JOIN w USING (r) JOIN h ON h.source IS NOT DISTINCT FROM l.source
-  GROUP BY l.source, norm, h.n
-  HAVING count(DISTINCT (w.doc_id, w.text)) > {quality.MAX_DOCS}
-    AND count(DISTINCT (w.doc_id, w.text)) > {quality.MAX_SHARE} * h.n),
+f AS (SELECT l.source, norm FROM l JOIN w USING (r) GROUP BY l.source, norm
+  HAVING count(DISTINCT (w.doc_id, w.text)) > {quality.MAX_DOCS}),
 gone AS (SELECT r, count(*) AS lines, sum(l.n) AS words FROM l JOIN f
   ON f.norm = l.norm AND f.source IS NOT DISTINCT FROM l.source GROUP BY r),
 b AS (SELECT w.doc_id, len(w.words)::BIGINT AS n_words,
@@ -93,12 +90,17 @@ FROM m
 _LINE_DEDUP = f"""
 WITH l AS (SELECT doc_id, no, translate(trim(line, ' '), '{ascii_uppercase}', '{ascii_lowercase}') AS line FROM
     (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
-  WHERE len(trim(line, ' ')) >= {line_dedup.MIN_CHARS}),
+  WHERE len(trim(line, ' ')) >= {line_dedup.NEAR_CHARS} OR regexp_matches(line, '[A-Za-z0-9]|[^\\x00-\\x7F]')),
 d AS (SELECT line, len(line) AS n, min({{'d': doc_id, 'l': no}}) AS place FROM l GROUP BY line),
-near AS (SELECT a.line, min(b.place) AS place FROM d a JOIN d b
-  ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.place < a.place
-    AND (left(a.line, 16) = left(b.line, 16) OR right(a.line, 16) = right(b.line, 16))
-    AND levenshtein(a.line, b.line) = 1 GROUP BY a.line),
+h AS MATERIALIZED (SELECT line, n, place FROM d WHERE n >= {line_dedup.NEAR_CHARS}),
+-- One edit leaves the beginning or the end of the two lines as it is.
+e AS (SELECT line, n, place, 'a' AS side, left(line, {line_dedup.NEAR_CHARS // 2 - 1}) AS part FROM h
+  UNION ALL SELECT line, n, place, 'z', right(line, {line_dedup.NEAR_CHARS // 2 - 1}) FROM h),
+near AS (SELECT x.line, min(y.place) AS place FROM e x JOIN e y
+  ON x.side = y.side AND x.part = y.part AND y.n BETWEEN x.n - 1 AND x.n + 1 AND y.place < x.place
+    AND (left(x.line, least(x.n, y.n) // 2) = left(y.line, least(x.n, y.n) // 2)
+      OR right(x.line, least(x.n, y.n) // 2) = right(y.line, least(x.n, y.n) // 2))
+    AND levenshtein(x.line, y.line) = 1 GROUP BY x.line),
 k AS (SELECT l.*, d.place AS own, near.place AS other, coalesce(least(d.place, near.place), d.place) AS kept
   FROM l JOIN d USING (line) LEFT JOIN near USING (line))
 SELECT doc_id, no::INT AS line_no, kept.d AS kept_doc_id, kept.l::INT AS kept_line_no, (kept <> own)::INT AS distance

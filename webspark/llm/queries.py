@@ -133,7 +133,8 @@ def op9_ngram_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return line_dedup.duplicate_lines(_table(spark, d, "documents")).drop("twin")
+    docs = _table(spark, d, "documents")
+    return line_dedup.duplicate_lines(docs, line_dedup.NEAR_CHARS, exact_chars=line_dedup.EXACT_CHARS).drop("twin")
 
 
 def op11_merkle(spark: SparkSession, d: str) -> DataFrame:
