@@ -364,6 +364,16 @@ def import_links_new(spark: SparkSession, d: str) -> DataFrame:
     return fr.import_links(inputs.frontier(spark, d), inputs.import_urls(spark, d))[1]
 
 
+def import_links_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`import_links_new` on a stored frontier: half of it in the base with its filter, half pending."""
+    store = FrontierStore(spark, fresh_path(spark, "frontier"))
+    known = inputs.frontier(spark, d)
+    store.commit(known.filter("visited"))
+    store.compact()
+    store.commit(known.filter("NOT visited"))
+    return store.unknown(inputs.import_urls(spark, d))
+
+
 def _queued(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return fr.mark_queued(inputs.frontier(spark, d), inputs.queue_lines(spark, d), QUEUED_AT)
 
@@ -644,6 +654,7 @@ QUERIES: dict[str, Query] = {
     "new_sites": new_sites,
     "import_links": import_links,
     "import_links_new": import_links_new,
+    "import_links_filtered": import_links_filtered,
     "import_pages": import_pages,
     "import_resolutions": import_resolutions,
     "import_resolutions_unmatched": import_resolutions_unmatched,

@@ -465,6 +465,7 @@ SELECT count(DISTINCT {ADDRESS}) AS workers, count(*) AS urls FROM asked""",
         "import_links": f"""{_imported()}
 SELECT {_site_row(ENGLISH)} FROM ({frontier0}) UNION ALL SELECT {_site_row()} FROM fresh""",
         "import_links_new": f"{_imported()}\nSELECT url FROM fresh",
+        "import_links_filtered": f"{_imported()}\nSELECT url FROM fresh",
         "import_pages": import_pages,
         "import_resolutions": import_resolutions,
         "import_resolutions_unmatched": unmatched,

@@ -13,6 +13,10 @@ that were made from an older state of a URL are refused (:class:`Conflict`), not
 :meth:`FrontierStore.update` makes them again. Commits are checked before they count, so neither a bad batch
 nor a lost executor or driver leaves anything that readers see. Compaction removes what is older than the base
 before the new one, which is kept for readers, and remembers the labels of what it removes.
+
+A base has a filter of its URLs beside it (:mod:`webspark.sources.url_filter`), merged with the changes at each
+compaction and made anew when the frontier outgrows it. :meth:`FrontierStore.unknown` asks it first: what it
+doesn't know meets the pending changes only, and the rest is looked up, so the answer is exact.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from webspark.operators.frontier import duplicate_urls
 from webspark.schemas import FRONTIER
 from webspark.sources.manifest import ManifestLog
+from webspark.sources.shared import fresh_path
+from webspark.sources.url_filter import SCHEMA, blocks_for, build_filter, merge_filters, probe
 
 COLUMNS = FRONTIER.fieldNames()
 COMPACT_EVERY = 64
@@ -118,6 +124,63 @@ class FrontierStore:
         Straight after :meth:`compact` this is a bare scan, which filters such as ``NOT visited`` reach."""
         return self._stored(version).filter(F.col("deleted_at").isNull())
 
+    def unknown(self, urls: DataFrame, url: str = "url") -> DataFrame:
+        """(url): the URLs of a batch that the frontier doesn't hold, once each; what
+        :func:`webspark.operators.frontier.import_links` calls new, nulls left out. Most of the new ones are known
+        to be new from the filter of the base alone. Soft-deleted URLs count as not held. The answers of the
+        filter are written to the shared folder at once; the rest is done when the result is used."""
+        batch = urls.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct()
+        base, pending = self._state()
+        held = self._held(base, pending)
+        if base is None or "filter" not in base:
+            return batch.join(held, "url", "left_anti")
+        # Written, so that the batch, such as the links of many pages, is made once for both answers.
+        path = fresh_path(self.spark, "probed")
+        probe(batch, self._filter_table(base), base["filter_blocks"]).write.parquet(path)
+        probed = self.spark.read.schema("url STRING, ws_maybe BOOLEAN").parquet(path)
+        asked = probed.filter("ws_maybe").select("url")
+        # Few candidates are broadcast to the base by the optimizer, many go to its buckets.
+        maybe = asked.join(held.join(asked, "url", "left_semi"), "url", "left_anti")
+        absent = probed.filter("NOT ws_maybe").select("url")
+        if pending:
+            absent = absent.join(self._newest_state(pending).filter("NOT ws_gone").select("url"), "url", "left_anti")
+        return maybe.unionByName(absent)
+
+    def _newest_state(self, pending: list[dict]) -> DataFrame:
+        """(url, ws_gone) of the newest pending change of each URL."""
+        gone = F.col("deleted_at").isNotNull()
+        return self._changed(pending).groupBy("url").agg(F.max_by(gone, "ws_version").alias("ws_gone"))
+
+    def _held(self, base: dict | None, pending: list[dict]) -> DataFrame:
+        """(url) of :meth:`load`, from two columns of the base."""
+        stored = self._base_table(base) if base else self.spark.createDataFrame([], FRONTIER)
+        held = stored.filter(F.col("deleted_at").isNull()).select("url")
+        if not pending:
+            return held
+        newest = self._newest_state(pending)
+        return (
+            held.withColumn("ws_base", F.lit(True))
+            .join(newest, "url", "full")
+            .filter(~F.coalesce("ws_gone", F.lit(False)))
+            .select("url")
+        )
+
+    def _filter_table(self, entry: dict) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{entry['filter']}")
+
+    def _write_filter(self, base: dict | None, pending: list[dict], stored: DataFrame) -> dict:
+        """The filter of a new base, as fields of its entry: that of the last base with the bits of the changes,
+        or, where the URLs have outgrown it, one of all URLs."""
+        blocks = blocks_for(stored.count())
+        if base and base.get("filter_blocks") == blocks:
+            fresh = build_filter(self._changed(pending), blocks)
+            table = merge_filters(self._filter_table(base), fresh)
+        else:
+            table = build_filter(stored, blocks)
+        folder = f"filter-{uuid4().hex}"
+        table.write.parquet(f"{self.path}/data/{folder}")
+        return {"filter": folder, "filter_blocks": blocks}
+
     def changes(self, label: str) -> DataFrame:
         """The rows a labelled commit has written."""
         found = [e for e in self._entries() if e["kind"] == "changes" and e["label"] == label]
@@ -200,6 +263,7 @@ class FrontierStore:
             .option("path", self._folder(entry))
             .saveAsTable(self._table(entry))
         )
+        entry |= self._write_filter(base, pending, self._base_table(entry))
         self.log.put(f"base-{version:08d}", entry | {"labels": labels[-LABELS_KEPT:]})
         self._drop_old()
         return version
@@ -215,5 +279,10 @@ class FrontierStore:
             if e["version"] < kept or (e["kind"] == "changes" and e["version"] == kept):
                 self.log.remove(f"{e['kind']}-{e['version']:08d}")
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._table(e)}")
-                fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(e))
-                fs.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(fs, True)
+                self._remove(self._folder(e))
+                if "filter" in e:
+                    self._remove(f"{self.path}/data/{e['filter']}")
+
+    def _remove(self, folder: str) -> None:
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(fs, True)
