@@ -59,6 +59,51 @@ def read_url_list(spark: SparkSession, d: str) -> DataFrame:
     return lines.read_url_list(spark, path)
 
 
+def _in_order(rows: DataFrame, order: str, name: str) -> str:
+    """Path of a text of ``value`` in the order of a column, in files of a few parts."""
+    path = fresh_path(rows.sparkSession, name)
+    # Columns of the order are no part of a text, so the rows are laid out before the text is taken.
+    rows.orderBy(order).select("value").write.text(path)
+    return path
+
+
+def numbered_urls(spark: SparkSession, d: str) -> DataFrame:
+    """A list with an empty line after every URL: numbers count all lines."""
+    listed = inputs.page_urls(spark, d).select(
+        (F.col("page_id") * 2).alias("place"), F.concat("url", F.lit("\n")).alias("value")
+    )
+    path = _in_order(listed, "place", "numbered-urls")
+    return lines.read_numbered_urls(spark, path)
+
+
+def fetch_order(spark: SparkSession, d: str) -> DataFrame:
+    """The politeness plan of a list as it stands in its files."""
+    asked = inputs.requests(spark, d).select(
+        "page_id", F.concat_ws("\t", "url", "ip").alias("value")
+    )
+    hints = lines.read_fetch_hints(spark, _in_order(asked, "page_id", "fetch-list"))
+    return hosts.politeness_plan(hints, "seq")[0].drop("ip")
+
+
+def import_pages_file(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`import_pages` from a file of records, in the order of its lines."""
+    known = inputs.frontier(spark, d).withColumn("message", F.lit("failed: before"))
+    queued = known.withColumn("queued_at", F.lit(QUEUED_AT).cast("timestamp"))
+    made = inputs.numbered_records(spark, d)
+    text = made.select("seq", F.to_json(F.struct("Data", "Success", "Message")).alias("value"))
+    judged = records.read_numbered_page_records(spark, _in_order(text, "seq", "page-records"))
+    return _shown(fr.import_pages(queued, judged.filter(F.col(records.CORRUPT).isNull()), at=inputs.START))
+
+
+def import_resolutions_file(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`import_resolutions` from a file of records, in the order of its lines."""
+    known = inputs.frontier(spark, d).withColumn("message", F.lit("failed: before"))
+    made = inputs.resolutions(spark, d)
+    text = made.select("seq", F.to_json(F.struct("Url", "IP", "Cname", "Message")).alias("value"))
+    judged = records.read_numbered_resolutions(spark, _in_order(text, "seq", "resolutions"))
+    return _shown(fr.import_resolutions(known, judged.filter(F.col(records.CORRUPT).isNull()), at=inputs.START)[0])
+
+
 def parse_fetch_hints(spark: SparkSession, d: str) -> DataFrame:
     hints = inputs.requests(spark, d).select(
         "page_id",
@@ -611,6 +656,8 @@ def stream_address(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "links_per_site": links_per_site,
     "read_url_list": read_url_list,
+    "numbered_urls": numbered_urls,
+    "fetch_order": fetch_order,
     "parse_fetch_hints": parse_fetch_hints,
     "read_page_records": read_page_records,
     "read_resolutions": read_resolutions,
@@ -656,7 +703,9 @@ QUERIES: dict[str, Query] = {
     "import_links_new": import_links_new,
     "import_links_filtered": import_links_filtered,
     "import_pages": import_pages,
+    "import_pages_file": import_pages_file,
     "import_resolutions": import_resolutions,
+    "import_resolutions_file": import_resolutions_file,
     "import_resolutions_unmatched": import_resolutions_unmatched,
     "next_urls": next_urls,
     "mark_queued": mark_queued,

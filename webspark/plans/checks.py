@@ -334,6 +334,11 @@ FROM pages WHERE regexp_replace(url, '[?].*$', '') NOT IN ({frontier0})"""
 SELECT regexp_extract(link, '^([a-z]+://[^/?#]*)', 1) AS site, count(DISTINCT link) AS links
 FROM kept GROUP BY 1""",
         "read_url_list": "SELECT url FROM pages",
+        "numbered_urls": "SELECT (row_number() OVER (ORDER BY page_id) - 1) * 2 AS seq, url FROM pages",
+        "fetch_order": f"""WITH {_requests()}
+SELECT row_number() OVER (ORDER BY page_id) - 1 AS seq, url, {ADDRESS} AS address,
+  row_number() OVER (PARTITION BY {ADDRESS} ORDER BY page_id) - 1 AS position,
+  row_number() OVER (PARTITION BY {ADDRESS} ORDER BY page_id) - 1 AS start_after FROM asked""",
         "parse_fetch_hints": f"""WITH lines AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url
   WHEN 1 THEN url || chr(9) || '10.0.0.' || (page_id % 256) WHEN 2 THEN url || chr(9) || 'bad'
   WHEN 3 THEN url || chr(9) || '10.0.0.1' || chr(9) || 'z'
@@ -467,7 +472,9 @@ SELECT {_site_row(ENGLISH)} FROM ({frontier0}) UNION ALL SELECT {_site_row()} FR
         "import_links_new": f"{_imported()}\nSELECT url FROM fresh",
         "import_links_filtered": f"{_imported()}\nSELECT url FROM fresh",
         "import_pages": import_pages,
+        "import_pages_file": import_pages,
         "import_resolutions": import_resolutions,
+        "import_resolutions_file": import_resolutions,
         "import_resolutions_unmatched": unmatched,
         "next_urls": f"""SELECT url FROM ({frontier0}) WHERE NOT {ENGLISH}
 ORDER BY md5('{SEED}' || url), url LIMIT 10""",
