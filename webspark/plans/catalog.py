@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webspark.functions import urls as U
 from webspark.functions.domains import url_domain
-from webspark.operators import fetched, hosts, links, resolution, robots
+from webspark.operators import fetched, hosts, links, resolution, robots, suffixes
 from webspark.operators import frontier as fr
 from webspark.plans import inputs
 from webspark.sources import lines, records
@@ -240,6 +240,18 @@ def _filtered(keep: Callable[[str], Column]) -> Query:
     return lambda spark, d: _resolved(spark, d).filter(keep("link"))
 
 
+def registered_domain_table(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`registered_domain` by a list file of more rules, some of them outside ASCII."""
+    rules = suffixes.load_suffix_table(spark, inputs.suffix_list(spark))
+    hosts_of = inputs.url_forms(spark, d).select("page_id", "form", U.url_host("u").alias("host"))
+    return suffixes.attach_domain(hosts_of, rules).drop("host")
+
+
+def filter_links_table(spark: SparkSession, d: str) -> DataFrame:
+    rules = suffixes.load_suffix_table(spark, inputs.suffix_list(spark))
+    return suffixes.filter_links(_resolved(spark, d), rules)
+
+
 def filter_links(spark: SparkSession, d: str) -> DataFrame:
     return links.filter_links(_resolved(spark, d).filter(F.col("link").isNotNull()))
 
@@ -667,6 +679,7 @@ QUERIES: dict[str, Query] = {
     "canonicalize_url": _on_forms(U.canonicalize_url, "canonical"),
     "site_root": _on_forms(U.site_root, "root"),
     "registered_domain": _on_forms(url_domain, "domain"),
+    "registered_domain_table": registered_domain_table,
     "robots_url": _on_forms(U.robots_url, "robots"),
     "resolve_reference": resolve_reference,
     "strip_query": strip_query,
@@ -675,6 +688,7 @@ QUERIES: dict[str, Query] = {
     "filter_domain": _filtered(links.has_registrable_domain),
     "filter_port": _filtered(links.has_no_port),
     "filter_links": filter_links,
+    "filter_links_table": filter_links_table,
     "reject_reasons": reject_reasons,
     "extract_hrefs": _on_pages(links.extract_hrefs),
     "resolve_links": _on_pages(links.resolve_links),

@@ -10,7 +10,7 @@ import re
 import unicodedata
 from urllib.parse import unquote
 
-from webspark.functions.domains import BUILT_IN
+from webspark.functions.domains import BUILT_IN, BUILT_IN_RULES, SuffixRules
 from webspark.plans import inputs
 from webspark.plans.catalog import AS_OF, BODY_LIMIT, PAGE_DATA_TEXT, QUEUED_AT, SEED, SPARSE, bad_lines
 
@@ -164,9 +164,15 @@ forms AS (SELECT page_id, base, unnest(us) AS u, (generate_subscripts(us, 1) - 1
   FROM form1)"""
 
 
-def _domain_step(name: str, source: str, host: str) -> str:
+# The list of :func:`inputs.suffix_list`, with rules in both forms.
+LISTED = SuffixRules.parse(
+    [*BUILT_IN_RULES.split(), *inputs.PRIVATE_RULES, *(ascii_name(r) for r in inputs.PRIVATE_RULES if not r.isascii())]
+)
+
+
+def _domain_step(name: str, source: str, host: str, listed: SuffixRules = BUILT_IN) -> str:
     """Adds ``effective``: public suffix and one label of ``host``, empty when there is none."""
-    kinds = {"plain": BUILT_IN.plain, "wild": BUILT_IN.wildcard, "except": BUILT_IN.exception}
+    kinds = {"plain": listed.plain, "wild": listed.wildcard, "except": listed.exception}
     rules = ", ".join(f"('{r}', '{k}')" for k, rs in kinds.items() for r in sorted(rs))
     return f"""
 {name}_rules(rule, kind) AS (VALUES {rules}),
@@ -186,12 +192,12 @@ def _domain_step(name: str, source: str, host: str) -> str:
 {name} AS (SELECT s.*, d.effective FROM {source} s LEFT JOIN {name}_domains d ON s.{host} = d.h)"""
 
 
-def _reasons(name: str, source: str) -> str:
+def _reasons(name: str, source: str, listed: SuffixRules = BUILT_IN) -> str:
     """Adds ``reason`` to a table with ``link``."""
     return f"""
 {name}0 AS (SELECT *, regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS link_scheme,
     regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*@)?([^/?#]*)', 2) AS link_host
-  FROM {source} WHERE link IS NOT NULL),{_domain_step(name + '1', name + '0', 'link_host')},
+  FROM {source} WHERE link IS NOT NULL),{_domain_step(name + '1', name + '0', 'link_host', listed)},
 {name} AS (SELECT *, CASE WHEN link_scheme NOT IN ('http', 'https') THEN 'scheme'
     WHEN effective = '' THEN 'empty_host' WHEN contains(link_host, ':') THEN 'port' END AS reason
   FROM {name}1)"""
@@ -376,6 +382,11 @@ SELECT page_id, form, CASE WHEN m.s <> '' THEN lower(m.s) || '://' || {site}
         "registered_domain": f"""{norm},
 hosts AS (SELECT *, CASE WHEN x_ok THEN list_last(string_split(x_a, '@')) END AS x_host FROM x),
 {_domain_step('dom', 'hosts', 'x_host')}
+SELECT page_id, form, CASE WHEN regexp_full_match(x_host, '{IPV4}') THEN x_host ELSE effective END
+  AS domain FROM dom""",
+        "registered_domain_table": f"""{norm},
+hosts AS (SELECT *, CASE WHEN x_ok THEN list_last(string_split(x_a, '@')) END AS x_host FROM x),
+{_domain_step('dom', 'hosts', 'x_host', LISTED)}
 SELECT page_id, form, CASE WHEN regexp_full_match(x_host, '{IPV4}') THEN x_host ELSE effective END
   AS domain FROM dom""",
         "resolve_reference": f"{resolved}\nSELECT page_id, form, link FROM z",
@@ -393,6 +404,7 @@ SELECT page_id, form, link FROM y WHERE reason IS DISTINCT FROM 'scheme'""",
         "filter_domain": f"{reasons}\nSELECT page_id, form, link FROM y WHERE effective <> ''",
         "filter_port": f"{reasons}\nSELECT page_id, form, link FROM y WHERE NOT contains(link_host, ':')",
         "filter_links": f"{reasons}\nSELECT page_id, form, link FROM y WHERE reason IS NULL",
+        "filter_links_table": f"{resolved},{_reasons('y', 'z', LISTED)}\nSELECT page_id, form, link FROM y WHERE reason IS NULL",
         "reject_reasons": f"""{reasons}
 SELECT coalesce(reason, 'kept') AS reason, count(*) AS links FROM y GROUP BY 1""",
         "extract_hrefs": f"WITH {_hrefs()}\nSELECT url, pos, href FROM hrefs",

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webspark.functions.domains import BUILT_IN_RULES
 from webspark.operators.fetched import failed_records, to_page_records
 from webspark.operators.frontier import new_sites, site_id
 from webspark.operators.links import extract_links
+from webspark.sources.shared import fresh_path
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 START = "2024-01-01 00:00:00"
@@ -52,6 +54,18 @@ URL_FORMS = [
 ]
 
 
+# Rules beside the built-in ones, in a section of their own, as a list file has them.
+PRIVATE_RULES = ["example.net", "*.example.org", "!www.example.org", "bücher.example", "テスト"]
+
+
+def suffix_list(spark: SparkSession) -> str:
+    """Path of a list file of the built-in and the private rules."""
+    path = fresh_path(spark, "suffix-list")
+    text = ["// ===BEGIN ICANN DOMAINS===", *BUILT_IN_RULES.split(), "// ===BEGIN PRIVATE DOMAINS===", *PRIVATE_RULES]
+    spark.createDataFrame([("\n".join(text),)], "value string").write.text(path)
+    return path
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table."""
     return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet")
