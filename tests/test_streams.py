@@ -198,3 +198,53 @@ def test_addresses_across_batches(spark):
     # What the watermark has passed is out, once each; the rest waits for later rows.
     assert len(got) >= 230 and spark.read.parquet(f"{base}/out").count() == len(got)
     assert got == {i: want[i] for i in got}
+
+
+def test_addresses_after_a_restart_in_another_time_zone(spark):
+    """State of lists and timers is taken up again; requests keep their columns, whatever their types."""
+    from pyspark.sql import functions as F
+
+    from webspark.operators.resolution import attach_address
+
+    base = fresh_path(spark, "address-restart")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        asked = spark.range(120).selectExpr(
+            "id", "'http://hot.com/' AS url", "array(id, NULL) AS parts", "named_struct('a', id, 'b', 'x') AS pair",
+            "if(id % 50 = 49, NULL, timestamp'2024-11-03 00:00:00' + make_dt_interval(0, 0, 2 * id)) AS at",
+        )
+        observed = spark.range(0, 120, 9).selectExpr(
+            "'hot.com' AS host", "array(concat('10.0.0.', id)) AS ips", "if(id % 2 = 0, 'c', NULL) AS cname",
+            "timestamp'2024-11-03 00:00:00' + make_dt_interval(0, 0, 2 * id) AS observed_at",
+            "cast(null AS string) AS error",
+        )
+
+        def stream(name, rows):
+            return spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+
+        def wave(low, high):
+            asked.filter(f"id >= {low} AND id < {high}").write.mode("append").parquet(f"{base}/asked")
+            near = f"observed_at >= timestamp'2024-11-03' + make_dt_interval(0, 0, {2 * low})"
+            till = f"observed_at < timestamp'2024-11-03' + make_dt_interval(0, 0, {2 * high})"
+            observed.filter(f"{near} AND {till}").write.mode("append").parquet(f"{base}/seen")
+            joined = streams.stream_address(stream("asked", asked), stream("seen", observed), "at", late="1 minute")
+            writer = joined.writeStream.format("parquet").option("path", f"{base}/out")
+            _run(writer.option("checkpointLocation", f"{base}/cp"))
+
+        wave(0, 50)
+        wave(50, 100)
+        wave(100, 120)
+        rows = spark.read.parquet(f"{base}/out").orderBy("id").collect()
+        got = {r.id: (r.ip, r.observed_at) for r in rows}
+        as_of = attach_address(asked, observed, as_of="at").select("id", "ip", "at").collect()
+        want = {r.id: r.ip for r in as_of}
+        assert len(rows) == len(got) >= 100 and {49, 99} <= got.keys()
+        assert {i: g[0] for i, g in got.items()} == {i: want[i] for i in got}
+        times = {r.ips[0]: r.observed_at for r in observed.collect()}
+        assert all(at == (times[ip] if ip else None) for ip, at in got.values())
+        assert sum(ip is not None for ip, _ in got.values()) > 20
+        kept = spark.read.parquet(f"{base}/out").drop("ip", "cname", "observed_at")
+        known = F.col("id").isin(sorted(got))
+        assert kept.exceptAll(asked.filter(known)).count() == 0 == asked.filter(known).exceptAll(kept).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

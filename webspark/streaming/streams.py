@@ -6,15 +6,14 @@ through ``foreachBatch`` with labelled commits, and what needs state bounds it w
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from webspark.functions.domains import BUILT_IN, SuffixRules
 from webspark.functions.urls import url_hostname
@@ -29,6 +28,23 @@ STATS_INTERVAL = "3 seconds"
 
 SLICES_PER_TTL = 4
 
+# Rows that go to a list of the state in one call.
+LOT = 1000
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+MAPS = "HDFSBackedStateStoreProvider"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_ANSWER = StructType(
+    [*(StructField(c, StringType()) for c in ("request", "ip", "cname")), StructField("seen", LongType())]
+)
+
+# Times keep their microseconds and, where they are moments, the offset that makes them one.
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def stream_extract(
     pages: DataFrame,
@@ -81,6 +97,86 @@ def start_stats(requests: DataFrame, event_time: str, ip: str = "ip", **options:
     )
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Lets streams that start from now on keep their state in RocksDB, as state with lists and timers needs;
+    a setting of the session's own for the provider stays. Running streams, and restarts from a checkpoint,
+    keep the provider they began with."""
+    if spark.conf.get(PROVIDER, MAPS).endswith(MAPS):
+        spark.conf.set(PROVIDER, ROCKSDB)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _address_server(width: int, ttl: int) -> StatefulProcessor:
+    """The state of a host's slice: its requests and its observations as lists that are only appended to,
+    the newest observation from before the slice as one value, and a timer at the end of the slice."""
+
+    answer = Row(*_ANSWER.names)
+    asking = StructType([StructField("at", LongType()), StructField("request", StringType())])
+    seen = StructType([StructField("seen", LongType()), *_ANSWER.fields[1:3]])
+
+    # Nested, so that workers get it with the plan and need no module.
+    def rank(observation: tuple) -> tuple:
+        return observation[0], observation[1] or ""
+
+    class Server(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.asks = handle.getListState("asks", asking)
+            self.found = handle.getListState("found", seen)
+            self.before = handle.getValueState("before", seen)
+
+        def handleInputRows(self, key, rows, timerValues):
+            if key[1] is None:  # requests without a time
+                for row in rows:
+                    if row["request"] is not None:
+                        yield answer(row["request"], None, None, None)
+                return
+            start = key[1] * width
+            asks, found, before = [], [], None
+            for row in rows:
+                if row["request"] is not None:
+                    asks.append((row["micros"], row["request"]))
+                    if len(asks) == LOT:
+                        self.asks.appendList(asks)
+                        asks = []
+                elif row["micros"] >= start:
+                    found.append((row["micros"], row["ip"], row["cname"]))
+                    if len(found) == LOT:
+                        self.found.appendList(found)
+                        found = []
+                else:
+                    one = (row["micros"], row["ip"], row["cname"])
+                    before = one if before is None else max(before, one, key=rank)
+            if asks:
+                self.asks.appendList(asks)
+            if found:
+                self.found.appendList(found)
+            if before is not None:
+                known = self.before.get() if self.before.exists() else None
+                if known is None or rank(known) < rank(before):
+                    self.before.update(before)
+            self.handle.registerTimer((start + width) // 1000 + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            found = list(self.found.get())
+            if self.before.exists():
+                found.append(self.before.get())
+            found.sort(key=rank)
+            times = [o[0] for o in found]
+            for at, asked in self.asks.get():
+                place = bisect_right(times, at)
+                if place and times[place - 1] >= at - ttl:
+                    moment, ip, cname = found[place - 1]
+                    yield answer(asked, ip, cname, moment)
+                else:
+                    yield answer(asked, None, None, None)
+            self.asks.clear()
+            self.found.clear()
+            self.before.clear()
+
+    return Server()
+
+
 def stream_address(
     requests: DataFrame,
     observations: DataFrame,
@@ -94,10 +190,13 @@ def stream_address(
 
     State is kept per host and slice of time, so a busy host's state is spread over its slices. An
     observation is handed to every slice it reaches; of those from before a slice only the newest is
-    held. When the watermark has passed a slice, its requests come out and its state is dropped. No pairs
-    are formed. Failed observations and empty answers serve nobody. Rows later than ``late`` are dropped,
-    as by every watermark.
+    held. Requests of a batch are appended to their slice's state, which is not read before the watermark has
+    passed the slice: then a timer hands its requests out one by one and drops the state. They are held as JSON
+    of their columns' types (maps need text as keys). No pairs are formed. Failed observations and empty answers serve nobody. Rows later than ``late`` are dropped,
+    as by every watermark. The session's streams keep their state in RocksDB from here on
+    (:func:`keep_state_in_rocksdb`).
     """
+    keep_state_in_rocksdb(requests.sparkSession)
     width = max(1, ttl_seconds * 1_000_000 // SLICES_PER_TTL)
 
     def slice_of(micros: Column) -> Column:
@@ -108,7 +207,8 @@ def stream_address(
         url_hostname(url).alias("ws_host"),
         slice_of(F.unix_micros(asked_at)).alias("ws_slice"),
         F.col(asked_at).alias("ws_at"),
-        F.struct(*kept).alias("request"),
+        F.unix_micros(asked_at).alias("micros"),
+        F.to_json(F.struct(*kept), JSON_TIMES).alias("request"),
     )
     seen = F.unix_micros("observed_at")
     served = observations.filter(F.col("error").isNull() & (F.size("ips") > 0)).select(
@@ -117,61 +217,18 @@ def stream_address(
             F.sequence(slice_of(seen), slice_of(seen + F.lit(ttl_seconds * 1_000_000)))
         ).alias("ws_slice"),
         F.col("observed_at").alias("ws_at"),
+        seen.alias("micros"),
         F.element_at("ips", 1).alias("ip"),
         "cname",
     )
     both = asked.unionByName(served, allowMissingColumns=True).withWatermark("ws_at", late)
-    fields = ", ".join(f"`{c}` {requests.schema[c].dataType.simpleString()}" for c in kept)
-    columns = [*kept, "ip", "cname", "observed_at"]
-    ttl = pd.Timedelta(seconds=ttl_seconds)
-
-    def answers(asks: list, found: list) -> pd.DataFrame:
-        rows = []
-        for at, request in asks:
-            near = [o for o in found if at is not None and at - ttl <= o[0] <= at]
-            best = max(near, key=lambda o: (o[0], o[1]), default=(None, None, None))
-            rows.append([*request, best[1], best[2], best[0]])
-        return pd.DataFrame(rows, columns=columns, dtype=object)
-
-    def serve(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        asks, found = pickle.loads(state.get[0]) if state.exists else ([], [])
-        if state.hasTimedOut:
-            state.remove()
-            yield answers(asks, found)
-            return
-        for batch in batches:
-            for at, request, ip, cname in zip(
-                batch["ws_at"], batch["request"], batch["ip"], batch["cname"], strict=True
-            ):
-                moment = None if pd.isna(at) else at
-                if request is None:
-                    found.append((moment, ip, cname))
-                else:
-                    asks.append((moment, tuple(request[c] for c in kept)))
-        if key[1] is None:  # a request without a time
-            yield answers(asks, [])
-            return
-        start = pd.Timestamp(int(key[1]) * width, unit="us")
-        older = [o for o in found if o[0] < start]
-        found = [o for o in found if o[0] >= start] + sorted(older, key=lambda o: o[:2])[-1:]
-        end = (int(key[1]) + 1) * width // 1000 + 1
-        if end <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-            if asks:
-                yield answers(asks, found)
-            return
-        state.update((pickle.dumps((asks, found)),))
-        state.setTimeoutTimestamp(end)
-
-    return both.groupBy("ws_host", "ws_slice").applyInPandasWithState(
-        serve,
-        f"{fields}, ip string, cname string, observed_at timestamp",
-        "held binary",
-        "append",
-        "EventTimeTimeout",
+    request = StructType([StructField(c, requests.schema[c].dataType) for c in kept])
+    answered = both.groupBy("ws_host", "ws_slice").transformWithState(
+        _address_server(width, ttl_seconds * 1_000_000), _ANSWER, "append", "eventTime"
+    )
+    asked_for = F.from_json("request", request, JSON_TIMES).alias("request")
+    return answered.select(asked_for, "ip", "cname", F.timestamp_micros("seen").alias("observed_at")).select(
+        "request.*", "ip", "cname", "observed_at"
     )
 
 
