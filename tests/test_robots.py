@@ -1,5 +1,6 @@
 from conftest import column
 
+from webspark.functions.urls import robots_path
 from webspark.operators import robots
 
 CASES = [
@@ -82,3 +83,52 @@ def test_many_stars_take_one_walk(spark):
     start = time.perf_counter()
     assert {r.url[7]: r.allowed for r in asked.collect()} == {"h": True, "g": False}
     assert time.perf_counter() - start < 5
+
+
+def test_verdicts_against_every_rule_in_turn(spark):
+    """The index gives what a walk over all rules of a site gives, signs outside ASCII and ties included."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    bits = ["/", "a", "b", "ab", "é", "𝄞", "*", "$"]
+    sites = {}
+    for i in range(60):
+        rules = {
+            ("/" + "".join(rng.choices(bits[:6] * 4 + bits[6:], k=rng.randint(0, 5))), rng.random() < 0.5)
+            for _ in range(rng.randint(1, 40))
+        }
+        lines = [f"{'allow' if allow else 'disallow'}: {p}" for p, allow in rules]
+        sites[f"http://h{i}.com"] = "\n".join(["user-agent: *", *lines])
+    paths = ["/" + "".join(rng.choices(bits[:6], k=rng.randint(0, 7))) for _ in range(60)]
+    asked = spark.createDataFrame([(s, s + p) for s in sites for p in set(paths)], "s string, url string")
+
+    def fits(pattern, path):
+        body = pattern[:-1] if pattern.endswith("$") else pattern
+        there = ".*".join(map(re.escape, body.split("*")))
+        return re.match(there + (r"\Z" if pattern.endswith("$") else ""), path, re.S) is not None
+
+    rules = robots.parse_robots(spark.createDataFrame(list(sites.items()), "site string, body string")).cache()
+    judged = robots.with_robots_verdict(asked, rules).withColumn("path", robots_path("url")).collect()
+    known = {}
+    for r in rules.collect():
+        known.setdefault(r.site, []).append((r.pattern, r.allow))
+    assert len(judged) == len(set(paths)) * len(sites)
+    for r in judged:
+        best = max(((len(p), allow) for p, allow in known[r.s] if fits(p, r.path)), default=(0, True))
+        assert r.allowed == best[1], (known[r.s], r.path)
+
+
+def test_many_rules_cost_a_search(spark):
+    """50,000 rules of one site: requests are looked up, not compared with each of them."""
+    import time
+
+    rules = spark.range(50_000).selectExpr(
+        "'http://h.com' AS site", "'*' AS agent", "concat('/d', id, '/') AS pattern", "id % 2 = 0 AS allow"
+    )
+    asked = spark.range(20_000).selectExpr("id", "concat('http://h.com/d', id * 3, '/x') AS url")
+    judged = robots.with_robots_verdict(asked, rules)
+    start = time.perf_counter()
+    got = {r.id: r.allowed for r in judged.collect()}
+    assert time.perf_counter() - start < 60  # a walk over all rules makes a billion tests
+    assert got == {i: i * 3 >= 50_000 or i % 2 == 0 for i in range(20_000)}

@@ -74,9 +74,30 @@ def parse_robots(bodies: DataFrame, site: str = "site", body: str = "body") -> D
     )
 
 
+# A rule with a star, with an end mark or without a pattern (a file that could not be read) is walked.
+_WALKED = "(ws_r.pattern IS NULL OR contains(ws_r.pattern, '*') OR endswith(ws_r.pattern, '$'))"
+
+
+def _index(allow: bool) -> str:
+    """SQL of the plain patterns among ``mine`` with one verdict: in order, their lengths from the longest,
+    and the powers of two by which a search in them steps."""
+    plain = f"ws_r.allow = {allow} AND NOT {_WALKED} AND ws_r.pattern != ''"
+    patterns = f"sort_array(array_distinct(transform(filter(mine, ws_r -> {plain}), ws_r -> ws_r.pattern)))"
+    powers = "transform(sequence(30, 0, -1), ws_k -> shiftleft(1, ws_k))"
+    return let(
+        patterns,
+        "ws_ps",
+        lambda ps: struct(
+            patterns=ps,
+            lengths=f"sort_array(array_distinct(transform({ps}, ws_x -> length(ws_x))), false)",
+            steps=f"filter({powers}, ws_k -> ws_k <= size({ps}))",
+        ),
+    )
+
+
 def _site_rules(rules: DataFrame, agent: str) -> DataFrame:
-    """(site, site_rules): rules of the group for ``agent``, best match first. A site's rules are
-    one file's, so the array is bounded by the file."""
+    """(site, site_rules): rules of the group for ``agent``; plain ones as an index for either verdict, the
+    others in a list, best match first. A site's rules are one file's, so the row is bounded by the file."""
     name = agent.lower()
     mine = rules.filter(
         (F.col("agent") == "*") | ((F.col("agent") != "") & F.startswith(F.lit(name), F.col("agent")))
@@ -87,13 +108,29 @@ def _site_rules(rules: DataFrame, agent: str) -> DataFrame:
         F.col("allow"),
         F.col("pattern"),
     )
-    return mine.groupBy("site").agg(
-        F.sort_array(F.collect_set(rule), asc=False).alias("found")
-    ).select("site", F.expr("filter(found, ws_r -> ws_r.rank = found[0].rank)").alias("site_rules"))
+    found = mine.groupBy("site").agg(F.sort_array(F.collect_set(rule), asc=False).alias("found"))
+    best = found.select("site", F.expr("filter(found, ws_r -> ws_r.rank = found[0].rank)").alias("mine"))
+    indexed = struct(
+        allow=_index(True), deny=_index(False), walked=f"filter(mine, ws_r -> {_WALKED})"
+    )
+    return best.select("site", F.expr(indexed).alias("site_rules"))
+
+
+def _longest_plain(index: str, path: str) -> str:
+    """SQL length of the longest pattern of an index that begins the path, null without one. The beginnings of
+    the path with the lengths of patterns are looked for by binary search, the longest first. As the lengths
+    of different patterns add up to the file, there are few of them: the square root of it at most."""
+    place = (
+        f"aggregate({index}.steps, 0, (ws_at, ws_step) -> "
+        f"if(get({index}.patterns, ws_at + ws_step - 1) <= ws_key, ws_at + ws_step, ws_at))"
+    )
+    stands = let(f"left({path}, ws_n)", "ws_key", lambda k: f"coalesce(get({index}.patterns, {place} - 1) = {k}, false)")
+    lengths = f"filter({index}.lengths, ws_n -> ws_n <= length({path}))"
+    return f"aggregate({lengths}, cast(NULL AS int), (ws_best, ws_n) -> if(ws_best IS NULL AND {stands}, ws_n, ws_best))"
 
 
 def _rule_matches(path: str) -> str:
-    """SQL test of one rule ``ws_r`` on a path: ``*`` stands for any text, a last ``$`` for the end.
+    """SQL test of one walked rule ``ws_r`` on a path: ``*`` stands for any text, a last ``$`` for the end.
 
     Patterns come from strangers, so they are no regular expressions: the pieces between the stars are
     looked for one after the other, each at the first place after the one before, which decides such
@@ -141,11 +178,26 @@ def with_robots_verdict(
     The longest matching pattern wins, an allow wins a tie, no match allows; the query is not
     looked at. A site without rules is open, a site whose file could not be read is closed.
     """
-    first = f"try_element_at(filter(site_rules, ws_r -> {_rule_matches('robots_path')}), 1).allow"
+    path = "robots_path"
+    walked = f"try_element_at(filter(site_rules.walked, ws_r -> {_rule_matches(path)}), 1)"
+    fitting = ", ".join(
+        [
+            let(walked, "ws_w", lambda w: f"if({w} IS NULL, NULL, {struct(size=f'{w}.size', allow=f'{w}.allow')})"),
+            *(
+                let(
+                    _longest_plain(f"site_rules.{kind}", path),
+                    "ws_size",
+                    lambda n, kind=kind: f"if({n} IS NULL, NULL, {struct(size=n, allow=str(kind == 'allow'))})",
+                )
+                for kind in ("allow", "deny")
+            ),
+        ]
+    )
+    verdict = f"greatest({fitting}).allow"
     return (
         lookup(requests.withColumn("site", site_root(url)), _site_rules(rules, agent), ["site"])
         .withColumn("robots_path", robots_path(url))
-        .withColumn("allowed", F.coalesce(F.expr(first), F.lit(True)))
+        .withColumn("allowed", F.coalesce(F.expr(verdict), F.lit(True)))
         .drop("site", "site_rules", "robots_path")
     )
 
