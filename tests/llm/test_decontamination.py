@@ -91,3 +91,33 @@ def test_odd_rows(spark, texts):
     assert dc.contaminated(docs.limit(0), items).count() == 0
     with pytest.raises(ValueError):
         dc.contaminated(docs, items, threshold=0.1)
+
+
+def test_items_of_every_script(spark, texts):
+    items = [
+        (1, "今天天气很好我们去公园。答案是北京。"),
+        (2, "東京タワーの高さは何メートルですか？三百三十三メートルです。"),
+        (3, "Wer schrieb «Über die Größe» im Jahr 1905? Das schrieb Ödön Müller."),
+        (4, "ประเทศไทยมีเมืองหลวงชื่ออะไร กรุงเทพมหานคร"),
+        (5, "ΠΟΙΟΣ ΕΓΡΑΨΕ ΤΗΝ ΟΔΥΣΣΕΙΑ; Ο ΟΜΗΡΟΣ ΕΓΡΑΨΕ ΤΗΝ ΟΔΥΣΣΕΙΑ."),
+        (6, "Which word has a soft hyphen in it? The word hyphenation has it."),
+    ]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    other = "昨日は雨が降りましたので家で本を読みました。明天我们去上海看朋友。"
+    docs = texts(
+        (1, other + items[0][1] + other),
+        (2, "，".join([other, items[1][1], other])),
+        (3, "Intro — wer schrieb „über die Größe“ im Jahr 1905… DAS SCHRIEB ÖDÖN MÜLLER!"),
+        (4, "x " + items[3][1] + " y"),
+        (5, "(" + items[4][1].lower().replace("ς", "σ") + ")"),
+        (6, "which word has a soft hy\u00adphen in it? “the word hyphen\u00adation” has it"),
+        (7, other * 50),
+        (8, "今天下雨我们在家。"),
+    )
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, b).collect()}
+    assert {(k, k) for k in range(1, 7)} <= got and not {7, 8} & {d for d, _ in got}
+    assert got == {(d, i) for d, i in got if d == i}
+    for size in (20_000, 2):  # in one pass, and in several
+        clean = dc.decontaminate(docs, b, pass_items=size)
+        assert {r["doc_id"] for r in clean.collect()} == {7, 8}
+        assert "Exchange" not in clean._jdf.queryExecution().executedPlan().toString()

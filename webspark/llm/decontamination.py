@@ -12,12 +12,15 @@ both stand in the passage.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,14 @@ COMMON_PART = 0.2
 # Items that one pass over the documents indexes: bounds what is broadcast.
 PASS_ITEMS = 20_000
 
-_SENTENCE = re.compile(r"(?<=[.?!])\s+")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*")
+_UNSEEN = regex.compile(r"\p{Cf}+")
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+# Scripts without spaces between words.
+_DENSE = regex.compile(
+    r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}][\p{M}\u30fc]*"
+)
+_DENSE_RUN = regex.compile(f"(?:{_DENSE.pattern})+")
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -50,9 +60,32 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(parts[:-1]), parts[-1]
 
 
+def _pairs(run: regex.Match) -> str:
+    signs = _DENSE.findall(run.group())
+    return " " + " ".join(map("".join, zip(signs, signs[1:], strict=False)) if len(signs) > 1 else signs) + " "
+
+
+def spaced(text: str) -> str:
+    """The words of a text outside ASCII with spaces between them: compatible forms are one, case is folded,
+    punctuation of any script separates, signs without width are gone, and runs of a script without spaces are the pairs of
+    their signs."""
+    words = _BETWEEN.sub(" ", _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).casefold())
+    return _DENSE_RUN.sub(_pairs, words)
+
+
+def _all_spaced(texts: pa.Array) -> pa.Array:
+    """Texts within ASCII as they are, the others :func:`spaced`."""
+    texts = texts.cast(pa.large_string())
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    if not pc.any(other).as_py():
+        return texts
+    new = pa.array([spaced(t) for t in texts.filter(other).to_pylist()], pa.large_string())
+    return pc.replace_with_mask(texts, other, new)
+
+
 def _words(texts: list[str]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+    for _, _, data, offsets in chunks(_all_spaced(pa.array(texts, pa.large_string()))):
         words, counts = word_hashes(data, offsets, PLAIN)
         out += np.split(words, np.cumsum(counts)[:-1])
     return out
@@ -205,7 +238,7 @@ def search(index: Index, words: np.ndarray, counts: np.ndarray, threshold: float
 
 def _scan(index: Index, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap), the best passage of each pair."""
-    for start, _, data, offsets in chunks(texts):
+    for start, _, data, offsets in chunks(_all_spaced(texts)):
         words, counts = word_hashes(data, offsets, PLAIN)
         begin = np.concatenate([[0], np.cumsum(counts)])
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -264,7 +297,8 @@ def contaminated(
 ) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap, verified)`` per document row and item.
 
-    Words are letters and digits, A-Z lower-cased. A passage is ``2 * STRIDE_WORDS`` words (more, where
+    Words are letters, digits and marks of any script, case folded; where a script has no spaces, pairs of
+    successive signs (:func:`spaced`). A passage is ``2 * STRIDE_WORDS`` words (more, where
     an item is longer), passages start every half of it and cover the whole text. Retrieved are all
     items with a BM25 score of ``threshold`` or more of the score for their own text; ``verified`` says
     that so many of the three-word runs of question and answer stand in the passage or half a passage
@@ -312,10 +346,33 @@ def contaminated(
     return out.where("verified") if verified_only else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold a test item (:func:`contaminated`). A null id is kept: no
-    decision can name it."""
-    found = contaminated(docs, benchmark, id_column=id_column, **options).select(
-        F.col("doc_id").alias(id_column)
-    )
-    return docs.join(found.distinct(), id_column, "left_anti").select(*docs.columns)
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = THRESHOLD,
+    question_overlap: float = QUESTION_OVERLAP,
+    answer_overlap: float = ANSWER_OVERLAP,
+    pass_items: int = PASS_ITEMS,
+    id_column: str = "doc_id",
+    item_column: str = "item_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The documents without those that hold a test item, verified as in :func:`contaminated`. Every row is
+    judged by its own text where it is read, so nothing is shuffled. A null id is kept: no decision can name it."""
+    if threshold <= COMMON_PART:
+        raise ValueError(f"the threshold must be above {COMMON_PART}")
+    at_id, at_text = docs.columns.index(id_column), docs.columns.index(text_column)
+    for index in _passes(benchmark, item_column, text_column, pass_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for text, _, _, question, answer in _scan(shared.value, batch.column(at_text), threshold):
+                    if question >= question_overlap and answer >= answer_overlap:
+                        keep[text] = False
+                yield batch.filter(pc.or_(pa.array(keep), batch.column(at_id).is_null()))
+
+        if index.ids:
+            docs = docs.mapInArrow(clean, docs.schema)
+    return docs
