@@ -44,7 +44,8 @@ PASS_ITEMS = 20_000
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*")
 _UNSEEN = regex.compile(r"\p{Cf}+")
-_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+# Signs within ASCII separate by themselves.
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7f]+")
 # Scripts without spaces between words.
 _DENSE = regex.compile(
     r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}][\p{M}\u30fc]*"
@@ -69,8 +70,12 @@ def spaced(text: str) -> str:
     """The words of a text outside ASCII with spaces between them: compatible forms are one, case is folded,
     punctuation of any script separates, signs without width are gone, and runs of a script without spaces are the pairs of
     their signs."""
-    words = _BETWEEN.sub(" ", _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).casefold())
-    return _DENSE_RUN.sub(_pairs, words)
+    words = _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).casefold()
+    # A few different signs tell whether a text needs the patterns at all.
+    others = [sign for sign in set(words) if sign > "\x7f"]
+    if any(map(_BETWEEN.match, others)):
+        words = _BETWEEN.sub(" ", words)
+    return _DENSE_RUN.sub(_pairs, words) if any(map(_DENSE.match, others)) else words
 
 
 def _all_spaced(texts: pa.Array) -> pa.Array:
