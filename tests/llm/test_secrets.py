@@ -140,3 +140,52 @@ def test_battery_is_the_textbook_one():
     s = -sum(math.log(p) for p in (0.5 * math.erfc(z / 2**0.5), math.erfc(zr / 2**0.5), math.erfc(zs / 2**0.5)))
     want = -math.log10(math.exp(-s) * (1 + s + s * s / 2))
     assert secrets.battery(row, size)[0] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", range(len(secrets.ENCODINGS)))
+@pytest.mark.parametrize("n", secrets.LENGTHS)
+def test_scores_of_columns_are_the_battery(kind, n):
+    rng, size = np.random.default_rng(n), secrets.SIZES[kind]
+    rows = rng.integers(0, size, (1500, n))
+    rows[500:1000] = rows[500:1000] ** 2 // size
+    rows[0], rows[1, 1:], rows[2] = size - 1, rows[1, 0], np.arange(n) % size
+    got = secrets.column_scores(np.ascontiguousarray(rows.T.astype(np.uint8)), size)
+    assert got == pytest.approx(secrets.battery(rows, size), abs=1e-8)
+
+
+def test_controls_are_of_all_prose(spark, texts):
+    """Every letter of every text is in a control of each class, wherever it stands."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices(string.ascii_letters, k=rng.randrange(1, 9))) for _ in range(3000)]
+    rows = [(1, " ".join(words) + ", 12"), (2, "a" * 30 + "é" + "bc" * 5), (3, "short"), (4, None)]
+    scan, schema = secrets._scan("bigint")
+    made = texts(*rows).select("doc_id", "text").coalesce(1).mapInArrow(scan, schema).where("controls IS NOT NULL").collect()
+    got = sum(np.array(r.controls) + np.array(r.further) for r in made).reshape(secrets.CLASSES, secrets.BINS)
+    want = np.zeros_like(got)
+    for _, text in rows:
+        letters = "".join(c for c in text or "" if c in string.ascii_letters).encode()
+        slug = "".join("-" if c == " " else c for c in text or "" if c in string.ascii_letters + " ").encode()
+        names = "".join(c.upper() if i == 0 or text[i - 1] not in string.ascii_letters else c for i, c in enumerate(text or ""))
+        names = "".join(c for c in names if c in string.ascii_letters).encode()
+        for kind, (name, _, symbols) in enumerate(secrets.ENCODINGS):
+            for length, n in enumerate(secrets.LENGTHS):
+                bits = {"hex": 4, "base32": 5}.get(name)
+                stream, width = (slug if name == "base64url" else letters), -(-n * bits // 8) if bits else n
+                starts = [*range(0, len(stream) - width + 1, width)]
+                if starts and starts[-1] + width < len(stream):
+                    starts.append(len(stream) - width)
+                for at in starts:
+                    part, coded = stream[at : at + width], bits
+                    turn = sum(part[:8])
+                    if name in ("base62", "base64") and turn % 2 == 0:
+                        part = names[at : at + width]
+                    if name == "base64" and turn % 3 == 0:
+                        part, coded = stream[at : at + width], 6
+                    if coded:
+                        digits = "".join(f"{b:08b}" for b in part)
+                        values = [int(digits[k * coded : (k + 1) * coded], 2) for k in range(n)]
+                    else:
+                        values = secrets._VALUES[kind][np.frombuffer(part, np.uint8)]
+                    score = secrets.battery(np.array([values]), len(symbols))
+                    want[kind * len(secrets.LENGTHS) + length, secrets._bins(score)[0]] += 1
+    assert (got == want).all()

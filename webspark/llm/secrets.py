@@ -7,8 +7,8 @@ of the alphabet, and correlation of neighbours. Fisher's method joins their p-va
 where the token is *not* random.
 
 How far written text gets by chance depends on encoding and length, so both are taken from the corpus.
-Every text gives controls: prose of its own, in each encoding and length class, through the same battery.
-The share of controls that look at least as random as a token is the token's p-value as a piece of text,
+Every text gives controls: all its prose, cut into windows, in each encoding and length class, through the same
+battery. The share of controls that look at least as random as a token is the token's p-value as a piece of text,
 and Benjamini and Hochberg's procedure, within each class of encoding and length, bounds the share of
 false discoveries. Where a length has no power, its controls pass too and nothing is found.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,10 @@ FALSE_SHARE = 0.01
 LEAST_TOKEN = 20
 # Length classes; a control has the least length of its class, where the tests see least.
 LENGTHS = (20, 24, 32, 40, 56)
-# Characters of a text per control of each class.
+# Controls are counted apart: the first of so many letters of a text, and all further ones.
 CONTROL_CHARS = 4096
-_WINDOW = LENGTHS[-1]
+# Windows scored at a time, so that their symbols stay in the cache.
+_BLOCK = 16384
 # Scores are in sixteenths of a power of ten, up to a bound beyond which nothing is random.
 PER_DECADE, BINS = 16, 257
 
@@ -99,30 +101,39 @@ def encoding_of(token: bytes) -> int | None:
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
+_TINY = 1e-300
+
+
+def _even(squares: np.ndarray, n: int, size: int) -> np.ndarray:
+    """P-value of even use of the alphabet, by the sum of the squares of counts (Wilson and Hilferty's normal form
+    of chi-squared)."""
+    chi, free = size / n * squares - n, size - 1
+    z = (np.cbrt(chi / free) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    return 0.5 * _erfc(z / math.sqrt(2))
+
+
+def _mixed(above: np.ndarray, runs: np.ndarray, n: int) -> np.ndarray:
+    """P-value of runs above and below the middle."""
+    mean = 2 * above * (n - above) / n + 1
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-12))
+    return np.where((above == 0) | (above == n), 2.0 ** (1 - min(n, 900)), _erfc(np.abs(runs - mean) / spread / math.sqrt(2)))
+
+
 def battery(symbols: np.ndarray, size: int) -> np.ndarray:
     """Score of each row, a sequence of symbols below ``size``: minus the logarithm to base ten of the joined
     p-value that its symbols are even and independent."""
     m, n = symbols.shape
-    tiny = 1e-300
-    # Even use of the alphabet (Wilson and Hilferty's normal form of chi-squared).
     rows = np.arange(m)[:, None] * size
     counts = np.bincount((rows + symbols).ravel(), minlength=m * size).reshape(m, size)
-    chi, free = size / n * np.square(counts).sum(1) - n, size - 1
-    z = (np.cbrt(chi / free) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
-    even = 0.5 * _erfc(z / math.sqrt(2))
-    # Runs above and below the middle.
+    even = _even(np.square(counts).sum(1), n, size)
     high = symbols >= size / 2
-    above = high.sum(1)
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
-    mean = 2 * above * (n - above) / n + 1
-    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-12))
-    mixed = np.where((above == 0) | (above == n), 2.0 ** (1 - min(n, 900)), _erfc(np.abs(runs - mean) / spread / math.sqrt(2)))
+    mixed = _mixed(high.sum(1), 1 + (high[:, 1:] != high[:, :-1]).sum(1), n)
     # Correlation of neighbours.
     centred = symbols - symbols.mean(1, keepdims=True)
     power = np.square(centred).sum(1)
     serial = (centred[:, 1:] * centred[:, :-1]).sum(1) / np.maximum(power, 1e-12)
-    free_of = np.where(power < 1e-9, tiny, _erfc(np.abs(serial + 1 / n) * math.sqrt(n) / math.sqrt(2)))
-    s = -(np.log(np.maximum(even, tiny)) + np.log(np.maximum(mixed, tiny)) + np.log(np.maximum(free_of, tiny)))
+    free_of = np.where(power < 1e-9, _TINY, _erfc(np.abs(serial + 1 / n) * math.sqrt(n) / math.sqrt(2)))
+    s = -(np.log(np.maximum(even, _TINY)) + np.log(np.maximum(mixed, _TINY)) + np.log(np.maximum(free_of, _TINY)))
     return (s - np.log1p(s + s * s / 2)) / math.log(10)
 
 
@@ -140,45 +151,118 @@ def token_class(token: bytes) -> tuple[int, int] | None:
     return kind * len(LENGTHS) + length, int(_bins(battery(symbols[None, :], SIZES[kind]))[0])
 
 
+def _gathered(stream: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Windows of a stream as columns: their first bytes are the first row."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(stream, width)[starts].T)
+
+
 def _packed(letters: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """The first ``n`` symbols of ``bits`` bits of rows of bytes: the rows as an encoder would write them."""
-    need = -(-n * bits // 8)
-    stream = np.unpackbits(letters[:, :need], axis=1)[:, : n * bits].reshape(len(letters), n, bits)
-    return stream @ (1 << np.arange(bits - 1, -1, -1))
-
-
-def controls(letters: np.ndarray, camel: np.ndarray, joined: np.ndarray, counts: np.ndarray) -> None:
-    """Adds controls of prose to ``counts`` per class and bin. ``letters`` are rows of letters, ``camel`` those
-    with a capital at the start of every word, ``joined`` rows of words joined by a hyphen. Wide alphabets take
-    prose, names made of its words, and encoded prose, in turn."""
-    # Which of them a row gives follows from its own letters, so partitions don't matter.
-    turn = letters[:, :8].sum(1, dtype=np.int64)
+    """The first ``n`` symbols of ``bits`` bits of columns of bytes: the columns as an encoder would write them."""
+    out = np.empty((n, letters.shape[1]), np.uint8)
+    for k in range(n):
+        byte, shift = divmod(k * bits, 8)
+        if shift + bits <= 8:
+            out[k] = (letters[byte] >> (8 - shift - bits)) & ((1 << bits) - 1)
+        else:
+            two = letters[byte].astype(np.uint16) << 8 | letters[byte + 1]
+            out[k] = (two >> (16 - shift - bits)) & ((1 << bits) - 1)
+    return out
+
+
+# Minus the logarithm of erfc at steps of 1 / _STEPS, read between them linearly: right to 1e-9.
+_STEPS, _LAST = 1 << 14, 26
+
+
+@cache
+def _erfc_table() -> np.ndarray:
+    return -np.log(np.maximum(_erfc(np.arange(_LAST * _STEPS + 2) / _STEPS), _TINY))
+
+
+@cache
+def _tables(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minus the logarithms of two p-values of sequences of ``n`` symbols: of even use by the number of pairs of
+    equal symbols, of runs by the numbers of symbols above the middle and of changes."""
+    even = -np.log(np.maximum(_even(n + 2.0 * np.arange(n * (n - 1) // 2 + 1), n, size), _TINY))
+    above, changes = np.divmod(np.arange((n + 1) * n), n)
+    return even, -np.log(np.maximum(_mixed(above, 1 + changes, n), _TINY))
+
+
+def column_scores(symbols: np.ndarray, size: int) -> np.ndarray:
+    """:func:`battery` of many sequences of one length, the columns of ``symbols``, from whole numbers and tables."""
+    n, m = symbols.shape
+    even, mixed = _tables(n, size)
+    pairs = np.zeros(m, np.int64)
+    for k in range(n - 1):
+        pairs += np.add.reduce((symbols[k + 1 :] == symbols[k]).view(np.uint8), axis=0, dtype=np.uint8)
+    high = symbols >= size / 2
+    above = np.add.reduce(high.view(np.uint8), axis=0, dtype=np.uint8)
+    changes = np.add.reduce((high[1:] != high[:-1]).view(np.uint8), axis=0, dtype=np.uint8)
+    wide = symbols.astype(np.uint16)
+    total = np.add.reduce(wide, axis=0, dtype=np.uint32).astype(float)
+    power = np.add.reduce(wide * wide, axis=0, dtype=np.uint32) - total * total / n
+    both = np.add.reduce(wide[1:] * wide[:-1], axis=0, dtype=np.uint32)
+    mean = total / n
+    serial = (both - mean * (2 * total - wide[0] - wide[-1]) + (n - 1) * mean * mean) / np.maximum(power, 1e-12)
+    place = np.minimum(np.abs(serial + 1 / n) * (math.sqrt(n) / math.sqrt(2) * _STEPS), _LAST * _STEPS)
+    step, table = place.astype(np.int64), _erfc_table()
+    free = table[step] + (place - step) * (table[step + 1] - table[step])
+    free[power < 1e-9] = -math.log(_TINY)
+    s = even[pairs] + mixed[above.astype(np.int64) * n + changes] + free
+    return (s - np.log1p(s + s * s / 2)) / math.log(10)
+
+
+def _windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows that cover every text of a stream, the last one of a text up to its end, and whether a
+    window is the first of CONTROL_CHARS. A text shorter than a window has none."""
+    sizes = np.diff(bounds)
+    number = np.where(sizes >= width, -(-sizes // width), 0)
+    text = np.repeat(np.arange(len(sizes)), number)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    first = (k == 0) | (k * width // CONTROL_CHARS != (k - 1) * width // CONTROL_CHARS)
+    return bounds[text] + np.minimum(k * width, sizes[text] - width), first
+
+
+def controls(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> None:
+    """Adds controls of all prose of a run of texts to ``counts``, by whether they are the first of CONTROL_CHARS or
+    further ones, class and bin. Every class covers all letters of a text that has enough for one window. Wide
+    alphabets take prose, names made of its words, and encoded prose, in turn; base64url takes words joined by a
+    hyphen."""
+    letter = _LETTER[data]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    # A text begins anew, whatever the one before it in the run ends with.
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = letter[heads]
+    at = np.flatnonzero(letter)
+    letters, names = data[at], np.where(begins, data & 0xDF, data)[at]
+    bounds = np.searchsorted(at, offsets)
+    at = np.flatnonzero(letter | (data == 0x20))
+    slugs, slug_bounds = np.where(letter, data, ord("-")).astype(np.uint8)[at], np.searchsorted(at, offsets)
     for kind, (name, _, _) in enumerate(ENCODINGS):
+        values = _VALUES[kind].astype(np.uint8)
+        bits = {"hex": 4, "base32": 5}.get(name)
+        stream, ends = (slugs, slug_bounds) if name == "base64url" else (letters, bounds)
         for length, n in enumerate(LENGTHS):
-            if name in ("hex", "base32"):
-                symbols = _packed(letters, n, 4 if name == "hex" else 5)
-            elif name == "base64url":
-                symbols = _VALUES[kind][joined[:, :n]]
-            else:
-                symbols = _VALUES[kind][letters[:, :n]]
-                if name in ("base62", "base64"):
-                    symbols[turn % 2 == 0] = _VALUES[kind][camel[turn % 2 == 0, :n]]
-                if name == "base64":
-                    symbols[turn % 3 == 0] = _packed(letters[turn % 3 == 0], n, 6)
-            bins = _bins(battery(symbols, SIZES[kind]))
-            counts[kind * len(LENGTHS) + length] += np.bincount(bins, minlength=BINS)
-
-
-def _prose(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, least: int) -> np.ndarray:
-    """Rows of ``least`` kept bytes, one per CONTROL_CHARS of a text, at places that follow from its length."""
-    at = np.flatnonzero(keep)
-    bounds = np.searchsorted(at, offsets)
-    sizes = np.diff(bounds)
-    number = np.where(sizes >= least, -(-sizes // CONTROL_CHARS), 0)
-    row = np.repeat(np.arange(len(sizes)), number)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-    shift = (k * CONTROL_CHARS + sizes[row] * 7919 % 1009) % np.maximum(sizes[row] - least + 1, 1)
-    return data[at[(bounds[row] + shift)[:, None] + np.arange(least)]]
+            width = -(-n * bits // 8) if bits else n
+            starts, first = _windows(ends, width)
+            for low in range(0, len(starts), _BLOCK):
+                some = starts[low : low + _BLOCK]
+                rows = _gathered(stream, some, width)
+                if bits:
+                    symbols = _packed(rows, n, bits)
+                else:
+                    symbols = values[rows]
+                    # Which of them a window gives follows from its own letters, so partitions don't matter.
+                    turn = rows[:8].sum(0, dtype=np.int64)
+                    if name in ("base62", "base64"):
+                        named = np.flatnonzero(turn % 2 == 0)
+                        symbols[:, named] = values[_gathered(names, some[named], n)]
+                    if name == "base64":
+                        coded = np.flatnonzero(turn % 3 == 0)
+                        symbols[:, coded] = _packed(rows[:, coded], n, 6)
+                bins, firsts = _bins(column_scores(symbols, SIZES[kind])), first[low : low + _BLOCK]
+                for part, mask in enumerate((firsts, ~firsts)):
+                    counts[part, kind * len(LENGTHS) + length] += np.bincount(bins[mask], minlength=BINS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -192,12 +276,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _scan(kind: str):
-    """Per document its base spans and its tokens with class and bin; per task a row of controls."""
+    """Per document its base spans and its tokens with class and bin; per task a row of the counts of controls."""
     schema = f"doc_id {kind}, spans array<struct<start:long,kind:int,end:long>>, "
-    schema += "tokens array<struct<start:long,kind:int,end:long,class:int,bin:int>>, controls array<long>"
+    schema += "tokens array<struct<start:long,kind:int,end:long,class:int,bin:int>>, "
+    schema += "controls array<long>, further array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, key = np.zeros((CLASSES, BINS), np.int64), None
+        counts, key = np.zeros((2, CLASSES, BINS), np.int64), None
         for batch in batches:
             key = batch.schema.field(0).type
             texts = batch.column(1)
@@ -205,20 +290,13 @@ def _scan(kind: str):
             tokens: list[list] = [[] for _ in range(batch.num_rows)]
             for first, last, data, offsets in chunks(texts):
                 _find(texts, first, data, offsets, spans, tokens)
-                letter = _LETTER[data]
-                joined = np.where(letter, data, ord("-")).astype(np.uint8)
-                word = letter | (data == 0x20)
-                begins = letter.copy()
-                begins[1:] &= ~letter[:-1]
-                capital = np.where(begins, data & 0xDF, data)
-                names = _prose(capital, offsets, letter, _WINDOW)
-                slugs = _prose(joined, offsets, word, _WINDOW)
-                controls(_prose(data, offsets, letter, _WINDOW), names, slugs, counts)
+                controls(data, offsets, counts)
             for row in range(batch.num_rows):
                 spans[row].sort()
-            yield _rows(batch.column(0), spans, tokens, [None] * batch.num_rows)
+            none = [None] * batch.num_rows
+            yield _rows(batch.column(0), spans, tokens, none, none)
         if key is not None:
-            yield _rows(pa.nulls(1, key), [None], [None], [counts.ravel().tolist()])
+            yield _rows(pa.nulls(1, key), [None], [None], *([c.ravel().tolist()] for c in counts))
 
     return scan, schema
 
@@ -227,13 +305,14 @@ _SPAN = [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]
 _TOKENS = pa.struct([*_SPAN, ("class", pa.int32()), ("bin", pa.int32())])
 
 
-def _rows(ids: pa.Array, spans: list, tokens: list, counts: list) -> pa.RecordBatch:
+def _rows(ids: pa.Array, spans: list, tokens: list, controls: list, further: list) -> pa.RecordBatch:
     def structs(values: list, kind: pa.StructType) -> pa.Array:
         names = [f.name for f in kind]
         return pa.array([v and [dict(zip(names, x)) for x in v] if v is not None else None for v in values], pa.list_(kind))
 
-    arrays = [ids, structs(spans, pa.struct(_SPAN)), structs(tokens, _TOKENS), pa.array(counts, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "spans", "tokens", "controls"])
+    counts = [pa.array(c, pa.list_(pa.int64())) for c in (controls, further)]
+    arrays = [ids, structs(spans, pa.struct(_SPAN)), structs(tokens, _TOKENS), *counts]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "spans", "tokens", "controls", "further"])
 
 
 def _find(texts: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray, spans: list, tokens: list) -> None:
@@ -302,7 +381,8 @@ def find_secrets(
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     scanned = written(texts.mapInArrow(scan, schema), "secret-spans")
     control = np.zeros(CLASSES * BINS, np.int64)
-    summed = scanned.where("controls IS NOT NULL").select(F.posexplode("controls").alias("at", "n"))
+    both = scanned.where("controls IS NOT NULL").select(F.explode(F.array("controls", "further")).alias("c"))
+    summed = both.select(F.posexplode("c").alias("at", "n"))
     for row in summed.where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).collect():
         control[row["at"]] = row["n"]
     targets = np.zeros((CLASSES, BINS), np.int64)
