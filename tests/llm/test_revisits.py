@@ -76,3 +76,10 @@ def test_empty_tables(spark):
     assert rv.resolve_revisits(none, one).count() == 0
     assert rv.resolve_revisits(one, none).first()["verdict"] == "no_response"
     assert rv.resolve_revisits(none, none).count() == 0
+
+
+def test_plans_hold_the_canonical_url_once(spark):
+    one = spark.createDataFrame([(1, "http://h/a", BASE, {}, None, "", "")], SCHEMA)
+    plan = rv.resolve_revisits(one, one)._jdf.queryExecution().optimizedPlan().toString()
+    once = one.select(rv.canonicalize_url("url"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2 * len(once)
