@@ -169,3 +169,11 @@ def test_html_stays_where_it_is_read(spark, sf_dir):
         for block in text.splitlines():
             assert not ("Exchange" in block and "html" in block), name
         assert "RoundRobinPartitioning" not in text, name
+
+
+@pytest.mark.parametrize("name", ["filter_domain", "reject_reasons"])
+def test_url_forms_are_worked_on_once(spark, sf_dir, name):
+    """A filter or the other side of a join does not resolve or normalise a URL again."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    once = QUERIES["resolve_reference"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 1.5 * len(once)

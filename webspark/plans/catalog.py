@@ -226,9 +226,14 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _once(value: Column, name: str) -> Column:
+    """Generator of a computed column, nulls included: a filter on it is not pushed below and computed again."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return inputs.url_forms(spark, d).select(
-        "page_id", "form", U.resolve_reference("base", "u").alias("link")
+        "page_id", "form", _once(U.resolve_reference("base", "u"), "link")
     )
 
 
