@@ -171,7 +171,7 @@ def test_html_stays_where_it_is_read(spark, sf_dir):
         assert "RoundRobinPartitioning" not in text, name
 
 
-@pytest.mark.parametrize("name", ["filter_domain", "reject_reasons"])
+@pytest.mark.parametrize("name", ["filter_domain", "filter_links_table", "registered_domain_table", "reject_reasons"])
 def test_url_forms_are_worked_on_once(spark, sf_dir, name):
     """A filter or the other side of a join does not resolve or normalise a URL again."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -231,6 +231,13 @@ def _once(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+def _held(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder, for plans that read them on both sides of a join."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     return inputs.url_forms(spark, d).select(
         "page_id", "form", _once(U.resolve_reference("base", "u"), "link")
@@ -249,12 +256,12 @@ def registered_domain_table(spark: SparkSession, d: str) -> DataFrame:
     """:func:`registered_domain` by a list file of more rules, some of them outside ASCII."""
     rules = suffixes.load_suffix_table(spark, inputs.suffix_list(spark))
     hosts_of = inputs.url_forms(spark, d).select("page_id", "form", U.url_host("u").alias("host"))
-    return suffixes.attach_domain(hosts_of, rules).drop("host")
+    return suffixes.attach_domain(_held(hosts_of, "hosts"), rules).drop("host")
 
 
 def filter_links_table(spark: SparkSession, d: str) -> DataFrame:
     rules = suffixes.load_suffix_table(spark, inputs.suffix_list(spark))
-    return suffixes.filter_links(_resolved(spark, d), rules)
+    return suffixes.filter_links(_held(_resolved(spark, d), "resolved"), rules)
 
 
 def filter_links(spark: SparkSession, d: str) -> DataFrame:
