@@ -248,3 +248,66 @@ def test_addresses_after_a_restart_in_another_time_zone(spark):
         assert kept.exceptAll(asked.filter(known)).count() == 0 == asked.filter(known).exceptAll(kept).count()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_state_of_addresses_is_by_periods(spark):
+    """An observation goes to two periods at most, and a batch sets one timer for a host's period."""
+    from webspark.operators.resolution import attach_address
+
+    base = fresh_path(spark, "address-periods")
+    minutes = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 7 * id{})"
+    asked = spark.range(60).selectExpr("id", "concat('http://h', id, '.com/') AS url", f"{minutes.format(' + 10')} AS at")
+    observed = spark.range(60).selectExpr(
+        "concat('h', id, '.com') AS host", "array(concat('10.0.0.', id)) AS ips", "'' AS cname",
+        f"{minutes.format('')} AS observed_at", "cast(null AS string) AS error",
+    )
+
+    def stream(name, rows):
+        rows.write.parquet(f"{base}/{name}")
+        return spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+
+    joined = streams.stream_address(stream("asked", asked), stream("seen", observed), "at", late="1 minute")
+    writer = joined.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress]
+    assert 60 <= sum(timers) <= 120
+    got = {r.id: r.ip for r in spark.read.parquet(f"{base}/out").collect()}
+    want = {r.id: r.ip for r in attach_address(asked, observed, as_of="at").collect()}
+    assert len(got) >= 58 and got == {i: want[i] for i in got} and None not in got.values()
+
+
+def test_addresses_of_a_period_go_out_slice_by_slice(spark, monkeypatch):
+    """Files that overlap in time, in waves within a period: the requests that wait are kept in several lots,
+    and each goes out once, as soon as its slice is passed."""
+    from webspark.operators.resolution import attach_address
+
+    monkeypatch.setattr(streams, "LOT", 3)
+    base = fresh_path(spark, "address-slices")
+    minutes = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, id)"
+    asked = spark.range(100).selectExpr("id", "'http://hot.com/' AS url", f"{minutes} AS at")
+    observed = spark.range(0, 100, 3).filter("id < 20 OR id > 50").selectExpr(
+        "'hot.com' AS host", "array(concat('10.0.0.', id)) AS ips", "'' AS cname", f"{minutes} AS observed_at",
+        "cast(null AS string) AS error",
+    )
+
+    def stream(name, rows):
+        return spark.readStream.schema(rows.schema).parquet(f"{base}/{name}")
+
+    out = []
+    for wave in range(4):  # minute m comes with the wave of m or, if m is even, of ten minutes later
+        own = "int((unix_seconds({0}) / 60 % 1440 + if(unix_seconds({0}) / 60 % 2 = 0, 10, 0)) / 28) = " + str(wave)
+        asked.filter(own.format("at")).coalesce(1).write.mode("append").parquet(f"{base}/asked")
+        observed.filter(own.format("observed_at")).coalesce(1).write.mode("append").parquet(f"{base}/seen")
+        joined = streams.stream_address(stream("asked", asked), stream("seen", observed), "at", late="12 minutes")
+        _run(
+            joined.writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/cp")
+        )
+        out.append(spark.read.parquet(f"{base}/out").count())
+    rows = spark.read.parquet(f"{base}/out").collect()
+    got = {r.id: r.ip for r in rows}
+    want = {r.id: r.ip for r in attach_address(asked, observed, as_of="at").collect()}
+    assert out == sorted(set(out)) and out[0] >= 10 and len(rows) == len(got) >= 80
+    assert got == {i: want[i] for i in got} and None in got.values()
